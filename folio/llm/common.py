@@ -60,6 +60,13 @@ def smallest_by_hash(df: DataFrame, by: list[str], k: int, salt: str = "") -> Da
     return df.withColumn("__key", key).withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= k).drop("__key", "__rank")
 
 
+def sample_texts(docs: DataFrame, by: list[str], k: int, most_chars: int | None = None, salt: str = "") -> DataFrame:
+    """Whole rows of at most k documents of each group. Ids are chosen without reading texts; at most k ids a group are broadcast."""
+    ids = smallest_by_hash(docs.select("doc_id", *by), by, k, salt).select("doc_id").distinct()
+    picked = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return picked.withColumn("text", F.substring("text", 1, most_chars)) if most_chars else picked
+
+
 def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (a, b) long pairs -> (node, component), component = smallest node.
 
