@@ -6,8 +6,10 @@ from .language_id import op8_language_id
 from .mixing import OP3_SQL, op3_mixing
 from .near_dedup import op2_near_dedup
 from .packing import op7_packing
+from .quality_classifier import op5_quality_classifier
 from .quality_rules import OP6_SQL, op6_quality_rules
+from .toxicity import op9_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
 
-QUERIES = {"op2_near_dedup": op2_near_dedup, "op3_mixing": op3_mixing, "op4_url_filter": op4_url_filter, "op6_quality_rules": op6_quality_rules, "op7_packing": op7_packing, "op8_language_id": op8_language_id}
+QUERIES = {"op2_near_dedup": op2_near_dedup, "op3_mixing": op3_mixing, "op4_url_filter": op4_url_filter, "op6_quality_rules": op6_quality_rules, "op7_packing": op7_packing, "op8_language_id": op8_language_id, "op5_quality_classifier": op5_quality_classifier, "op9_toxicity": op9_toxicity}
 ORACLES = {"op3_mixing": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_quality_rules": OP6_SQL}
