@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op10_embedding_dedup
 from .html_text import op1_html_text
 from .language_id import op8_language_id
 from .mixing import OP3_SQL, op3_mixing
@@ -12,5 +13,5 @@ from .quality_rules import OP6_SQL, op6_quality_rules
 from .toxicity import op9_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
 
-QUERIES = {"op1_html_text": op1_html_text, "op2_near_dedup": op2_near_dedup, "op3_mixing": op3_mixing, "op4_url_filter": op4_url_filter, "op6_quality_rules": op6_quality_rules, "op7_packing": op7_packing, "op8_language_id": op8_language_id, "op5_quality_classifier": op5_quality_classifier, "op9_toxicity": op9_toxicity}
+QUERIES = {"op1_html_text": op1_html_text, "op2_near_dedup": op2_near_dedup, "op3_mixing": op3_mixing, "op4_url_filter": op4_url_filter, "op6_quality_rules": op6_quality_rules, "op7_packing": op7_packing, "op8_language_id": op8_language_id, "op5_quality_classifier": op5_quality_classifier, "op9_toxicity": op9_toxicity, "op10_embedding_dedup": op10_embedding_dedup}
 ORACLES = {"op3_mixing": OP3_SQL, "op4_url_filter": OP4_SQL, "op6_quality_rules": OP6_SQL}
