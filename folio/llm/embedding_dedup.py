@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def _moments(batches):
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         col = b.column(0)
-        sizes = pa.compute.list_value_length(col).to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(col).to_numpy(zero_copy_only=False)
         for d in np.unique(sizes):
             x = np.stack([np.asarray(v.values, np.float64) for v in col.filter(pa.array(sizes == d))])
             x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _U = np.uint64
@@ -47,7 +48,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most_bytes: in
     for b in batches:
         start, size = 0, 0
         col = b.column(b.schema.get_field_index(text))
-        lengths = [x or 0 for x in pa.compute.binary_length(col).to_pylist()]
+        lengths = [x or 0 for x in pc.binary_length(col).to_pylist()]
         for i, n in enumerate(lengths):
             if i > start and size + n > most_bytes:
                 yield b.slice(start, i - start), col.slice(start, i - start).to_pylist()
