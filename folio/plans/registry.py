@@ -1,4 +1,8 @@
 """All queries of the library's own operators, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import queries_relations, queries_text
+
+QUERIES = {**queries_text.QUERIES, **queries_relations.QUERIES}
+ORACLES = {**queries_text.ORACLES, **queries_relations.ORACLES}
