@@ -165,8 +165,8 @@ def measure(root: Node) -> Node | None:
 def main_node(root: Node) -> Node:
     """The content subtree.
 
-    It starts at the node with the largest sum of its children's densities. The smallest density on the path from there to the body is the
-    threshold. The subtree grows along that path: to the whole article or main element it lies in, or else to a
+    It starts at the node with the largest sum of its children's densities. Half the smallest density on the path from there to the body is
+    the threshold. The subtree grows along that path: to the whole article or main element it lies in, or else to a
     parent as long as siblings at least as dense as the threshold add a fifth of its plain text, or a heading stands
     before it. Siblings passed on the way that are mostly links are noise; those of an article are all kept.
     """
@@ -180,7 +180,7 @@ def main_node(root: Node) -> Node:
     named = [x for x in path if x.tag in ("article", "main")]
     if named:
         return named[0]
-    threshold, now = min(x.density for x in path), best
+    threshold, now = min(x.density for x in path) / 2, best
     for above in path[1:]:
         here = above.children.index(now)
         others = [c for c in above.children if isinstance(c, Node) and c is not now and not c.noise and c.chars]
