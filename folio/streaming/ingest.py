@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def windowed_counts(events: DataFrame, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n) of tumbling windows; for a stream, events later than `late` behind the newest are dropped."""
     if events.isStreaming:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return events.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
@@ -20,5 +20,5 @@ def new_or_changed(rows: DataFrame, key: str, content: str, time: str = "ts", la
     """Rows of a stream whose (key, content) has not come before within the watermark; for a batch, one row of each."""
     marked = rows.withColumn("fingerprint", F.sha2(F.col(content).cast("string"), 256))
     if rows.isStreaming:
-        return marked.withWatermark(time, late).dropDuplicatesWithinWatermark([key, "fingerprint"])
+        return marked.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key, "fingerprint"])
     return marked.dropDuplicates([key, "fingerprint"])
