@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+import os
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,8 +20,13 @@ LENGTH = 4096
 END_ID = 2
 #: Dimensions and bits of the curve; with TIE bits of the id's hash the key has 53 bits, so that it is exact as a double.
 DIMS, BITS, TIE = 3, 12, 17
-#: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 200_000
+#: Distinct pieces whose ids a task remembers.
+CACHE_WORDS = 400_000
+#: How the default tokenizer cuts lower-cased text (fixed value of its file), and the texts whose lower case and normal form are beyond doubt.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile(r"[\x09-\x0d\x20-\x7eÀ-įı-ſ]+")
+#: The same cut for such texts, with their letters and digits written out.
+FIND = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+").findall
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -48,9 +58,11 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 class _Vocabulary(dict):
-    """Word -> number; arrays with the token ids of each number and its direction in the projection of hashed vectors.
+    """Token ids of pieces of text, remembered, with each piece's direction in the projection of hashed vectors.
 
-    The tokenizer never joins tokens over white space, so a text's ids are those of its words, one after the other.
+    The tokenizer never joins tokens over white space, so a text's ids are those of its words, one after the other. A text of
+    plain Latin letters and ASCII is cut into the tokenizer's own pieces (str), lower-cased; any other text into its words (bytes), which
+    are encoded as they stand. New pieces are encoded many in a call.
     """
 
     def __init__(self, path: str):
@@ -58,51 +70,87 @@ class _Vocabulary(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
+        self.kind = np.uint32 if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16 else np.uint16
+        # pieces are known for tokenizers that lower-case and split like the default one
+        made = json.loads(self.tokenizer.to_str())
+        steps, splits = (made.get("normalizer") or {}).get("normalizers", []), (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.like = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and bool(splits) and splits[0].get("pattern") == {"Regex": PIECES}
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.flat, self.used = np.zeros(1 << 20, np.uint32 if self.wide else np.uint16), 0
-        self.start, self.size, self.signs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, DIMS), np.float64)
-
-    def learn(self, texts: list[list[bytes]]) -> None:
+        self.flat, self.used = np.zeros(1 << 18, self.kind), 0
+        self.start, self.size, self.signs = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros((1 << 14, DIMS), np.float32)
+
+    def cut(self, text: str | None) -> list:
+        if text and self.like and "<|" not in text and PLAIN.fullmatch(text):
+            return FIND(text.lower())
+        return words(text)
+
+    def of_pieces(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces as bytes, a thousand pieces a call; the tokenizer tells which piece each id belongs to."""
+        out: list[bytes] = []
+        for s in range(0, len(new), 1000):
+            part = new[s : s + 1000]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            raw, of, w = np.array(e.ids, self.kind).tobytes(), np.array(e.word_ids), self.flat.itemsize
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            if len(cuts) == len(part) + 1:
+                out += [raw[i * w : j * w] for i, j in itertools.pairwise(cuts)]
+            else:  # a piece is not one to the tokenizer
+                out += self.of_words(part)
+        return out
+
+    def of_words(self, new: list) -> list[bytes]:
+        texts = [w if isinstance(w, str) else w.decode("utf-8") for w in new]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def learn(self, texts: list[list]) -> None:
         if len(self) > CACHE_WORDS:
             self.forget()
-        new = list({w for t in texts for w in t if w not in self})
+        new = set().union(*texts).difference(self)
         if not new:
             return
-        ids = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in new], add_special_tokens=False)]
-        size = np.array([len(i) for i in ids], np.int64)
-        while self.used + size.sum() > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
-        self.flat[self.used : self.used + size.sum()] = np.concatenate([np.array(i, self.flat.dtype) for i in ids])
-        self.used += int(size.sum())
-        self.size = np.concatenate([self.size, size])
-        h = np.array([xxhash.xxh32_intdigest(w.lower()) for w in new], np.int64)
-        self.signs = np.concatenate([self.signs, ((h[:, None] >> np.arange(DIMS)) & 1) * 2.0 - 1])
-        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
-
-    def encoded(self, text: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a text with end_id behind them, and the mean of its words' directions."""
-        at = np.fromiter(map(self.__getitem__, text), np.int64, len(text))
-        size = self.size[at]
+        pieces, rest = [x for x in new if isinstance(x, str)], [x for x in new if not isinstance(x, str)]
+        ids = self.of_pieces(pieces) + self.of_words(rest)
+        n, m = len(self), len(new)
+        size = np.fromiter(map(len, ids), np.int32, m) // self.flat.itemsize
         total = int(size.sum())
-        pick = np.arange(total) + np.repeat(self.start[at] - np.cumsum(size) + size, size)
-        return np.append(self.flat[pick], self.flat.dtype.type(end_id)), self.signs[at].mean(axis=0) if len(at) else np.zeros(DIMS)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + m > len(self.start):
+            self.start, self.size, self.signs = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.signs))
+        self.start[n : n + m] = self.used + np.cumsum(size, dtype=np.int64) - size
+        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(ids), self.kind)
+        self.used += total
+        self.size[n : n + m] = size
+        h = np.fromiter(map(xxhash.xxh32_intdigest, itertools.chain(pieces, rest)), np.int64, m)
+        self.signs[n : n + m] = ((h[:, None] >> np.arange(DIMS)) & 1) * 2.0 - 1
+        self.update(zip(itertools.chain(pieces, rest), range(n, n + m), strict=True))
+
+    def encoded(self, texts: list[list], end_id: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of each text with end_id behind them, and the means of their pieces' directions."""
+        n = np.array([len(t) for t in texts])
+        at = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(n.sum()))
+        size = self.size[at].astype(np.int64)
+        upto = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[at] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.cumsum(n)
+        cuts = np.concatenate([[0], upto])[ends]
+        sums = np.concatenate([np.zeros((1, DIMS)), np.cumsum(self.signs[at], axis=0, dtype=np.float64)])
+        means = (sums[ends] - sums[ends - n]) / np.maximum(1, n)[:, None]
+        end = np.array([end_id], self.kind)
+        return [np.concatenate([x, end]) for x in np.split(ids, cuts[:-1])], means
 
 
 def _tokenised(batches, path: str, end_id: int):
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     vocabulary = _Vocabulary(path)
     for b, texts in chunks(batches):
-        split = [words(t) for t in texts]
+        split = [vocabulary.cut(t) for t in texts]
         vocabulary.learn(split)
-        ids, means = zip(*(vocabulary.encoded(t, end_id) for t in split), strict=True)
-        grid = np.clip((np.array(means) * 4 + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1).astype(np.int64)
+        ids, means = vocabulary.encoded(split, end_id)
+        grid = np.clip((means * 4 + 1) * (1 << (BITS - 1)), 0, (1 << BITS) - 1).astype(np.int64)
         tie = np.array([xxhash.xxh32_intdigest(str(i)) for i in b.column(0).to_pylist()], np.int64) & ((1 << TIE) - 1)
         key = (hilbert(grid) << TIE) | tie
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["doc_id", "key", "n", "ids"])

@@ -20,9 +20,11 @@ def test_hilbert_curve_visits_every_cell_by_steps():
 def test_words_have_the_tokenizers_ids():
     t = Tokenizer.from_file(packing.default_tokenizer())
     v = packing._Vocabulary(packing.default_tokenizer())
-    assert v.pieces
+    assert v.like
     texts = ["It's they'll we'VE <|endoftext|> a<|startoftext|>b ÀÉÎ Straße İstanbul Σίσυφος ﬁne éte 12.5% x_y-z…“q” 日本語 nb em \x1cfs \x85", "", " ", "''s 'd've ſoft ŉa ×÷ a×b"]
-    split = [packing.words(x) for x in texts]
+    texts += ["It's they'll we'VE 'S ''s 'd've ×÷ a×b Straße 12.5%\n\tx_y-z... don't 'tis"]
+    split = [v.cut(x) for x in texts]
+    assert isinstance(split[-1][0], str) and isinstance(split[0][0], bytes)
     v.learn(split)
     assert [list(x) for x in v.encoded(split, 2)[0]] == [e.ids + [2] for e in t.encode_batch(texts, add_special_tokens=False)]
 
