@@ -85,7 +85,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     shares = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count("*").alias("n")).collect()}
     texts = docs.select("doc_id", "text").where("text IS NOT NULL")
     ids = sample_texts(given, ["y"], TRAIN_ROWS, salt="quality")
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text"), "y").toPandas() if shares else []
+    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text"), "y").toArrow().to_pandas() if shares else []
     good = shares.get(1, 0)
     prior = np.log((good + 1) / (sum(shares.values()) - good + 1)) if shares else 0.0
     if len(rows) == 0 or rows["y"].nunique() < 2:
