@@ -8,7 +8,6 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")  # Python workers import the package too
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
