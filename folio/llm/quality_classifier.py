@@ -26,8 +26,12 @@ _SHAPE = [(re.compile(r"[a-zà-öø-ÿœß]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-
 class ShapeHashes(dict):
     """Hash of a word's shape: runs of small letters, capitals and digits as one sign each."""
 
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= self.most:
             self.clear()
         s = word.decode("utf-8", "replace")
         for pattern, to in _SHAPE:
@@ -39,8 +43,8 @@ class ShapeHashes(dict):
 class Features:
     """Sparse vectors: counts of word and shape unigrams and bigrams, damped by log(1 + n) and scaled to length 1."""
 
-    def __init__(self):
-        self.words, self.shapes = WordHashes(), ShapeHashes()
+    def __init__(self, remember: int = 200_000):
+        self.words, self.shapes = WordHashes(remember), ShapeHashes(remember)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         ws = words(text)
@@ -56,7 +60,25 @@ class Features:
         return idx.astype(np.int64), v / np.sqrt((v * v).sum())
 
 
-def train_ftrl(examples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.005, l2: float = 0.02, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
+class Examples:
+    """Sparse vectors of many texts, in a few large 32-bit arrays; examples[k] is (indices, values)."""
+
+    def __init__(self, texts: list[str], step: int = 500):
+        features, self.step, self.parts, self.n = Features(remember=50_000), step, [], len(texts)
+        for s in range(0, len(texts), step):
+            xs = [features.of(t) for t in texts[s : s + step]]
+            self.parts.append((np.concatenate([i for i, _ in xs]).astype(np.int32), np.concatenate([v for _, v in xs]).astype(np.float32), np.cumsum([0, *(len(i) for i, _ in xs)])))
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        idx, val, at = self.parts[k // self.step]
+        a, b = at[k % self.step], at[k % self.step + 1]
+        return idx[a:b], val[a:b]
+
+
+def train_ftrl(examples, y: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.005, l2: float = 0.02, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias by follow-the-regularised-leader (proximal, a learning rate for each coordinate)."""
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
 
@@ -91,9 +113,11 @@ def learn_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     if len(rows) == 0 or rows["y"].nunique() < 2:
         return np.zeros(DIMENSIONS, np.float32), float(prior)
     rows = rows.sort_values(["doc_id", "text"], ignore_index=True)
-    features = Features()
-    y = (rows["y"].to_numpy() == 1).astype(float)
-    w, bias = train_ftrl([features.of(t) for t in rows["text"]], y)
+    y, texts = (rows["y"].to_numpy() == 1).astype(float), rows["text"].tolist()
+    del rows
+    examples = Examples(texts)
+    del texts
+    w, bias = train_ftrl(examples, y)
     return w, float(bias + prior - np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
 
 
