@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,8 @@ BANDS, ROWS = 32, 4
 LEAST_BITS = 97
 #: Ids that are broadcast to pick their texts; above that the texts are joined by a shuffle.
 MOST_BROADCAST = 500_000
+#: Documents of a tile on either side, on average, where components are held against each other.
+TILE = 1024
 _U = np.uint64
 
 
@@ -79,18 +82,89 @@ def _sets(batches, k: int):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "els"])
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, els) of the documents with these ids, read again from their texts."""
+    ids = stored(ids.distinct(), "dedup-ids")
+    pick = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    return stored(docs.join(pick, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, k), "doc_id long, els array<long>"), "dedup-sets")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the (a, b) pairs whose full sets are similar enough; texts are read again for the documents that occur in pairs."""
+    """Those of the (a, b) pairs whose full sets are similar enough."""
     pairs = stored(pairs.select("a", "b").distinct(), "dedup-pairs")
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "dedup-ids")
-    pick = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-    sets = docs.join(pick, "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, k), "doc_id long, els array<long>")
-    sets = stored(sets, "dedup-sets")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, k)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("els").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("els").alias("y")), "b")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
     return stored(both.where(f"100 * i >= {percent} * (n - i)").select("a", "b").distinct(), "dedup-links")
 
 
+def _overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, over the elements found on both sides, some thousands at a time."""
+    ex, ey = np.concatenate(xs), np.concatenate(ys)
+    common = np.intersect1d(ex, ey)
+    out = np.zeros((len(xs), len(ys)), np.float32)
+
+    def placed(e, sets):
+        at = np.searchsorted(common, e)
+        ok = at < len(common)
+        ok[ok] = common[at[ok]] == e[ok]
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[ok], at[ok]
+
+    if len(common):
+        (rx, cx), (ry, cy) = placed(ex, xs), placed(ey, ys)
+        for s in range(0, len(common), 4096):
+            a, b = np.zeros((len(xs), 4096), np.float32), np.zeros((len(ys), 4096), np.float32)
+            m, w = (cx >= s) & (cx < s + 4096), (cy >= s) & (cy < s + 4096)
+            a[rx[m], cx[m] - s], b[ry[w], cy[w] - s] = 1, 1
+            out += a @ b.T
+    return out
+
+
+def _joining(p: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between different components in one tile, those that union-find needs: (a, b)."""
+    x, y = p[p["side"] == 0], p[p["side"] == 1]
+    none = pd.DataFrame({"a": [], "b": []}).astype("int64")
+    if not len(x) or not len(y):
+        return none
+    nx, ny = x["n"].to_numpy(np.int64), y["n"].to_numpy(np.int64)
+    may = (x["c"].to_numpy()[:, None] != y["c"].to_numpy()[None, :]) & (100 * np.minimum(nx[:, None], ny[None, :]) >= percent * np.maximum(nx[:, None], ny[None, :]))
+    for_bits = np.zeros(may.shape, np.int64)
+    for s in ("s1", "s2"):
+        for_bits += np.bitwise_count(x[s].to_numpy(np.int64).view(np.uint64)[:, None] ^ y[s].to_numpy(np.int64).view(np.uint64)[None, :])
+    may &= 128 - for_bits >= LEAST_BITS
+    rows, cols = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+    if not len(rows):
+        return none
+    xs, ys = ([np.asarray(v, np.int64) for v in q["els"].iloc[at]] for q, at in ((x, rows), (y, cols)))
+    if may.sum() <= 4 * (len(rows) + len(cols)):
+        i, j = np.nonzero(may)
+        back = {r: k for k, r in enumerate(rows)}, {c: k for k, c in enumerate(cols)}
+        both = np.array([len(np.intersect1d(xs[back[0][a]], ys[back[1][b]], assume_unique=True)) for a, b in zip(i, j, strict=True)])
+        ok = 100 * both >= percent * (nx[i] + ny[j] - both)
+        i, j = i[ok], j[ok]
+    else:
+        both = _overlaps(xs, ys)
+        hit = (100 * both >= percent * (nx[rows][:, None] + ny[cols][None, :] - both)) & may[np.ix_(rows, cols)]
+        i, j = np.nonzero(hit)
+        i, j = rows[i], cols[j]
+    ids, other, cx, cy = x["nid"].to_numpy(), y["nid"].to_numpy(), x["c"].to_numpy(), y["c"].to_numpy()
+    parent: dict[int, int] = {}
+
+    def find(v):
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    out = []
+    for a, b in zip(i, j, strict=True):
+        u, v = find(int(cx[a])), find(int(cy[b]))
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            out.append((int(ids[a]), int(other[b])))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64") if out else none
+
+
 def _similar(x: str, y: str, percent: int):
     """Sizes and sketches allow the pair."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
@@ -103,12 +177,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, salts: int =
 
     1. Every text becomes a set of shingles, a SuperMinHash signature of 128 values in 32 bands, and a sketch of 128 bits.
     2. Documents with equal sets form a class (map-side combine); its smallest id stands for it from here on.
-    3. In each bucket of a band, the smallest document of each of `salts` parts is paired with the part's others, and the
-       parts' smallest with the smallest of all: pairs grow linearly with a bucket, and a hot bucket is split.
+    3. Only buckets that several documents share go on. A document's weight is the sum of its buckets' sizes: that from which the others of a group
+       were copied shares most bands with them. In each bucket the heaviest document of each of `salts` parts is paired with
+       the part's others, and the parts' heaviest with the heaviest of all: pairs grow linearly with a bucket, and a hot bucket is split.
        Pairs whose sizes or sketches rule the similarity out are dropped; full sets decide on the others.
-    4. Links become components. Only buckets that still hold several components are looked at again: every document outside
-       the bucket's largest component is held against those of other components, so that no candidate pair that could join two groups is left out.
-       Full sets decide again, and the components are formed anew.
+    4. Links become components. Buckets with the same heaviest document form a neighbourhood; two documents that share a bucket share one of these. In each
+       that still holds several components, every document outside the largest one is held against those of other components, in tiles
+       of bounded size: sketches first, full sets where they allow. A tile returns links that join components, at most one a document, so pairs are never listed, and
+       no candidate pair that could join two groups is left out. The components are formed anew.
     No bucket, group or list of links is ever collected. A pair at exactly the threshold is missed with a chance of about
     5e-8 by the bands and 1e-7 by the sketch.
 
@@ -118,27 +194,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, salts: int =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     feats = stored(docs.mapInArrow(lambda it: _signed(it, k), "doc_id long, n long, digest binary, bands array<long>, s1 long, s2 long"), "dedup-features")
     classes = feats.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = stored(feats.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "dedup-members")
-    reps = feats.where("digest IS NOT NULL").join(members.where("rep = doc_id").select(F.col("doc_id")).distinct(), "doc_id").select("doc_id", F.struct(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "s1", "s2").alias("d"), "bands")
-    banded = reps.select(F.explode("bands").alias("bucket"), "d").where("bucket IS NOT NULL")
-    first = F.first("d").over(Window.partitionBy("bucket", "salt").orderBy("d.id"))
-    part = stored(banded.withColumn("salt", F.pmod(F.xxhash64("d.id"), F.lit(salts)).cast("int")).withColumn("p", first), "dedup-buckets")
-    tops = part.where("d.id = p.id").select("bucket", "d").withColumn("p", F.first("d").over(Window.partitionBy("bucket").orderBy("d.id"))).withColumn("size", F.count("*").over(Window.partitionBy("bucket")))
-    shared = stored(tops.where("size > 1").select("bucket", "d", "p"), "dedup-tops")
-    stars = part.select("d", "p").unionByName(shared.select("d", "p")).where("d.id <> p.id").where(_similar("d", "p", percent))
+    members = stored(feats.select("doc_id", "n", "digest").join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "dedup-members")
+    reps = feats.where("digest IS NOT NULL").join(members.where("rep = doc_id").select("doc_id").distinct(), "doc_id").select(F.struct(F.col("doc_id").alias("id"), F.col("n").cast("int").alias("n"), "s1", "s2").alias("d"), "bands")
+    banded = reps.select("d", F.explode("bands").alias("bucket"))
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = stored(banded.join(sizes, "bucket"), "dedup-buckets")
+    weights = shared.groupBy(F.col("d.id").alias("id")).agg(F.sum("size").alias("weight"))
+    part = shared.withColumn("id", F.col("d.id")).join(weights, "id").select("bucket", "d", "weight", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    heaviest = lambda *by: F.first("d").over(Window.partitionBy(*by).orderBy(F.desc("weight"), "d.id"))
+    part = stored(part.withColumn("p", heaviest("bucket", "salt")), "dedup-parts")
+    tops = part.where("d.id = p.id").withColumn("p", heaviest("bucket"))
+    stars = part.select("d", "p").unionByName(tops.select("d", "p")).where("d.id <> p.id").where(_similar("d", "p", percent))
     texts = docs.where("doc_id IS NOT NULL")
     links = _verified(stars.select(F.col("p.id").alias("a"), F.col("d.id").alias("b")), texts, k, percent)
     comp = stored(components(links, "dedup-cc1"), "dedup-comp1")
 
-    # buckets with two documents or more, with the components so far
-    many = shared.select("bucket").unionByName(part.where("d.id <> p.id").select("bucket")).distinct()
-    again = part.select("bucket", "d").join(many, "bucket", "left_semi").join(comp.select(F.col("node").alias("nid"), "component"), F.col("d.id") == F.col("nid"), "left")
-    again = stored(again.select("bucket", "d", F.coalesce("component", "d.id").alias("c")), "dedup-again")
-    counts = again.groupBy("bucket", "c").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("major"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
-    mixed = stored(again.join(counts, "bucket"), "dedup-mixed")
-    x, y = mixed.where("c <> major").alias("x"), mixed.alias("y")
-    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.major")) | (F.col("x.d.id") < F.col("y.d.id"))) & _similar("x.d", "y.d", percent))
-    more = _verified(more.select(F.least("x.d.id", "y.d.id").alias("a"), F.greatest("x.d.id", "y.d.id").alias("b")), texts, k, percent)
+    of = tops.where("d.id = p.id").select("bucket", F.col("p.id").alias("g"))
+    near = shared.join(of, "bucket").select("g", F.col("d.id").alias("nid"), "d").dropDuplicates(["g", "nid"])
+    near = near.join(comp.select(F.col("node").alias("nid"), "component"), "nid", "left").select("g", "nid", "d", F.coalesce("component", "nid").alias("c"))
+    near = stored(near, "dedup-near")
+    groups = near.groupBy("g", "c").agg(F.count("*").alias("m")).groupBy("g").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("n"), F.count("*").alias("cs")).where("cs > 1")
+    groups = groups.select("g", F.col("top.c").alias("major"), F.ceil((F.col("n") - F.col("top.m")) / TILE).cast("int").alias("xs"), F.ceil(F.col("n") / TILE).cast("int").alias("ys"))
+    mixed = stored(near.join(groups, "g"), "dedup-mixed")
+    at = lambda parts: F.pmod(F.xxhash64("nid"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    x = mixed.where("c <> major").select("g", at("xs").alias("xt"), every("ys").alias("yt"), F.lit(0).alias("side"), "nid", "c", "d.n", "d.s1", "d.s2")
+    y = mixed.select("g", every("xs").alias("xt"), at("ys").alias("yt"), F.lit(1).alias("side"), "nid", "c", "d.n", "d.s1", "d.s2")
+    sets = _sets_of(mixed.select(F.col("nid").alias("doc_id")), texts, k)
+    tiles = x.unionByName(y).join(sets.withColumnRenamed("doc_id", "nid"), "nid")
+    more = stored(tiles.groupBy("g", "xt", "yt").applyInPandas(lambda p: _joining(p, percent), "a long, b long").distinct(), "dedup-joining")
     comp2 = components(comp.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "dedup-cc2")
     out = members.join(comp2.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
