@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Word pattern of every contract: runs of anything but ASCII white space.
@@ -50,12 +50,16 @@ def remainder(doc_id: Column, m: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % m, F.lit(0)).cast("int")
 
 
+def hash_key(salt: str) -> Column:
+    return F.md5(F.concat(F.lit(salt), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def smallest_by_hash(df: DataFrame, by: list[str], k: int, salt: str = "") -> DataFrame:
     """At most k rows of each group, those with the smallest hash of doc_id.
 
     The rank is limited before the shuffle (WindowGroupLimit), so a hot group sends k rows a task at most.
     """
-    key = F.md5(F.concat(F.lit(salt), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = hash_key(salt)
     w = Window.partitionBy(*by).orderBy("__key", "doc_id")
     return df.withColumn("__key", key).withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= k).drop("__key", "__rank")
 
@@ -67,6 +71,24 @@ def sample_texts(docs: DataFrame, by: list[str], k: int, most_chars: int | None
     return picked.withColumn("text", F.substring("text", 1, most_chars)) if most_chars else picked
 
 
+def whole_examples(sample: DataFrame, by: str, size: str, most: int, salt: str) -> list[Row]:
+    """Rows of a stored sample, brought to the driver a partition at a time: of each group the documents with the smallest hash of
+    doc_id, as far as their sizes add up to `most`, and its first one in any case. Documents come whole or not at all."""
+    cuts: dict = {}
+    sizes = sample.groupBy(by, hash_key(salt).alias("key")).agg(F.sum(size).alias("n")).collect()
+    for group in {r[by] for r in sizes}:
+        total = 0
+        for r in sorted((r for r in sizes if r[by] == group), key=lambda r: r["key"]):
+            total += r["n"]
+            if total > most and group in cuts:
+                break
+            cuts[group] = r["key"]
+    chosen = F.lit(False)
+    for group, key in cuts.items():
+        chosen |= (F.col(by) == group) & (hash_key(salt) <= key)
+    return list(sample.where(chosen).toLocalIterator())
+
+
 def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (a, b) long pairs -> (node, component), component = smallest node.
 
