@@ -10,13 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, sample_texts, table
+from .common import remainder, sample_texts, stored, table, whole_examples
 from .textbatch import WordHashes, chunks, mix64, words
 
 #: Weights; n-grams of words and of word shapes are hashed to them.
 DIMENSIONS = 1 << 20
-#: Training bound: labelled documents of each class, those with the smallest id hash, and code points of each.
-TRAIN_ROWS, TRAIN_CHARS = 6000, 20_000
+#: Training bound: labelled documents of each class, those with the smallest id hash, and their features together. Documents are whole.
+TRAIN_ROWS, TRAIN_FEATURES = 6000, 8_000_000
 EPOCHS = 5
 THRESHOLD = 0.3
 _U = np.uint64
@@ -60,24 +60,6 @@ class Features:
         return idx.astype(np.int64), v / np.sqrt((v * v).sum())
 
 
-class Examples:
-    """Sparse vectors of many texts, in a few large 32-bit arrays; examples[k] is (indices, values)."""
-
-    def __init__(self, texts: list[str], step: int = 500):
-        features, self.step, self.parts, self.n = Features(remember=50_000), step, [], len(texts)
-        for s in range(0, len(texts), step):
-            xs = [features.of(t) for t in texts[s : s + step]]
-            self.parts.append((np.concatenate([i for i, _ in xs]).astype(np.int32), np.concatenate([v for _, v in xs]).astype(np.float32), np.cumsum([0, *(len(i) for i, _ in xs)])))
-
-    def __len__(self) -> int:
-        return self.n
-
-    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        idx, val, at = self.parts[k // self.step]
-        a, b = at[k % self.step], at[k % self.step + 1]
-        return idx[a:b], val[a:b]
-
-
 def train_ftrl(examples, y: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.005, l2: float = 0.02, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias by follow-the-regularised-leader (proximal, a learning rate for each coordinate)."""
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
@@ -101,23 +83,30 @@ def train_ftrl(examples, y: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> tuple[np.ndarray, float]:
-    """Weights from labelled documents: at most TRAIN_ROWS of each class come to the driver; the bias is moved to the shares
-    of the classes among all labels. Conflicting labels of an id: the lower one. No labels, or one class: weights 0 and that share."""
+    """Weights from labelled documents: of each class at most TRAIN_ROWS, and TRAIN_FEATURES features together. The vectors of their whole texts,
+    made on executors, come to the driver in 32-bit arrays; the bias is moved to the shares of the classes among all labels.
+    Conflicting labels of an id: the lower one. No labels, or one class: weights 0 and that share."""
     given = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label_col).alias("y"))
     shares = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
     ids = sample_texts(given, ["y"], TRAIN_ROWS, salt="quality")
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text"), "y").toArrow().to_pandas() if shares else []
+    texts = docs.where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
+
+    def vectors(batches):
+        features = Features(remember=50_000)
+        for b, part in chunks(batches):
+            xs = [features.of(t) for t in part]
+            arrays = [pa.array([i.astype(np.int32).tobytes() for i, _ in xs], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in xs], pa.binary()), pa.array([len(i) for i, _ in xs], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *arrays], names=["doc_id", "y", "idx", "val", "n"])
+
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in texts.columns[:2])
+    rows = whole_examples(stored(texts.mapInArrow(vectors, f"{kinds}, idx binary, val binary, n long"), "quality-examples"), "y", "n", TRAIN_FEATURES, "quality") if shares else []
     good = shares.get(1, 0)
     prior = np.log((good + 1) / (sum(shares.values()) - good + 1)) if shares else 0.0
-    if len(rows) == 0 or rows["y"].nunique() < 2:
+    if len({r["y"] for r in rows}) < 2:
         return np.zeros(DIMENSIONS, np.float32), float(prior)
-    rows = rows.sort_values(["doc_id", "text"], ignore_index=True)
-    y, texts = (rows["y"].to_numpy() == 1).astype(float), rows["text"].tolist()
-    del rows
-    examples = Examples(texts)
-    del texts
-    w, bias = train_ftrl(examples, y)
+    rows.sort(key=lambda r: (r["doc_id"], bytes(r["idx"]), bytes(r["val"])))
+    y = np.array([r["y"] == 1 for r in rows], float)
+    w, bias = train_ftrl([(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32)) for r in rows], y)
     return w, float(bias + prior - np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from folio.llm import toxicity
+from folio.llm import quality_classifier, toxicity
 from folio.llm.common import whole_examples
 
 
@@ -30,6 +30,14 @@ def test_toxic_words_far_behind_are_learned(spark):
     assert ((out["score"] >= 0.5) == (out["toxic"] == 1)).all()
 
 
+def test_bad_words_far_behind_are_learned(spark):
+    docs, labels = far_behind(spark)
+    learn = F.col("doc_id") < 120
+    out = quality_classifier.score_quality(docs, quality_classifier.learn_quality(docs.where(learn), labels.where(learn))).join(labels, "doc_id").where(~learn).toPandas()
+    good = out["quality"] == 1
+    assert out[good]["score"].min() > out[~good]["score"].max()
+
+
 def test_size_bound_takes_whole_documents(spark):
     sample = spark.createDataFrame([(i, i % 2, 10 + i, b"x" * (10 + i)) for i in range(40)], "doc_id long, y int, n long, ids binary")
     for most, least in ((1, 1), (100, 2), (10_000, 20)):
