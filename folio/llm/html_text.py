@@ -24,6 +24,9 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"d
 INLINE_SCOPE = frozenset("a b i em strong span small big u s code font abbr cite q sub sup mark tt kbd samp var time label".split())
 #: Words in class, id or role that mark what is not the article. They count as whole words of the attribute.
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar aside rail widget footer header masthead topbar toolbar comment comments commentlist disqus respond reply replies reviews notice notices cookie cookies consent gdpr banner popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager copyright legal disclaimer skip search alert toc tags contentinfo complementary".split())
+#: Those that are topics as well: as a part of a longer name they mark nothing if the element holds prose.
+TOPICS = frozenset("search legal tags alert share sharing social related reviews notice notices skip respond reply replies promotion".split())
+LEAST_PROSE = 140
 KEEPS_NOISE = frozenset("html body article main".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -32,10 +35,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "noise", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, marked: str | None = None):
+        self.tag, self.parent, self.noise, self.marked = tag, parent, noise, marked
         self.children: list[Node | str] = []
 
 
@@ -51,11 +54,23 @@ def _noisy(tag: str, attrs: str) -> bool:
         value = m[2] or m[3] or m[4] or ""
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role") and any(w in NOISE for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-            return True
     return False
 
 
+def _marked(tag: str, attrs: str) -> str | None:
+    """"name" if class, id or role hold a word of NOISE, "topic" if only such of TOPICS as parts of longer names."""
+    found = None
+    for m in _ATTR.finditer(attrs) if attrs and tag not in SKIPPED else ():
+        if m[1].lower() in ("class", "id", "role"):
+            for name in (m[2] or m[3] or m[4] or "").split():
+                parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+                noise = [w for w in parts if w in NOISE]
+                if noise and (len(noise) == len(parts) or not TOPICS.issuperset(noise)):
+                    return "name"
+                found = "topic" if noise else found
+    return found
+
+
 def parse(page: str) -> Node:
     """A tree of elements and decoded texts. Missing and wrong end tags are mended as browsers do for common cases; nothing raises."""
     root = Node("#root", None)
@@ -111,7 +126,7 @@ def parse(page: str) -> Node:
                 if up.tag in closes:
                     at = up.parent
                 up = up.parent
-        node = Node(tag, at, _noisy(tag, m[3]))
+        node = Node(tag, at, _noisy(tag, m[3]), _marked(tag, m[3]))
         at.children.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW and tag not in INLINE_SCOPE:
             continue
@@ -133,6 +148,35 @@ def _walk(root: Node):
     return reversed(order)
 
 
+def settle(root: Node) -> None:
+    """Marked elements become noise, except those around the article or main element with the most unlinked text, or, where a page has none,
+    around two thirds of its unlinked text; and except prose under a topic's name. Marked articles, as of comments, do not count as such."""
+    order = list(_walk(root))
+    if not any(x.marked for x in order):
+        return
+    for x in order:
+        x.chars = x.link_chars = 0
+        for c in x.children:
+            if isinstance(c, str):
+                x.chars += len(_SPACE.sub(" ", c).strip())
+            elif not c.noise:
+                x.chars, x.link_chars = x.chars + c.chars, x.link_chars + c.link_chars
+        if x.tag == "a":
+            x.link_chars = x.chars
+    named = [x for x in reversed(order) if x.tag in ("article", "main") and not x.marked and x.chars > x.link_chars]
+    up = max(named, key=lambda x: x.chars - x.link_chars, default=None)
+    around = set()
+    while up is not None:
+        around.add(id(up))
+        up = up.parent
+    whole = root.chars - root.link_chars
+    for x in order:
+        if x.marked and x.tag not in KEEPS_NOISE:
+            plain = x.chars - x.link_chars
+            wraps = id(x) in around if named else 0 < 2 * whole <= 3 * plain
+            x.noise = not wraps and not (x.marked == "topic" and plain >= LEAST_PROSE and 2 * x.link_chars <= x.chars)
+
+
 def measure(root: Node) -> Node | None:
     """Characters, tags, linked characters and tags of every node without noise; then its density and the sum of its children's. Returns the body."""
     body = None
@@ -170,6 +214,7 @@ def main_node(root: Node) -> Node:
     parent as long as siblings at least as dense as the threshold add a fifth of its plain text, or a heading stands
     before it. Siblings passed on the way that are mostly links are noise; those of an article are all kept.
     """
+    settle(root)
     body = measure(root)
     top = body or root
     best = max((x for x in _walk(top) if x.chars), key=lambda x: (x.total, x.chars - x.link_chars), default=top)
