@@ -210,9 +210,9 @@ def main_node(root: Node) -> Node:
     """The content subtree.
 
     It starts at the node with the largest sum of its children's densities. Half the smallest density on the path from there to the body is
-    the threshold. The subtree grows along that path: to the whole article or main element it lies in, or else to a
-    parent as long as siblings at least as dense as the threshold add a fifth of its plain text, or a heading stands
-    before it. Siblings passed on the way that are mostly links are noise; those of an article are all kept.
+    the threshold. The subtree grows along that path: to the whole article or main element it lies in, or else to the body. On the way all siblings
+    but those that are mostly links are kept while siblings at least as dense as the threshold add a fifth of its plain text, or a heading stands
+    before it. From the first parent where neither holds, blocks are kept by themselves, see `chosen`. Everything in an article is kept.
     """
     settle(root)
     body = measure(root)
@@ -225,20 +225,38 @@ def main_node(root: Node) -> Node:
     named = [x for x in path if x.tag in ("article", "main")]
     if named:
         return named[0]
-    threshold, now = min(x.density for x in path) / 2, best
+    threshold, now, whole = min(x.density for x in path) / 2, best, True
     for above in path[1:]:
         here = above.children.index(now)
         others = [c for c in above.children if isinstance(c, Node) and c is not now and not c.noise and c.chars]
         added = sum(c.chars - c.link_chars for c in others if c.density >= threshold) + sum(len(c.strip()) for c in above.children if isinstance(c, str))
         headed = any(isinstance(c, Node) and c.tag in ("h1", "h2") and not c.noise for c in above.children[:here])
-        if not headed and added < 0.2 * (now.chars - now.link_chars):
-            break
+        whole = whole and (headed or added >= 0.2 * (now.chars - now.link_chars))
+        kept = None if whole else chosen(above, now, threshold)
         for c in others:
-            c.noise = 2 * c.link_chars > c.chars
+            c.noise = 2 * c.link_chars > c.chars or kept is not None and c.tag in BLOCKS and id(c) not in kept
         now = above
     return now
 
 
+def chosen(above: Node, now: Node, threshold: float) -> set[int]:
+    """Blocks of a parent that belong to the text of its child `now`, of those that are not mostly links: those at least as dense as the threshold,
+    all between kept ones, and link-free paragraphs and headings next to kept ones. Parts made of paragraphs count as such below the body."""
+    row = [c for c in above.children if isinstance(c, Node) and (c is now or not c.noise and c.chars and c.tag in BLOCKS and 2 * c.link_chars <= c.chars)]
+    kept = [i for i, c in enumerate(row) if c is now or c.density >= threshold]
+    first, last = kept[0], kept[-1]
+
+    def paragraph(c: Node) -> bool:
+        within = above.tag not in ("body", "#root") and any(isinstance(x, Node) and x.tag == "p" for x in c.children)
+        return not c.link_chars and (c.tag == "p" or within)
+
+    while first and (paragraph(row[first - 1]) or row[first - 1].tag in ("h1", "h2", "h3", "h4", "h5", "h6")):
+        first -= 1
+    while last + 1 < len(row) and paragraph(row[last + 1]):
+        last += 1
+    return {id(c) for c in row[first : last + 1]}
+
+
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks in page order, white space as one space; noise left out. A line break within a block is a space."""
     out: list[str] = []
