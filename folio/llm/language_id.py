@@ -16,7 +16,7 @@ from .textbatch import chunks
 
 #: Training bound: documents and normalised characters for each language, and characters of all languages together.
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_ALL = 48, 24_000, 1_200_000
-#: Letters that get a code of their own; all others share one that matches nothing.
+#: Letters with a column of their own in the table of transitions; the transitions of all others in the samples are kept as a sorted list.
 LETTERS = 92
 #: Texts are parsed in windows of so many normalised characters, side by side; a window's end closes a phrase.
 WINDOW = 512
@@ -24,23 +24,28 @@ SPACE, OTHER, END = 0, 1, 2
 
 
 class Alphabet:
-    """Code points -> codes: one for anything but letters, one for letters not in `letters`, then the letters."""
+    """Code points -> codes: one for anything but letters, one for letters not in `letters`, one for ends, then the letters. Codes from `dense` on have no column."""
 
     def __init__(self, letters: str):
         self.letters = letters
+        self.kind = np.min_scalar_type(2 + len(letters))
         self.codes: np.ndarray | None = None
 
     def __getstate__(self):
-        return {"letters": self.letters, "codes": None}
+        return {"letters": self.letters, "kind": self.kind, "codes": None}
 
     @property
     def size(self) -> int:
         return 3 + len(self.letters)
 
+    @property
+    def dense(self) -> int:
+        return 3 + min(LETTERS, len(self.letters))
+
     def encode(self, text: str) -> np.ndarray:
         """Lower-cased text as codes, runs of anything but letters as one space, none at the ends."""
         if self.codes is None:
-            self.codes = np.full(0x110000, SPACE, np.uint8)
+            self.codes = np.full(0x110000, SPACE, self.kind)
             self.codes[[c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L"]] = OTHER
             for i, x in enumerate(self.letters):
                 self.codes[ord(x)] = 3 + i
@@ -53,8 +58,18 @@ class Alphabet:
         return c[:-1] if len(c) and c[-1] == SPACE else c
 
 
-def suffix_automaton(codes: np.ndarray, size: int) -> np.ndarray:
-    """Transitions (states, size) of the automaton that accepts the substrings of codes; -1 where there is none, state 0 is the root."""
+def even_share(lengths: list[int], most: int) -> int:
+    """The largest length to which texts of these lengths are cut so that they have at most `most` together; short ones leave theirs to the others."""
+    for k, n in enumerate(sorted(lengths)):
+        if n > most // (len(lengths) - k):
+            return most // (len(lengths) - k)
+        most -= n
+    return max(lengths, default=0)
+
+
+def suffix_automaton(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The automaton that accepts the substrings of codes: transitions (states, size), -1 where there is none, state 0 is the root;
+    and (state, code, next state) for codes from size on."""
     nxt, link, length = [{}], [-1], [0]
     last = 0
     for c in codes.tolist():
@@ -82,8 +97,10 @@ def suffix_automaton(codes: np.ndarray, size: int) -> np.ndarray:
         last = cur
     out = np.full((len(nxt), size), -1, np.int32)
     for s, d in enumerate(nxt):
-        out[s, list(d)] = list(d.values())
-    return out
+        common = {c: to for c, to in d.items() if c < size}
+        out[s, list(common)] = list(common.values())
+    rare = [(s, c, to) for s, d in enumerate(nxt) for c, to in d.items() if c >= size]
+    return out, np.array(rare, np.int64).reshape(-1, 3)
 
 
 class CrossParser:
@@ -93,13 +110,18 @@ class CrossParser:
     def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
         counts = Counter(c for ts in texts.values() for t in ts for c in t.lower() if unicodedata.category(c)[0] == "L")
-        self.alphabet = Alphabet("".join(sorted(c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])))
-        size, rows, self.roots, self.cost = self.alphabet.size, [], [], []
+        often = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        self.alphabet = Alphabet("".join(sorted(often[:LETTERS]) + sorted(often[LETTERS:])))
+        size, rows, rare_keys, rare_next, self.roots, self.cost = self.alphabet.dense, [], [], [], [], []
         most = min(TRAIN_CHARS, TRAIN_ALL // max(1, len(self.langs)))
         base = 0
         for lang in self.langs:
-            codes = np.concatenate([np.append(self.alphabet.encode(t), np.uint8(SPACE)) for t in texts[lang]] or [np.zeros(0, np.uint8)])[:most]
-            auto = suffix_automaton(codes, size)
+            coded = [self.alphabet.encode(t) for t in texts[lang]]
+            cut = even_share([len(c) + 1 for c in coded], most) - 1
+            codes = np.concatenate([np.append(c[: max(0, cut)], self.alphabet.kind.type(SPACE)) for c in coded] or [np.zeros(0, self.alphabet.kind)])
+            auto, rare = suffix_automaton(codes, size)
+            rare_keys.append((rare[:, 0] + base) * self.alphabet.size + rare[:, 1])
+            rare_next.append(((rare[:, 2] + base) * size).astype(np.int32))
             auto[:, [OTHER, END]] = -1
             root = auto[0].copy()
             missing = auto < 0
@@ -112,6 +134,24 @@ class CrossParser:
             self.cost.append(math.log2(max(2, len(codes))))
             base += len(auto)
         self.table = np.concatenate(rows).reshape(-1) if rows else np.zeros(0, np.int32)
+        keys = np.concatenate(rare_keys) if rows else np.zeros(0, np.int64)
+        order = np.argsort(keys)
+        self.rare_keys, self.rare_next = keys[order], np.concatenate(rare_next)[order] if rows else np.zeros(0, np.int32)
+
+    def rare(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Next states by codes without a column, -1 where there is none."""
+        keys = state.astype(np.int64) // self.alphabet.dense * self.alphabet.size + codes
+        at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+        return np.where(self.rare_keys[at] == keys, self.rare_next[at], -1)
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Entries of the table, made up for codes without a column: those of a letter never seen, unless the match or a new one goes on with it."""
+        dense = self.alphabet.dense
+        v = self.table[state + np.where(codes < dense, codes, OTHER)]
+        some = np.flatnonzero(codes >= dense)
+        on, new = self.rare(state[:, some], codes[some]), self.rare(np.array(self.roots)[:, None], codes[some][None, :])
+        v[:, some] = np.where(on >= 0, on << 2, np.where(new >= 0, new << 2 | 1, v[:, some]))
+        return v
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases (texts, languages) of encoded texts; every window of every text takes a step at a time together."""
@@ -121,11 +161,11 @@ class CrossParser:
         if not windows.sum():
             return out
         of = np.repeat(np.arange(len(texts)), windows)
-        grid = np.full((len(of), WINDOW + 1), END, np.uint8)
+        grid = np.full((len(of), WINDOW + 1), END, self.alphabet.kind)
         first = np.cumsum(windows) - windows
         for i, t in enumerate(texts):
             if len(t):
-                flat = np.full(windows[i] * WINDOW, END, np.uint8)
+                flat = np.full(windows[i] * WINDOW, END, self.alphabet.kind)
                 flat[: len(t)] = t
                 grid[first[i] : first[i] + windows[i], :WINDOW] = flat.reshape(-1, WINDOW)
         width = (grid != END).sum(axis=1)
@@ -135,9 +175,10 @@ class CrossParser:
         state = np.repeat(np.array(self.roots, np.int32)[:, None], lanes, axis=1)
         count = np.zeros((langs, lanes), np.int32)
         live = np.searchsorted(-width, -np.arange(width[0] + 1), side="right")  # windows with a symbol or their end at each step
+        listed = (grid >= self.alphabet.dense).any(axis=1)
         for t in range(width[0] + 1):
             m = live[t]
-            v = self.table[state[:, :m] + grid[t, :m]]
+            v = self.step(state[:, :m], grid[t, :m].astype(np.int32)) if listed[t] else self.table[state[:, :m] + grid[t, :m]]
             count[:, :m] += v & 3
             state[:, :m] = v >> 2
         np.add.at(out, of[order], count.T)
@@ -145,7 +186,7 @@ class CrossParser:
 
     def guess(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, score and bits a character; und, 0 and 0 without letters. Equal costs: the language that sorts first."""
-        coded = [self.alphabet.encode(t) if t else np.zeros(0, np.uint8) for t in texts]
+        coded = [self.alphabet.encode(t) if t else np.zeros(0, self.alphabet.kind) for t in texts]
         lettered = np.array([bool((c != SPACE).any()) for c in coded], bool)
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
@@ -160,7 +201,7 @@ class CrossParser:
 
 def learn_languages(labelled: DataFrame) -> CrossParser:
     """A parser from rows with doc_id, text and lang: of each language at most TRAIN_DOCS documents, those with the smallest
-    id hash, at most TRAIN_CHARS normalised characters together, fewer if there are over TRAIN_ALL / TRAIN_CHARS languages.
+    id hash, at most TRAIN_CHARS normalised characters together, shared out evenly among them, fewer if there are over TRAIN_ALL / TRAIN_CHARS languages.
     That bounded sample is all that comes to the driver."""
     rows = sample_texts(labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang"), ["lang"], TRAIN_DOCS, TRAIN_CHARS, "lang").orderBy("lang", F.md5(F.col("doc_id").cast("string"))).collect()
     texts: dict[str, list[str]] = {}
