@@ -210,3 +210,19 @@ def text_box_findings(boxes: DataFrame, width: float, height: float) -> DataFram
     hit = left.join(right, ["paper_id", "slide_id"]).where("ai < bi").where(~((F.col("ay") > height * 0.84) & (F.col("by") > height * 0.84)) & ~F.col("atext").rlike(r"^\d{2}$") & ~F.col("btext").rlike(r"^\d{2}$")).where(intersection_ratio("a", "b") > 0.65)
     message = F.when(F.col("code") == "OUT_OF_BOUNDS_TEXT", " 存在超出画布的文本框。").when(F.col("code") == "UNREADABLY_SMALL_FONT", " 存在小于 8pt 的文本。").otherwise(" 的文本密度可能超过文本框容量。")
     return issues(first, "visual", F.col("code"), F.when(F.col("code") == "OUT_OF_BOUNDS_TEXT", "error").otherwise("warning"), _text(F.col("slide_id"), message), _slide()).unionByName(issues(hit.select("paper_id", "slide_id").distinct(), "visual", "TEXT_BOX_OVERLAP", "error", _text(F.col("slide_id"), " 存在大面积重叠的文本框。"), _slide()))
+
+
+def package_findings(packages: DataFrame) -> DataFrame:
+    """packages(paper_id, width, height, problem): those that cannot be read, and those whose slides are not 16:9."""
+    p = packages.withColumn("good", F.coalesce((F.col("width") > 0) & (F.col("height") > 0) & (F.abs(F.try_divide(F.col("width"), F.col("height")) - F.lit(16 / 9)) <= 0.01), F.lit(False)))
+    return union(
+        issues(p.where("problem IS NOT NULL"), "visual", "INVALID_PPTX_PACKAGE", "error", _text("无法检查 PPTX 包：", F.col("problem"))),
+        issues(p.where("problem IS NULL AND NOT good"), "visual", "INVALID_SLIDE_ASPECT", "error", F.lit("PPTX 画布不是有效的 16:9 尺寸。")),
+    )
+
+
+def missing_tables(boxes: DataFrame, visuals: DataFrame) -> DataFrame:
+    """Slides of a package that should show a source table but hold no native one. boxes(paper_id, slide_id, has_table), a row for each slide at least."""
+    bare = boxes.groupBy("paper_id", "slide_id").agg(F.max("has_table").alias("has")).where("NOT has")
+    wanted = bare.join(visuals.where("kind = 'source_table'").select("paper_id", "slide_id"), ["paper_id", "slide_id"], "left_semi")
+    return issues(wanted, "visual", "NATIVE_TABLE_MISSING", "error", _text(F.col("slide_id"), " 应包含可编辑 native table，但 PPTX 中未找到。"), _slide())

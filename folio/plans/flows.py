@@ -102,7 +102,7 @@ def build_plan(units: DataFrame, nodes: DataFrame, mode: str, budget: int | None
 
 
 def run_qa(deck: dict[str, DataFrame], max_iterations: int = 1) -> dict[str, DataFrame]:
-    """deck: slides, units, plans, citations, visuals, nodes, known, and optionally evaluations and dependencies, or boxes.
+    """deck: slides, units, plans, citations, visuals, nodes, known, and optionally evaluations and dependencies, boxes, or packages.
 
     Findings of all rules; titles are repaired and checked again, at most max_iterations times, until nothing is left to repair.
     """
@@ -115,6 +115,10 @@ def run_qa(deck: dict[str, DataFrame], max_iterations: int = 1) -> dict[str, Dat
             parts.append(qa.semantic(slides, deck["evaluations"], deck["dependencies"]))
         if "boxes" in deck:
             parts.append(qa.text_box_findings(deck["boxes"], 12192000, 6858000))
+            if "has_table" in deck["boxes"].columns:
+                parts.append(qa.missing_tables(deck["boxes"], deck["visuals"]))
+        if "packages" in deck:
+            parts.append(qa.package_findings(deck["packages"]))
         return qa.union(*parts)
 
     slides, actions = deck["slides"], None

@@ -6,6 +6,7 @@ import io
 import re
 import tarfile
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -117,8 +118,34 @@ def resolve_graphics(refs: DataFrame, members: DataFrame, by: str = "path") -> D
 _NS = {"a": "http://schemas.openxmlformats.org/drawingml/2006/main", "p": "http://schemas.openxmlformats.org/presentationml/2006/main"}
 
 
+#: What a broken package raises.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, OSError, KeyError, ValueError, TypeError, AttributeError, NotImplementedError, RuntimeError, ElementTree.ParseError)
+
+
+def slide_packages(packages: DataFrame) -> DataFrame:
+    """(path, width, height, problem): the slide size in EMU, 0 where none is given, or why the package or a slide in it cannot be read."""
+
+    def one(data: bytes):
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                size = ElementTree.fromstring(z.read("ppt/presentation.xml")).find("./p:sldSz", _NS)
+                for n in z.namelist():
+                    if re.fullmatch(r"ppt/slides/slide\d+\.xml", n):
+                        ElementTree.fromstring(z.read(n))
+                return (0, 0, None) if size is None else (int(size.get("cx", "0")), int(size.get("cy", "0")), None)
+        except UNREADABLE as e:
+            return 0, 0, f"{type(e).__name__}: {e}"
+
+    def read(frames):
+        for f in frames:
+            yield pd.DataFrame([(p, *one(d)) for p, d in zip(f["path"], f["content"], strict=True)], columns=["path", "width", "height", "problem"])
+
+    return packages.select("path", "content").mapInPandas(read, "path string, width long, height long, problem string")
+
+
 def slide_boxes(packages: DataFrame) -> DataFrame:
-    """Text boxes of slide packages: (path, slide, i, text, x, y, cx, cy, font, auto_fit, has_table); a row with null i for a slide without any."""
+    """Text boxes of slide packages: (path, slide, i, text, x, y, cx, cy, font, auto_fit, has_table); a row with null i for a slide without any.
+    A package that cannot be read has no rows; `slide_packages` names it."""
 
     def boxes(data: bytes):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -144,7 +171,12 @@ def slide_boxes(packages: DataFrame) -> DataFrame:
     def read(frames):
         cols = ["path", "slide", "i", "text", "x", "y", "cx", "cy", "font", "auto_fit", "has_table"]
         for f in frames:
-            rows = [(p, *b) for p, d in zip(f["path"], f["content"], strict=True) for b in boxes(d)]
+            rows = []
+            for p, d in zip(f["path"], f["content"], strict=True):
+                try:
+                    rows += [(p, *b) for b in boxes(d)]
+                except UNREADABLE:
+                    continue
             out = pd.DataFrame(rows, columns=cols)
             yield out.astype({c: "Int64" for c in ("slide", "i", "x", "y", "cx", "cy")})
 
