@@ -101,8 +101,11 @@ def learn_cutoffs(measures: DataFrame, labels: DataFrame, max_false_rejection: f
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     above = [F.sum((F.col(m) > c).cast("long")).alias(f"{m}_{c}") for m in MEASURES for c in cutoffs]
     counts = measures.where(~base_failed()).join(good, "doc_id").groupBy("stratum").agg(F.count("*").alias("n"), *above)
-    counts = counts.select("stratum", "n", F.count("*").over(Window.partitionBy(F.lit(0))).alias("strata"), F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(c).alias("cutoff"), F.col(f"{m}_{c}").alias("k")) for m in MEASURES for c in cutoffs])).alias("c")).select("stratum", "n", "strata", "c.*")
-    tested = counts.withColumn("proven", binomial_cdf(F.col("n"), F.col("k"), max_false_rejection / len(MEASURES)) <= delta / (F.col("strata") * len(MEASURES)))
+    counts = stored(counts, "quality-counts")
+    strata = counts.count()  # of those with a good document, counted before each becomes a row per cutoff
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(c).alias("cutoff"), F.col(f"{m}_{c}").alias("k")) for m in MEASURES for c in cutoffs]))
+    counts = counts.select("stratum", "n", each.alias("c")).select("stratum", "n", "c.*")
+    tested = counts.withColumn("proven", binomial_cdf(F.col("n"), F.col("k"), max_false_rejection / len(MEASURES)) <= delta / (max(1, strata) * len(MEASURES)))
     order = Window.partitionBy("stratum", "measure").orderBy(F.desc("cutoff"))
     return tested.withColumn("so_far", F.min("proven").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("so_far").groupBy("stratum", "measure").agg(F.min("cutoff").alias("cutoff"))
 

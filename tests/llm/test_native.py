@@ -150,3 +150,55 @@ def test_cutoffs_keep_good_documents(spark):
     good = [got[i]["kept"] for i in range(900) if i % 10]
     assert all(good) and not any(got[i]["kept"] for i in range(0, 900, 10))
     assert not any("m_" in got[1000 + i]["failed_rules"] for i in range(20))
+
+
+def brute_cutoffs(rows, most=Fraction(1, 20), delta=0.05):
+    """Lowest proven cutoff of each (stratum, measure) by exact binomial sums; rows: (stratum, measures of one good document that passes the base rule)."""
+    strata, rules = {s for s, _ in rows}, len(quality_rules.MEASURES)
+    out = {}
+    for s in strata:
+        good = [m for x, m in rows if x == s]
+        for r, name in enumerate(quality_rules.MEASURES):
+            for c in sorted(quality_rules.CUTOFFS, reverse=True):
+                n, k, p = len(good), sum(m[r] > c for m in good), float(most / rules)
+                if k >= n * p or sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > delta / (len(strata) * rules):
+                    break
+                out[s, name] = c
+    return out
+
+
+def test_cutoffs_of_several_strata(spark):
+    """The bound is divided by the number of strata, not of candidates: 470 good documents prove a cutoff among three strata and a tiny one."""
+    rows, i = [], 0
+    for s, n in (("de", 470), ("en", 500), ("fr", 900), ("xx", 7)):
+        for k in range(n):
+            m = [(k * 7) % 4 + (60 if k % 450 == 449 else 0), 25 + (k % 3), 0, 101 if k == 5 else 3]
+            rows.append((i, s, 100, 10, *m))
+            i += 1
+    spec = "doc_id long, stratum string, n_words long, n_repeat_words long, " + ", ".join(f"{m} long" for m in quality_rules.MEASURES)
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    got = {(r["stratum"], r["measure"]): r["cutoff"] for r in quality_rules.learn_cutoffs(spark.createDataFrame(rows, spec), labels).collect()}
+    want = brute_cutoffs([(r[1], r[4:]) for r in rows])
+    assert got == want and {s for s, _ in want} == {"de", "en", "fr"}
+
+
+def test_op6_equals_its_sql_where_cutoffs_act(spark, tmp_path):
+    """The registered query and its SQL on 1,500 documents of three languages, each with enough labels for a proof."""
+    import duckdb
+
+    rows, labels, i = [], [], 0
+    for lang, n in (("de", 480), ("en", 520), (None, 500)):
+        for k in range(n):
+            bad = k % 12 == 0
+            rows.append((i, " ".join(f"w{i}x{j}" for j in range(55)) + (" $$$$$$$$" * 30 if bad else "") + (" # #" if k % 9 == 4 else ""), lang, "s", 1))
+            labels.append((i, int(not bad)))
+            i += 1
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    d.repartition(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").repartition(1).write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(map(tuple, quality_rules.op6_quality_rules(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert got == sorted(con.execute(quality_rules.OP6_SQL).fetchall())
+    assert sum("m_symbols" in r[-1] for r in got) == sum(1 for x in labels if not x[1])
