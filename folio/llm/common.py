@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share; a new local one only where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + os.path.join(tempfile.mkdtemp(prefix="folio-"), "shared")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -50,43 +52,53 @@ def remainder(doc_id: Column, m: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % m, F.lit(0)).cast("int")
 
 
-def hash_key(salt: str) -> Column:
-    return F.md5(F.concat(F.lit(salt), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+#: Rows of a table of counts, one a group, up to which it is broadcast.
+MOST_GROUPS = 100_000
 
 
-def smallest_by_hash(df: DataFrame, by: list[str], k: int, salt: str = "") -> DataFrame:
-    """At most k rows of each group, those with the smallest hash of doc_id.
+def sample_hash(salt: str) -> Column:
+    """A hash of doc_id from 0 to 2**63 - 1."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), F.col("doc_id").cast("string")), 1)
 
-    The rank is limited before the shuffle (WindowGroupLimit), so a hot group sends k rows a task at most.
+
+def sample_ids(rows: DataFrame, by: str, k: int, salt: str) -> DataFrame:
+    """(by, doc_id): at most k ids of each group, those with the smallest hash; an id counts once, however many rows repeat it.
+
+    Ids are counted first (HyperLogLog, combined on the map side), and only those below a hash that lets about twice k through go on; so what
+    meets in one task of a group is some times k rows, whatever the group's size and the number of tasks. Null groups and ids have no part.
     """
-    key = hash_key(salt)
-    w = Window.partitionBy(*by).orderBy("__key", "doc_id")
-    return df.withColumn("__key", key).withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= k).drop("__key", "__rank")
+    rows = rows.select(by, "doc_id").where(F.col(by).isNotNull() & F.col("doc_id").isNotNull())
+    want, span = 2.0 * k + 64, float(1 << 63)
+    n = F.approx_count_distinct("doc_id", 0.03)
+    limits = stored(rows.groupBy(by).agg(F.when(n > want, want / n * span).otherwise(2 * span).alias("limit")), "sample-limits")
+    limits = F.broadcast(limits) if limits.count() <= MOST_GROUPS else limits
+    below = rows.withColumn("hash", sample_hash(salt)).join(limits, by).where(F.col("hash").cast("double") < F.col("limit"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("hash", "doc_id"))
+    return below.select(by, "doc_id", "hash").distinct().withColumn("rank", rank).where(F.col("rank") <= k).select(by, "doc_id")
 
 
-def sample_texts(docs: DataFrame, by: list[str], k: int, most_chars: int | None = None, salt: str = "") -> DataFrame:
-    """Whole rows of at most k documents of each group. Ids are chosen without reading texts; at most k ids a group are broadcast."""
-    ids = smallest_by_hash(docs.select("doc_id", *by), by, k, salt).select("doc_id").distinct()
-    picked = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    return picked.withColumn("text", F.substring("text", 1, most_chars)) if most_chars else picked
+def sample_rows(docs: DataFrame, ids: DataFrame, on: list[str], cols: list[str]) -> DataFrame:
+    """ids' columns with those of one row of docs for each id, that with the smallest hash of `cols`. ids: a sample of bounded size, which is broadcast."""
+    picked = docs.select(*on, *cols).join(F.broadcast(ids), on).groupBy(*ids.columns).agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("row"))
+    return picked.select(*ids.columns, "row.*")
 
 
 def whole_examples(sample: DataFrame, by: str, size: str, most: int, salt: str) -> list[Row]:
-    """Rows of a stored sample, brought to the driver a partition at a time: of each group the documents with the smallest hash of
-    doc_id, as far as their sizes add up to `most`, and its first one in any case. Documents come whole or not at all."""
-    cuts: dict = {}
-    sizes = sample.groupBy(by, hash_key(salt).alias("key")).agg(F.sum(size).alias("n")).collect()
-    for group in {r[by] for r in sizes}:
-        total = 0
-        for r in sorted((r for r in sizes if r[by] == group), key=lambda r: r["key"]):
-            total += r["n"]
-            if total > most and group in cuts:
-                break
-            cuts[group] = r["key"]
-    chosen = F.lit(False)
-    for group, key in cuts.items():
-        chosen |= (F.col(by) == group) & (hash_key(salt) <= key)
-    return list(sample.where(chosen).toLocalIterator())
+    """Rows of a stored sample of bounded size, one an id, brought to the driver a partition at a time: of each group, in the order of the ids' hashes, every one that
+    still fits so that their sizes add up to `most`, and the smallest if none does. Documents come whole or not at all."""
+    left: dict = {}
+    chosen = []
+    sizes = sample.select(by, "doc_id", size, sample_hash(salt).alias("hash")).collect()
+    for r in sorted(sizes, key=lambda r: (r["hash"], r["doc_id"])):
+        if r[size] <= left.setdefault(r[by], most):
+            left[r[by]] -= r[size]
+            chosen.append((r[by], r["doc_id"]))
+    for group in {r[by] for r in sizes} - {g for g, _ in chosen}:
+        chosen.append(min((r[size], group, r["doc_id"]) for r in sizes if r[by] == group)[1:])
+    if not chosen:
+        return []
+    picked = sample.sparkSession.createDataFrame(chosen, sample.select(by, "doc_id").schema)
+    return list(sample.join(F.broadcast(picked), [by, "doc_id"], "left_semi").toLocalIterator())
 
 
 def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:

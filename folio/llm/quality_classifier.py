@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, sample_texts, stored, table, whole_examples
-from .textbatch import WordHashes, chunks, mix64, words
+from .common import remainder, sample_ids, sample_rows, stored, table, whole_examples
+from .textbatch import WordHashes, chunks, mix64, tidy, words
 
 #: Weights; n-grams of words and of word shapes are hashed to them.
 DIMENSIONS = 1 << 20
@@ -85,12 +85,13 @@ def train_ftrl(examples, y: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l
 def learn_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> tuple[np.ndarray, float]:
     """Weights from labelled documents: of each class at most TRAIN_ROWS, and TRAIN_FEATURES features together. The vectors of their whole texts,
     made on executors, come to the driver in 32-bit arrays; the bias is moved to the shares of the classes among all labels.
-    Conflicting labels of an id: the lower one. No labels, or one class: weights 0 and that share."""
+    Conflicting labels of an id: the lower one; rows that repeat an id: one of them. Null labels, ids and texts teach nothing. No labels, or one class: weights 0 and that share.
+    Columns of docs and labels besides these do not matter, whatever their names."""
     given = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label_col).alias("y"))
     shares = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    ids = sample_texts(given, ["y"], TRAIN_ROWS, salt="quality")
-    texts = docs.where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text")
+    texts = sample_rows(docs.where("text IS NOT NULL"), sample_ids(given, "y", TRAIN_ROWS, "quality"), ["doc_id"], ["text"]).select("doc_id", "y", "text")
 
+    @tidy
     def vectors(batches):
         features = Features(remember=50_000)
         for b, part in chunks(batches):
@@ -113,13 +114,14 @@ def learn_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(id, score), or docs' columns in `keep` and score: the chance that the label is 1, a sparse dot product over the whole text.
 
-    Null and wordless texts have no features and score 0: nothing speaks for them. Repeated rows are scored each; very long texts are one vector
-    like others. The weights travel once to each executor (DIMENSIONS 32-bit numbers, whatever the input).
+    Null and wordless texts have no features and score 0: nothing speaks for them. Repeated rows are scored each, equal texts alike; very long texts are one vector
+    like others; an empty table gives no rows. Further columns of docs do not matter, whatever their names. The weights travel once to each executor (DIMENSIONS 32-bit numbers, whatever the input).
     """
     weights = docs.sparkSession.sparkContext.broadcast(model)
     cols = [F.col(f"`{c}`") for c in keep] if keep else [F.col(id_col).alias("doc_id")]
     rows = docs.select(F.struct(*cols).alias("row"), F.col(text_col).alias("text"))
 
+    @tidy
     def scored(batches):
         features = Features()
         w, bias = weights.value

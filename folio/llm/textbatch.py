@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
+def tidy(f: Callable) -> Callable:
+    """f, a generator over batches; when it ends, its memory goes back to the system instead of staying with the Python worker for the stages to come."""
+
+    def g(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return g
+
+
 class WordHashes(dict):
     """64-bit hash of a word (bytes), remembered for words seen lately; forgets all beyond `most` words."""
 
