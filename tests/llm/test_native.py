@@ -1,6 +1,7 @@
 """Operators 3, 4 and 6 against brute force on small tables with nulls, ties, repeats and clashing names."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 from fractions import Fraction
@@ -69,6 +70,33 @@ def test_mix_matches_brute_force(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_mix_meets_its_targets_with_repeated_rows(spark):
+    """Many rows of one id, of null ids and of equal texts lie at the cuts: taken words are the targets, to the word."""
+    rng = random.Random(3)
+    rows = [(None, "n " * rng.randrange(1, 300), "en", "s1") for _ in range(52)] + [(7, "r " * rng.randrange(1, 9000), "en", "s0") for _ in range(9)]
+    rows += [(8, "same words here", "en", "s2")] * 40 + [(i, "w " * rng.randrange(90), "en", f"s{i % 3}") for i in range(20, 50)]
+    got = mixing.plan_mix(frame(spark, rows)).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert {s: floor(t) for s, t in target.items()} == dict(taken)
+
+
+def test_running_sums(spark):
+    """Prefix sums over ranges equal a plain loop, with a hot group and ties."""
+    rng = random.Random(5)
+    rows = [(rng.choice("aaaab"), rng.randrange(50), rng.randrange(10), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, o int, v long, i int")
+    got = {r["i"]: r["before"] for r in mixing.running(df, ["g"], ["o", "i"], {"before": F.col("v")}, "test").collect()}
+    want, sums = {}, defaultdict(int)
+    for g, o, v, i in sorted(rows, key=lambda r: (r[0], r[1], r[3])):
+        want[i] = sums[g]
+        sums[g] += v
+    assert got == want
+
+
 def test_mix_documents_repeat_and_keep_columns(spark):
     d = frame(spark, docs(spark))
     m = mixing.mix(d)
