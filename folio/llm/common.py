@@ -5,14 +5,20 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .textbatch import tidy
+
 #: Word pattern of every contract: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The six ASCII white-space characters, as used with translate().
 SPACES = "\t\n\x0b\x0c\r "
+#: Bytes of an Arrow batch between the JVM and Python.
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +48,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_arrow(rows: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """rows.mapInArrow over batches of at most ARROW_BYTES, or one row: Arrow's buffers in the JVM and in Python are of that size, not of 10,000 texts.
+
+    The session's bound is lowered if it is higher, and stays so, since the plan runs later."""
+    spark = rows.sparkSession
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key, "67108864")).lower().removesuffix("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+    return rows.mapInArrow(tidy(f), schema)
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -97,7 +114,8 @@ def whole_examples(sample: DataFrame, by: str, size: str, most: int, salt: str)
         chosen.append(min((r[size], group, r["doc_id"]) for r in sizes if r[by] == group)[1:])
     if not chosen:
         return []
-    picked = sample.sparkSession.createDataFrame(chosen, sample.select(by, "doc_id").schema)
+    groups, ids = zip(*chosen, strict=True)
+    picked = sample.sparkSession.createDataFrame(pa.table({by: list(groups), "doc_id": list(ids)}))  # a table becomes a plan without Python workers
     return list(sample.join(F.broadcast(picked), [by, "doc_id"], "left_semi").toLocalIterator())
 
 

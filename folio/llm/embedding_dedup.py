@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, in_arrow, stored, table
 
 THRESHOLD = 0.98
 #: Rows of a tile at most on average, and ranges of the leading coordinate over which tiles are laid.
@@ -38,7 +38,7 @@ def _moments(batches):
 
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     """Orthonormal axes, the strongest first, for each length of vector, from all vectors: executors add up the matrix row by row."""
-    parts = vectors.select("embedding").mapInArrow(_moments, "dim int, i int, v array<double>")
+    parts = in_arrow(vectors.select("embedding"), _moments, "dim int, i int, v array<double>")
     total = parts.groupBy("dim", "i").applyInPandas(lambda p: pd.DataFrame({"dim": p["dim"][:1], "i": p["i"][:1], "v": [np.sum(np.stack(p["v"].to_list()), axis=0)]}), "dim int, i int, v array<double>")
     axes = {}
     for d, g in total.toPandas().groupby("dim"):

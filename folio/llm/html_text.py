@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, table
 from .textbatch import chunks
 
 #: Elements by role (HTML standard).
@@ -309,7 +309,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         for b, texts in chunks(batches, text="html"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([extract(t) for t in texts], pa.string())], names=["row", "text"])
 
-    out = rows.mapInArrow(extracted, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    out = in_arrow(rows, extracted, f"row {rows.schema['row'].dataType.simpleString()}, text string")
     return out.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, sample_ids, sample_rows, stored, table, whole_examples
-from .textbatch import chunks, tidy
+from .common import in_arrow, remainder, sample_ids, sample_rows, stored, table, whole_examples
+from .textbatch import chunks
 
 #: Training bound: labelled documents of each language, those with the smallest id hash, and their code points together. Documents are whole.
 TRAIN_DOCS, TRAIN_CHARS = 64, 40_000
@@ -296,13 +296,12 @@ def identify_language(docs: DataFrame, parser: CrossParser, id_col: str = "doc_i
     cols = [F.col(f"`{c}`") for c in keep] if keep else [F.col(id_col).alias("doc_id")]
     rows = docs.select(F.struct(*cols).alias("row"), F.col(text_col).alias("text"))
 
-    @tidy
     def judged(batches):
         for b, texts in chunks(batches, most_bytes=1 << 20):
             lang, score, bits = model.value.guess(texts)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=["row", "lang_pred", "score", "bits"])
 
-    out = rows.mapInArrow(judged, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, bits double")
+    out = in_arrow(rows, judged, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, bits double")
     return out if keep else out.select("row.doc_id", "lang_pred", "score", "bits")
 
 

@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
-from .textbatch import chunks, mix64, tidy, words
+from .common import in_arrow, stored, table
+from .textbatch import chunks, mix64, words
 
 LENGTH = 4096
 END_ID = 2
@@ -223,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     from tokenizers import Tokenizer
 
     width = 4 if Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) > 1 << 16 else 2
-    coded = stored(rows.mapInArrow(tidy(lambda it: _tokenised(it, tokenizer, end_id)), "doc_id long, key long, n long, ids binary"), "pack-ids")
+    coded = stored(in_arrow(rows, lambda it: _tokenised(it, tokenizer, end_id), "doc_id long, key long, n long, ids binary"), "pack-ids")
     total = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * width // PART_BYTES))
     bounds = sorted(set(coded.approxQuantile("key", [i / parts for i in range(1, parts)], 0.1 / parts)))
@@ -236,7 +236,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     for k in sorted(sums):
         offsets[k], end = end, end + sums[k]
     near = coded.select("doc_id", "bucket", "key", "n", "ids").repartitionById(parts, "bucket").sortWithinPartitions("bucket", "key", "doc_id", F.xxhash64("ids"))
-    return near.mapInArrow(tidy(lambda it: _cut(it, offsets, length, width)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return in_arrow(near, lambda it: _cut(it, offsets, length, width), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def default_tokenizer() -> str:

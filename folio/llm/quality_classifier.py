@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, sample_ids, sample_rows, stored, table, whole_examples
-from .textbatch import WordHashes, chunks, mix64, tidy, words
+from .common import in_arrow, remainder, sample_ids, sample_rows, stored, table, whole_examples
+from .textbatch import WordHashes, chunks, mix64, words
 
 #: Weights; n-grams of words and of word shapes are hashed to them.
 DIMENSIONS = 1 << 20
@@ -91,7 +91,6 @@ def learn_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     shares = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count("*").alias("n")).collect()}
     texts = sample_rows(docs.where("text IS NOT NULL"), sample_ids(given, "y", TRAIN_ROWS, "quality"), ["doc_id"], ["text"]).select("doc_id", "y", "text")
 
-    @tidy
     def vectors(batches):
         features = Features(remember=50_000)
         for b, part in chunks(batches):
@@ -100,7 +99,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *arrays], names=["doc_id", "y", "idx", "val", "n"])
 
     kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in texts.columns[:2])
-    rows = whole_examples(stored(texts.mapInArrow(vectors, f"{kinds}, idx binary, val binary, n long"), "quality-examples"), "y", "n", TRAIN_FEATURES, "quality") if shares else []
+    rows = whole_examples(stored(in_arrow(texts, vectors, f"{kinds}, idx binary, val binary, n long"), "quality-examples"), "y", "n", TRAIN_FEATURES, "quality") if shares else []
     good = shares.get(1, 0)
     prior = np.log((good + 1) / (sum(shares.values()) - good + 1)) if shares else 0.0
     if len({r["y"] for r in rows}) < 2:
@@ -121,7 +120,6 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str
     cols = [F.col(f"`{c}`") for c in keep] if keep else [F.col(id_col).alias("doc_id")]
     rows = docs.select(F.struct(*cols).alias("row"), F.col(text_col).alias("text"))
 
-    @tidy
     def scored(batches):
         features = Features()
         w, bias = weights.value
@@ -130,7 +128,7 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str
             dots = np.array([w[i] @ v + bias if len(i) else -np.inf for i, v in xs])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.maximum(dots, -700))) * np.isfinite(dots))], names=["row", "score"])
 
-    out = rows.mapInArrow(scored, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    out = in_arrow(rows, scored, f"row {rows.schema['row'].dataType.simpleString()}, score double")
     return out if keep else out.select("row.doc_id", "score")
 
 

@@ -56,3 +56,23 @@ def test_run_on_nothing(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_further_columns_nulls_and_repeats(spark):
+    """Columns whose names clash with those that operators use inside, null ids and repeated rows go through all stages; the order of rows does not matter."""
+    some = spark.read.parquet(f"{SF}/documents.parquet").limit(120).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], "r", r["doc_id"] % 7, 0.5, [1]) for r in some]
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    clean = [r for r in rows if r[0] in good and r[2] == "en" and r[4] > 400][:2]
+    rows += [(*rows[3][:5], "q", 9, 0.1, [2]), rows[4], (None, clean[0][1] + " " + clean[1][1], None, None, None, None, None, None, None), (9005, None, None, None, None, "x", None, None, None)]
+    spec = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, score double, copies array<int>"
+    out = []
+    for given in (rows, rows[::-1]):
+        docs = spark.createDataFrame(given, spec)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stored(stage(spark, docs, SF), f"test-more-{name}")
+            assert docs.columns == [c.split()[0] for c in spec.split(", ")]
+        packed = corpus_pipeline.packing(spark, docs, SF)
+        assert packed.where("doc_id = 9005").isEmpty()
+        out.append((sorted(map(str, docs.collect())), packed.agg(F.sum("length")).first()[0]))
+    assert out[0] == out[1] and any("doc_id=None" in r for r in out[0][0])
