@@ -1,7 +1,7 @@
 """A training corpus from `documents`: language, quality, near duplicates, mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs. All but the last return the columns of docs. Stages keep null ids and
-repeated rows apart as their operators' docstrings say; an empty table stays empty.
+repeated rows apart as their docstrings say; an empty table stays empty; further columns of docs travel along, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,14 +18,16 @@ from folio.llm.quality_classifier import THRESHOLD, learn_quality, score_quality
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text or no letter) go; a missing lang is filled with the guess."""
+    """Documents without a language (no text or no letter, null texts too) go; a missing lang is filled with the guess. Rows that repeat are judged each, null ids stay.
+    Where no row has a lang nothing can be learned: all go."""
     parser = learn_languages(docs.where(remainder(F.col("doc_id"), 3) != 1))
     judged = identify_language(docs, parser, keep=docs.columns).where("lang_pred <> 'und'")
     return judged.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the classifier's threshold go. Without labels all stay."""
+    """Documents that score below the classifier's threshold go, null and wordless texts among them; a score at the threshold stays. Rows that repeat are judged each,
+    null ids stay. Without labels all stay."""
     learn = remainder(F.col("doc_id"), 5) != 0
     labels = table(spark, sf_dir, "labels").where(learn)
     if labels.where("quality IS NOT NULL").isEmpty():
@@ -35,7 +37,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest id; of rows that repeat an id, one.
+    """One document of each near-duplicate group stays, that with the smallest id; of rows that repeat an id, one: the smallest by text, source, lang and then by a hash
+    of all columns. Rows with a null id stay, as do null and empty texts, which are like nothing.
 
     The ids that go are joined against the texts, by broadcast while they are few, so the texts of the rest need no shuffle.
     """
@@ -50,18 +53,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if repeated.isEmpty():
         return left
     repeated = small(repeated)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
+    every = [F.to_json(F.struct(F.col(f"`{c}`"))) for c in sorted(docs.columns)]  # so that rows in whatever order give the same one
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", F.sha2(F.concat_ws("\n", *every), 256)))
     once = left.join(repeated, "doc_id", "left_semi").withColumn("__rank", first).where("__rank = 1").select(*docs.columns)
     return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; documents come whole, several times where a source repeats."""
+    """Sources at their target weights, a null source being one; documents come whole, several times where a source repeats, those without words once.
+    Rows that repeat id and text share one fate."""
     return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences, with a checksum for the token ids."""
+    """Pieces of sequences, with a checksum for the token ids. Null texts are empty; null ids and rows that repeat are packed each."""
     return pack(docs, default_tokenizer()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
