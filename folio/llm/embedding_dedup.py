@@ -86,6 +86,7 @@ def _compare(p: pd.DataFrame, axes: dict[int, np.ndarray], threshold: float) ->
     if first:
         np.fill_diagonal(hit, False)
     ix, iy, wx, wy = (q[c].to_numpy(np.int64) for c in ("rep", "copies") for q in (x, y))
+    hit &= ix[:, None] != iy[None, :]  # values of one id
     lx = hit @ wy
     if first:
         ids, links, low = ix, lx, ix.copy()
@@ -119,7 +120,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     The comparison is exact; its work grows with the square of a label's dense ranges, its memory does not.
 
     Vectors that are null, zero, or hold a null or non-finite component, and those with a null label, link with nothing and form their
-    own component. Vectors of different lengths do not link. Rows that repeat an id are taken as one vector with several values; a null id has no component.
+    own component. Vectors of different lengths do not link. Rows that repeat an id are taken as one vector with several values, whose links
+    to others are added up; a null id has no component. Ties do not matter: nothing is chosen.
     An empty table gives no rows. Further columns are ignored.
     """
     spark = vectors.sparkSession
@@ -130,7 +132,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     keyed = stored(v.select("vec_id", "label", "embedding", F.when(ok, F.xxhash64("embedding")).alias("h1"), F.when(ok, F.xxhash64(F.lit(1), "embedding")).alias("h2")), "vectors")
     classes = keyed.where("h1 IS NOT NULL").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes, "vector-classes")
-    reps = keyed.where("h1 IS NOT NULL").join(classes.select("label", "h1", "h2", "rep", "copies"), ["label", "h1", "h2"]).where("vec_id = rep").select("rep", "copies", "label", "embedding").dropDuplicates(["rep", "label"])
+    reps = keyed.where("h1 IS NOT NULL").join(classes.select("label", "h1", "h2", "rep", "copies"), ["label", "h1", "h2"]).where("vec_id = rep").dropDuplicates(["rep", "label", "h1", "h2"]).select("rep", "copies", "label", "embedding")
     reps = stored(reps, "vector-reps")
     axes = principal_axes(reps)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

@@ -16,7 +16,7 @@ from .textbatch import chunks
 #: Elements by role (HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-SKIPPED = frozenset("head script style title template noscript iframe object embed svg math canvas audio video form button input select textarea option label fieldset nav header footer aside menu dialog noembed noframes xmp plaintext".split())
+SKIPPED = frozenset("head script style title template noscript iframe object embed svg math canvas audio video button input select textarea option label nav footer aside menu dialog noembed noframes xmp plaintext".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset("html body td th tr thead tbody tfoot legend".split())
 #: A start tag on the left closes an open element on the right, up to the nearest of its container.
@@ -27,9 +27,14 @@ NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner sp
 #: Those that are topics as well: as a part of a longer name they mark nothing if the element holds prose.
 TOPICS = frozenset("search legal tags alert share sharing social related reviews notice notices skip respond reply replies promotion".split())
 LEAST_PROSE = 140
+#: Elements that are furniture of the page or of a form unless they hold the article; headers within an article may hold its title.
+FURNITURE = frozenset("form fieldset header".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Links of a list within an article that is not part of it.
+LEAST_LINKS = 3
 KEEPS_NOISE = frozenset("html body article main".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)([^>]*)(?:>|$)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 
@@ -58,16 +63,17 @@ def _noisy(tag: str, attrs: str) -> bool:
 
 
 def _marked(tag: str, attrs: str) -> str | None:
-    """"name" if class, id or role hold a word of NOISE, "topic" if only such of TOPICS as parts of longer names."""
-    found = None
+    """"name" if class, id or role are words of NOISE or the element is FURNITURE, "part" if only parts of longer names are such words, "topic" if these are all TOPICS."""
+    found = "name" if tag in FURNITURE else None
     for m in _ATTR.finditer(attrs) if attrs and tag not in SKIPPED else ():
         if m[1].lower() in ("class", "id", "role"):
             for name in (m[2] or m[3] or m[4] or "").split():
                 parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
                 noise = [w for w in parts if w in NOISE]
-                if noise and (len(noise) == len(parts) or not TOPICS.issuperset(noise)):
+                if noise and len(noise) == len(parts):
                     return "name"
-                found = "topic" if noise else found
+                if noise and found != "name":
+                    found = "part" if found == "part" or not TOPICS.issuperset(noise) else "topic"
     return found
 
 
@@ -83,12 +89,13 @@ def parse(page: str) -> Node:
         if m.start() > pos:
             at.children.append(entities.unescape(page[pos : m.start()]))
         pos = m.end()
-        if m[2] is None:
+        end, name, attrs = m.group(1, 2, 3) if m[2] is not None else m.group(4, 5, 6) if m[5] is not None else (None, None, None)  # the second where a quote is never closed
+        if name is None:
             if m[0].startswith("<![CDATA["):
                 at.children.append(m[0][9:].removesuffix("]]>"))
             continue
-        tag = m[2].lower()
-        if m[1]:  # end tag: closes up to its own start, which inline elements do not look for beyond a block
+        tag = name.lower()
+        if end:  # end tag: closes up to its own start, which inline elements do not look for beyond a block
             up = at
             while up is not root and up.tag != tag:
                 if tag in INLINE_SCOPE and up.tag in BLOCKS:
@@ -126,9 +133,9 @@ def parse(page: str) -> Node:
                 if up.tag in closes:
                     at = up.parent
                 up = up.parent
-        node = Node(tag, at, _noisy(tag, m[3]), _marked(tag, m[3]))
+        node = Node(tag, at, _noisy(tag, attrs), _marked(tag, attrs))
         at.children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW and tag not in INLINE_SCOPE:
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCKS and tag not in RAW and tag not in INLINE_SCOPE:
             continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|$)[^>]*(?:>|$)", re.I).search(page, pos)
@@ -150,7 +157,8 @@ def _walk(root: Node):
 
 def settle(root: Node) -> None:
     """Marked elements become noise, except those around the article or main element with the most unlinked text, or, where a page has none,
-    around two thirds of its unlinked text; and except prose under a topic's name. Marked articles, as of comments, do not count as such."""
+    around two thirds of its unlinked text. A name that is in part a topic's, and within an article any name of which only a part is noise, does not count on prose;
+    nor does a header with a heading count within an article. Marked articles, as of comments, do not count as such."""
     order = list(_walk(root))
     if not any(x.marked for x in order):
         return
@@ -169,12 +177,25 @@ def settle(root: Node) -> None:
     while up is not None:
         around.add(id(up))
         up = up.parent
+    within = {id(x) for x in named}
     whole = root.chars - root.link_chars
-    for x in order:
+    for x in reversed(order):  # parents first
+        if x.parent is not None and id(x.parent) in within:
+            within.add(id(x))
         if x.marked and x.tag not in KEEPS_NOISE:
             plain = x.chars - x.link_chars
             wraps = id(x) in around if named else 0 < 2 * whole <= 3 * plain
-            x.noise = not wraps and not (x.marked == "topic" and plain >= LEAST_PROSE and 2 * x.link_chars <= x.chars)
+            prose = plain >= LEAST_PROSE and 2 * x.link_chars <= x.chars and (x.marked == "topic" or x.marked == "part" and id(x) in within)
+            titled = x.tag == "header" and id(x) in within and any(isinstance(c, Node) and c.tag in HEADINGS for c in _below(x))
+            x.noise = not (wraps or prose or titled)
+
+
+def _below(x: Node):
+    stack = [c for c in x.children if isinstance(c, Node)]
+    while stack:
+        c = stack.pop()
+        yield c
+        stack += [d for d in c.children if isinstance(d, Node)]
 
 
 def measure(root: Node) -> Node | None:
@@ -210,9 +231,9 @@ def main_node(root: Node) -> Node:
     """The content subtree.
 
     It starts at the node with the largest sum of its children's densities. Half the smallest density on the path from there to the body is
-    the threshold. The subtree grows along that path: to the whole article or main element it lies in, or else to the body. On the way all siblings
+    the threshold. The subtree grows along that path to the body; where it lies in an article or main element, see `_of_articles`. On the way all siblings
     but those that are mostly links are kept while siblings at least as dense as the threshold add a fifth of its plain text, or a heading stands
-    before it. From the first parent where neither holds, blocks are kept by themselves, see `chosen`. Everything in an article is kept.
+    before it. From the first parent where neither holds, blocks are kept by themselves, see `chosen`.
     """
     settle(root)
     body = measure(root)
@@ -222,10 +243,10 @@ def main_node(root: Node) -> Node:
     while up is not top:
         up = up.parent
         path.append(up)
-    named = [x for x in path if x.tag in ("article", "main")]
-    if named:
-        return named[0]
-    threshold, now, whole = min(x.density for x in path) / 2, best, True
+    threshold = min(x.density for x in path) / 2
+    if any(x.tag in ("article", "main") for x in path):
+        return _of_articles(path, threshold)
+    now, whole = best, True
     for above in path[1:]:
         here = above.children.index(now)
         others = [c for c in above.children if isinstance(c, Node) and c is not now and not c.noise and c.chars]
@@ -239,6 +260,40 @@ def main_node(root: Node) -> Node:
     return now
 
 
+def _of_articles(path: list[Node], threshold: float) -> Node:
+    """Growth where the path from the densest node to the body leads through article or main elements.
+
+    Up to the first of them, all is kept but lists of links that are less dense than the threshold. From there on, of what stands beside the path only further articles that
+    reach the threshold and a fifth of the text so far are added, and within a main element the title before its article.
+    """
+    named = [x.tag in ("article", "main") for x in path]
+    first, links = named.index(True), {}
+    inner = path[: first + 1]
+    for x in _walk(path[first]):
+        links[id(x)] = (x.tag == "a") + sum(links.get(id(c), 0) for c in x.children if isinstance(c, Node) and not c.noise)
+    kept = {id(x) for x in inner}
+    for x in list(_walk(path[first])):
+        if id(x) not in kept and x.tag in BLOCKS and x.chars and 2 * x.link_chars > x.chars and x.density < threshold and links[id(x)] >= LEAST_LINKS:
+            x.noise = True
+    now = path[first]
+    titled = any(c.tag == "h1" and not c.noise for c in _walk(now))
+    for k, above in enumerate(path[first + 1 :], first + 1):
+        here, plain = above.children.index(now), now.chars - now.link_chars
+        inside = any(named[k:])  # of a main element
+        for i, c in enumerate(above.children):
+            if c is now:
+                continue
+            if isinstance(c, str):
+                above.children[i] = " "
+            elif not c.noise:
+                more = c.tag == "article" and c.density >= threshold and 5 * (c.chars - c.link_chars) >= plain
+                title = inside and not titled and i < here and c.tag == "h1" and not c.link_chars
+                c.noise = not (more or title)
+                titled = titled or title
+        now = above
+    return now
+
+
 def chosen(above: Node, now: Node, threshold: float) -> set[int]:
     """Blocks of a parent that belong to the text of its child `now`, of those that are not mostly links: those at least as dense as the threshold,
     all between kept ones, and link-free paragraphs and headings next to kept ones. Parts made of paragraphs count as such below the body."""
@@ -300,8 +355,8 @@ def extract(page: str | None) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page. One page at a time, no shuffle; a page's tree is all that is held.
 
-    Null or empty html gives an empty text. Broken markup is mended, cut pages end where they end. Repeated rows are extracted each;
-    further columns of pages are ignored.
+    Null or empty html gives an empty text. Broken markup is mended, cut pages end where they end. Repeated rows are extracted each, null ids and urls kept;
+    of nodes that are equally dense the first in page order is the seed. An empty table gives no rows; further columns of pages are ignored, whatever their names.
     """
     rows = pages.select(F.struct(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).alias("row"), F.col(html_col).alias("html"))
 

@@ -48,7 +48,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", salts
     Rules of one host are one entry of the stack, tried by their paths; among all that fit, the most code points of
     host + path win, then block before allow, then the smaller text. Depth, a single number read from the rules, is the only thing collected.
     Nulls: a null url has an empty host and path; null parts of a rule are empty, and a rule with an empty host fits
-    only an empty host. Repeated rows are judged each. No rules: every url gets the default. Extra columns of pages are ignored.
+    only an empty host. Repeated rows are judged each, very long urls as others. No rules: every url gets the default. An empty table gives no rows. Extra columns of pages are
+    ignored, whatever their names.
     """
     rules = rules.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("host", "path", "verdict")]).withColumn("host", F.translate("host", UPPER, LOWER))
     rule = F.struct((F.length("host") + F.length("path")).alias("size"), (F.col("verdict") == "block").alias("block"), F.concat("host", "path").alias("rule"), "path", "verdict")
