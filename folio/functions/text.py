@@ -61,7 +61,7 @@ def strip_trailing_punctuation(x: Column) -> Column:
 def title_problems(x: Column) -> Column:
     """Names of the title rules that a title breaks, in rule order."""
     name = F.regexp_replace(fold(F.trim(x)), r"\.+$", "")
-    rules = [("generic", name.isin(*GENERIC_TITLES)), ("trailing_period", F.trim(x).endswith(".") & (F.length(F.trim(x)) < 90)), ("punctuation", F.coalesce(*[F.when(x.contains(p), True) for p in BAD_TITLE_PUNCTUATION], F.lit(False))), ("too_long", F.length(x) > 110)]
+    rules = [("generic", name.isin(*GENERIC_TITLES)), ("trailing_period", x.endswith(".") & (F.length(x) < 90)), ("punctuation", F.coalesce(*[F.when(x.contains(p), True) for p in BAD_TITLE_PUNCTUATION], F.lit(False))), ("too_long", F.length(x) > 110)]
     return F.array_compact(F.array(*[F.when(cond, F.lit(k)) for k, cond in rules]))
 
 
@@ -94,8 +94,8 @@ def strip_comments(x: Column) -> Column:
 def clean_latex(x: Column) -> Column:
     """Plain text of a LaTeX paragraph: no comments, citations, commands or braces, white space collapsed."""
     y = F.regexp_replace(strip_comments(x), r"\\(?:cite\w*|ref|label|eqref)\*?(?:\[[^\]]*\])*\{[^{}]*\}", "")
-    y = F.regexp_replace(y, r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?", " ")
-    return collapse(F.regexp_replace(y, r"[{}~]", " "))
+    y = F.regexp_replace(y, r"\\[A-Za-z@]+\*?(?:\[[^\]]*\])?|[{}]", "")
+    return collapse(F.replace(y, F.lit("~"), F.lit(" ")))
 
 
 def clean_cell(x: Column, passes: int = 4) -> Column:

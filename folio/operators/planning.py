@@ -12,7 +12,7 @@ EVIDENCE_ROLES = ("experiments", "ablation", "analysis")
 INSIGHT_ROLES = ("core_insight", "contributions")
 SHARED_COVERAGE = (("problem", ("problem",)), ("core idea", INSIGHT_ROLES), ("method", METHOD_ROLES), ("evidence", EVIDENCE_ROLES), ("takeaway", ENDING_ROLES))
 MODE_COVERAGE = {"paper-reading": (("research gap", ("existing_approaches", "gap")), ("critical assessment", ("limitations", "analysis"))), "own-research": (("motivation or gap", ("background", "gap")), ("limitations", ("limitations",)))}
-ROLE_GROUPS = (("problem",), INSIGHT_ROLES, METHOD_ROLES, EVIDENCE_ROLES, ENDING_ROLES)
+ROLE_GROUPS = (("problem",), INSIGHT_ROLES, METHOD_ROLES, EVIDENCE_ROLES, ("limitations",), ENDING_ROLES)
 
 
 def first_of(role: Column, order: Column, options) -> Column:
@@ -33,10 +33,10 @@ def sequence_violations(units: DataFrame, group: str = "paper_id", role: str = "
 
 
 def coverage_gaps(roles: DataFrame, labels: DataFrame, group: str = "paper_id") -> DataFrame:
-    """Labels of which a group has no role. roles(group, role); labels(label, role), several roles a label."""
-    names = labels.select("label").distinct()
-    have = roles.join(labels, "role").select(group, "label").distinct()
-    return roles.select(group).distinct().join(names, F.lit(True)).join(have, [group, "label"], "left_anti")
+    """Labels of which a group has no role. roles(group, role); labels(label, role), a fixed table, several roles a label. A group is one row with its labels from the first aggregate on."""
+    every = labels.agg(F.collect_set("label")).scalar()
+    have = roles.join(labels, "role", "left").groupBy(group).agg(F.collect_set("label").alias("have"))
+    return have.select(group, F.explode(F.array_except(every, "have")).alias("label"))
 
 
 def coverage_labels(spark, mode: str) -> DataFrame:

@@ -29,7 +29,48 @@ CLOSING = ("结束", "问答", "讨论")
 NO_INDEX = 10**6
 TREATMENTS = {"source_table": ("native_table", "crop", "highlight"), "source_equation": ("equation", "highlight"), "conceptual_diagram": ("diagram",)}
 NOT_FOR_ASSETS = ("native_table", "equation", "diagram")
-COLUMNS = ("paper_id", "category", "code", "severity", "message", "slide_ids", "evidence_ids", "source_ids", "field_path", "issue_id")
+# Whether a finding can be repaired, and what is suggested. The messages below are fixed values too: they are part of an issue's id.
+ACTIONS = {
+    "PAPER_ID_MISMATCH": ("none", "重新运行上游阶段并确认所有 artifact 来自同一篇论文。"),
+    "UNKNOWN_EVIDENCE": ("none", "回到 Evidence Graph 或 Slide Spec 修正引用，禁止自动补造证据。"),
+    "MISSING_CITATION": ("manual", "由 evidence node 的 source locator 重新生成 citation。"),
+    "CITATION_SOURCE_MISMATCH": ("none", "使用 evidence node 中已有的 source locator，不能自由填写来源。"),
+    "UNSUPPORTED_NUMBER": ("none", "补充已有 evidence 引用或删除无来源数字；禁止 QA 自动改写数值。"),
+    "UNKNOWN_SOURCE_ASSET": ("none", "修正 visual_manifest 或 Slide Spec 的 source_ref。"),
+    "SOURCE_ASSET_HASH_MISMATCH": ("none", "从原始论文重新提取视觉资产并更新 manifest。"),
+    "UNKNOWN_SOURCE_TABLE": ("none", "修正 Paper Structure 或表格引用。"),
+    "UNKNOWN_SOURCE_EQUATION": ("none", "修正 Paper Structure 或公式引用。"),
+    "GENERATED_EXPERIMENT_VISUAL": ("manual", "实验页改用论文原始 Figure/Table，或明确标注为解释性示意图。"),
+    "PLAN_SPEC_ORDER_MISMATCH": ("none", "重新运行 Slide Authoring，不能由 QA 猜测页面顺序。"),
+    "MISSING_STORYLINE_STAGE": ("none", "回到 Presentation Plan 补齐证据支持的叙事单元。"),
+    "MISSING_LIMITATIONS": ("manual", "人工确认论文是否确实没有可讲的限制，或补充受证据支持的限制页面。"),
+    "STORYLINE_ORDER": ("none", "在 Presentation Plan 中重排 units，并重新生成 Slide Spec。"),
+    "DUPLICATE_MAIN_CLAIM": ("manual", "合并重复页面，或明确两页分别回答的不同问题。"),
+    "UNIT_CONTENT_DRIFT": ("none", "重新运行 Slide Authoring，保持 Plan 到 Spec 的锁定字段。"),
+    "DECLARED_COVERAGE_GAP": ("manual", "人工确认该缺口源于证据不足还是时间压缩；不要自动补写内容。"),
+    "TIMING_DRIFT": ("none", "重新生成 Slide Spec，并保留每个 unit 的时间预算。"),
+    "TIME_BUDGET_EXCEEDED": ("manual", "回到 deterministic compression 调整页面选择。"),
+    "NOTES_MAIN_MESSAGE_DRIFT": ("manual", "以 Slide Spec 的 main claim 为准重新生成讲稿。"),
+    "NOTES_PURPOSE_DRIFT": ("manual", "统一页面目的与讲稿目的。"),
+    "SCRIPT_CONTENT_DRIFT": ("manual", "人工核对讲稿是否真正解释了页面核心信息。"),
+    "TITLE_TRAILING_PUNCTUATION": ("automatic", "删除标题结尾标点，不改变标题语义或证据。"),
+    "EARLY_CLOSING_TRANSITION": ("manual", "改写 transition，使其自然引向下一页。"),
+    "MISSING_CLOSING_TRANSITION": ("manual", "人工决定是否加入结束或 Q&A 提示。"),
+    "INVALID_SLIDE_ASPECT": ("none", "检查 Renderer 的 presentation layout 设置。"),
+    "UNREADABLY_SMALL_FONT": ("manual", "缩短文字或扩大文本区域，避免继续缩小字号。"),
+    "LIKELY_TEXT_OVERFLOW": ("manual", "检查对应 PNG；优先改写或调整布局，而不是机械缩小字体。"),
+    "TEXT_BOX_OVERLAP": ("manual", "调整 Renderer 几何参数并仅重渲染该页进行复检。"),
+    "NATIVE_TABLE_MISSING": ("manual", "修复表格 renderer，不能用截图替代要求的可编辑表格。"),
+    "INVALID_PPTX_PACKAGE": ("none", "重新渲染 PPTX 并检查 OOXML package。"),
+    "CLAIM_EVIDENCE_UNSUPPORTED": ("none", "回到 Evidence Graph 或 Slide Spec 人工修正 claim/证据映射，禁止 QA 自动改写。"),
+    "CLAIM_EVIDENCE_PARTIAL": ("none", "人工缩窄 claim 或补充已有证据；不要让 evaluator 自行生成新事实。"),
+    "CLAIM_EVIDENCE_INSUFFICIENT": ("none", "人工复核原文定位并决定补充证据、缩窄 claim 或保留显式不确定性。"),
+    "CLAIM_STRENGTH_OVERSTATED": ("none", "人工校准因果、显著性、普遍性或 SOTA 等措辞，保持原始证据不变。"),
+    "CLAIM_STRENGTH_UNDERSTATED": ("manual", "仅在人工确认不改变论文原意时增强措辞；该提示不要求修改。"),
+    "STORYLINE_PREREQUISITE_MISSING": ("none", "人工补充受证据支持的前置解释，或降低本页对该概念的依赖。"),
+    "STORYLINE_DEPENDENCY_ORDER": ("none", "在 Presentation Plan 中调整顺序或增加前置解释，再重新生成 Slide Spec。"),
+}
+COLUMNS = ("paper_id", "category", "code", "severity", "message", "slide_ids", "evidence_ids", "source_ids", "field_path", "issue_id", "repairability", "suggested_action")
 _STRINGS = "array<string>"
 
 
@@ -41,7 +82,9 @@ def issues(df: DataFrame, category: str, code, severity, message: Column, slides
     """Rows of df as issues; the id comes from category, code, message, slides and field, so equal findings have equal ids."""
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
     out = df.select("paper_id", F.lit(category).alias("category"), as_col(code).alias("code"), as_col(severity).alias("severity"), message.alias("message"), (slides if slides is not None else _none()).alias("slide_ids"), (evidence if evidence is not None else _none()).alias("evidence_ids"), (sources if sources is not None else _none()).alias("source_ids"), (field_path if field_path is not None else F.lit(None).cast("string")).alias("field_path"))
-    return out.withColumn("issue_id", issue_id(F.col("category"), F.col("code"), F.col("message"), F.col("slide_ids"), F.col("field_path")))
+    action = lambda k, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for c, a in ACTIONS.items() for x in (c, a[k])]), F.col("code")), F.lit(other))
+    out = out.withColumn("issue_id", issue_id(F.col("category"), F.col("code"), F.col("message"), F.col("slide_ids"), F.col("field_path")))
+    return out.withColumn("repairability", action(0, "manual")).withColumn("suggested_action", action(1, ""))
 
 
 def union(*parts: DataFrame) -> DataFrame:
@@ -72,6 +115,9 @@ def factual(slides: DataFrame, citations: DataFrame, visuals: DataFrame, nodes:
     good = slides.join(bad.select("paper_id", "slide_id"), ["paper_id", "slide_id"], "left_anti")
     ok = cited.join(good.select("paper_id", "slide_id"), ["paper_id", "slide_id"], "left_semi")
     missing = gathered(ok.join(citations.select("paper_id", "slide_id", "evidence_id"), ["paper_id", "slide_id", "evidence_id"], "left_anti"))
+    if "pos" in citations.columns:  # of several citations of an evidence on a slide the last one counts
+        last = F.max_by(F.struct(*[x for x in citations.columns if x not in ("paper_id", "slide_id", "evidence_id")]), "pos")
+        citations = citations.groupBy("paper_id", "slide_id", "evidence_id").agg(last.alias("c")).select("paper_id", "slide_id", "evidence_id", "c.*")
     c = citations.join(good.select("paper_id", "slide_id"), ["paper_id", "slide_id"], "left_semi").join(node.select("paper_id", "evidence_id", "expected"), ["paper_id", "evidence_id"])
     wrong = c.where((F.size("source_ids") == 0) | (F.size(F.array_except("source_ids", "expected")) > 0))
     support = ok.join(node, ["paper_id", "evidence_id"]).groupBy("paper_id", "slide_id").agg(F.concat_ws(" ", F.collect_list(F.concat_ws(" ", F.col("claim"), F.array_join("excerpts", " ")))).alias("support"), F.max(F.col("type").isin(*RESULT_TYPES)).alias("results"))
@@ -146,9 +192,9 @@ def semantic(slides: DataFrame, evaluations: DataFrame, dependencies: DataFrame)
     """
     e, why, how = evaluations, F.col("claim_evidence_rationale"), F.col("claim_strength_rationale")
     pos = slides.select("paper_id", "slide_id", F.col("order").alias("at"))
-    need = dependencies.where("required").join(pos, ["paper_id", "slide_id"]).withColumn("no", F.monotonically_increasing_id())
-    pre = need.select("no", "paper_id", "at", F.posexplode("prerequisite_slide_ids").alias("p", "pre")).join(pos.select("paper_id", F.col("slide_id").alias("pre"), F.col("at").alias("pre_at")), ["paper_id", "pre"]).where("pre_at >= at")
-    late = need.join(pre.groupBy("no").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "pre"))), lambda x: x["pre"]).alias("late")), "no")
+    need = dependencies.where("required").join(pos, ["paper_id", "slide_id"])
+    pre = need.select("paper_id", "slide_id", "concept", "rationale", "at", F.posexplode("prerequisite_slide_ids").alias("p", "pre")).join(pos.select("paper_id", F.col("slide_id").alias("pre"), F.col("at").alias("pre_at")), ["paper_id", "pre"]).where("pre_at >= at")
+    late = pre.groupBy("paper_id", "slide_id", "concept", "rationale").agg(F.transform(F.array_sort(F.collect_set(F.struct("p", "pre"))), lambda x: x["pre"]).alias("late"))
     ids = F.col("evidence_ids")
     return union(
         issues(e.where("claim_evidence = 'unsupported'"), "factual", "CLAIM_EVIDENCE_UNSUPPORTED", "error", _text(F.col("slide_id"), " 的 main claim 不能由所列 evidence 推出：", why), _slide(), ids),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
 
+#: Pairs of ids that are broadcast to fetch their texts; above that the texts are joined by a shuffle.
+MOST_BROADCAST = 500_000
+
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
@@ -38,26 +42,47 @@ def section_parents(df: DataFrame, group: str, order: str, level: str, item: str
 
 
 def previous_duplicate(df: DataFrame, key: Column, order: str, item: str, group: str | None = None) -> DataFrame:
-    """Rows whose key occurred before, with the item that had it last."""
-    by = ["__key"] if group is None else [group, "__key"]
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn("__key", key).withColumn("previous", F.lag(item).over(w)).where("previous IS NOT NULL").drop("__key")
+    """(group, item, previous) of rows whose key occurred before, with the item that had it last. What is sorted is a 128-bit hash of the key and ids."""
+    by = [] if group is None else [group]
+    rows = df.where(key.isNotNull()).select(*by, F.col(order).alias("__order"), F.col(item).alias("__item"), F.md5(key.cast("string")).alias("__key"))
+    w = Window.partitionBy(*by, "__key").orderBy("__order")
+    return rows.withColumn("previous", F.lag("__item").over(w)).where("previous IS NOT NULL").select(*by, F.col("__item").alias(item), "previous")
 
 
 def contained(excerpts: DataFrame, texts: DataFrame, words: int = 5) -> DataFrame:
     """(excerpt_id, source_id) where the normalised excerpt occurs in the normalised text. Inputs: (excerpt_id, excerpt), (source_id, text).
 
-    An occurrence holds the excerpt's inner words as whole words, so `words` of them, as one hash, are an equi-join key against
-    the texts' word windows; only such pairs are searched. Texts are not shuffled where Spark measures the excerpts as small. Excerpts that are too short
-    for that are few and small: they are tried on each text.
+    An occurrence holds the excerpt's inner words as whole words: `words` of them, or all if there are fewer, as one hash, are an equi-join key against
+    the texts' word windows of that length. An excerpt without inner words has the hash of its first three characters against the texts' runs of three. Ids alone are exploded
+    and joined; the few candidate pairs then fetch their texts, by broadcast of the pairs while they are few, so texts are read twice but not shuffled.
+    Only excerpts of under three characters, which nearly every text holds, are tried on each text.
     """
-    e = excerpts.select("excerpt_id", normalize_text(F.col("excerpt")).alias("needle")).withColumn("w", F.split("needle", " "))
-    t = texts.select("source_id", normalize_text(F.col("text")).alias("hay"))
-    anchored = e.where(F.size("w") >= words + 2).select("excerpt_id", "needle", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")).alias("anchor"))
-    windows = t.withColumn("w", F.split("hay", " ")).where(F.size("w") >= words).select("source_id", "hay", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " "))))).alias("anchor"))
-    long = windows.join(anchored, "anchor").where(F.col("hay").contains(F.col("needle"))).select("excerpt_id", "source_id")
-    short = e.where(F.size("w") < words + 2).select("excerpt_id", "needle")
-    return long.unionByName(t.join(short, F.col("hay").contains(F.col("needle"))).select("excerpt_id", "source_id")).distinct()
+    e = excerpts.select("excerpt_id", normalize_text(F.col("excerpt")).alias("needle")).where(F.col("needle").isNotNull()).withColumn("w", F.split("needle", " "))
+    e = e.withColumn("kind", F.when(F.size("w") >= 3, F.least(F.lit(words), F.size("w") - 2)).when(F.length("needle") >= 3, 0).otherwise(-1))
+    inner = F.when(F.col("kind") > 0, F.array_join(F.slice("w", 2, F.greatest(F.lit(1), F.col("kind"))), " ")).otherwise(F.substring("needle", 1, 3))
+    anchored = e.where("kind >= 0").select("excerpt_id", "kind", F.xxhash64("kind", inner).alias("anchor"))
+    t = texts.select("source_id", normalize_text(F.col("text")).alias("hay")).where(F.col("hay").isNotNull())
+    kinds = [r["kind"] for r in anchored.select("kind").distinct().collect()]  # at most words + 1 numbers
+
+    def hashes(k: int) -> Column:
+        """Of all runs of k words, or of 3 characters if k is 0."""
+        n = F.size("w") - k if k else F.length("hay") - 3
+        run = (lambda i: F.array_join(F.slice("w", i + 1, k), " ")) if k else (lambda i: F.substring("hay", i + 1, 3))
+        return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.lit(k), run(i)))).otherwise(F.array().cast("array<bigint>"))
+
+    keys = [hashes(k) for k in kinds]
+    if keys:
+        anchors = t.withColumn("w", F.split("hay", " ")).select("source_id", F.explode(F.array_distinct(F.concat(*keys))).alias("anchor"))
+        pairs = anchors.join(anchored.select("excerpt_id", "anchor"), "anchor").select("excerpt_id", "source_id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        pairs = F.broadcast(pairs) if pairs.count() <= MOST_BROADCAST else pairs
+        found = t.join(pairs, "source_id").join(e.select("excerpt_id", "needle"), "excerpt_id").where(F.col("hay").contains(F.col("needle"))).select("excerpt_id", "source_id")
+    else:
+        found = None
+    tiny = e.where("kind < 0").select("excerpt_id", "needle")
+    if found is not None and tiny.isEmpty():
+        return found.distinct()
+    tried = t.join(tiny, F.col("hay").contains(F.col("needle"))).select("excerpt_id", "source_id")
+    return (found.unionByName(tried) if found is not None else tried).distinct()
 
 
 def grounded(refs: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -90,9 +115,8 @@ def first_hit(df: DataFrame, group: str, order: str, hit: Column) -> DataFrame:
 
 def choose_latest(df: DataFrame, key: str, order: str) -> DataFrame:
     """Rows de-duplicated by key: the last row's values at the first row's position."""
-    w = Window.partitionBy(key)
-    last = F.row_number().over(w.orderBy(F.desc(order)))
-    return df.withColumn("__last", last).withColumn("position", F.min(order).over(w)).where("__last = 1").drop("__last")
+    row = F.struct(*[c for c in df.columns if c != key])
+    return df.groupBy(key).agg(F.max_by(row, order).alias("__row"), F.min(order).alias("position")).select(key, "__row.*", "position").select(*df.columns, "position")
 
 
 def merge_by_key(preferred: DataFrame, other: DataFrame, key: str) -> DataFrame:

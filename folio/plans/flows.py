@@ -12,7 +12,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, parse, planning, qa, relations, reports
+from ..operators import authoring, evidence, parse, planning, qa, relations, reports
 from ..operators.layout import render_elements
 from ..sources.files import read_artifacts
 
@@ -101,16 +101,26 @@ def build_plan(units: DataFrame, nodes: DataFrame, mode: str, budget: int | None
     return {"units": kept, "gaps": gaps, "violations": bad}
 
 
+def build_spec(units: DataFrame, slides: DataFrame, visuals: DataFrame, known: DataFrame, chinese_first: bool = True, strict: bool = True) -> dict[str, DataFrame]:
+    """Slides that passed all gates of `authoring`, with their notes and outline as texts; titles come from the first slide."""
+    bad = gate(authoring.spec_violations(units, slides, visuals, known, chinese_first), strict, "slide specification")
+    titles = slides.groupBy("paper_id").agg(F.min_by("title", "order").alias("title"))
+    return {"slides": slides, "visuals": visuals, "violations": bad, "notes": reports.speaker_notes(slides, titles), "outline": reports.outline(slides, titles)}
+
+
 def run_qa(deck: dict[str, DataFrame], max_iterations: int = 1) -> dict[str, DataFrame]:
-    """deck: slides, units, plans, citations, visuals, nodes, known, and optionally evaluations and dependencies, boxes, or packages.
+    """deck: slides, units, plans, citations, visuals, nodes, known, and optionally evaluations and dependencies, boxes, packages (whose sizes hold for the boxes),
+    or artifacts(paper_id, artifact, names), the paper that each artifact of a deck names.
 
     Findings of all rules; titles are repaired and checked again, at most max_iterations times, until nothing is left to repair.
     """
     if not 0 <= max_iterations <= 5:
         raise ValueError("max_iterations must lie between 0 and 5")
 
+    agreeing = deck["artifacts"].groupBy("paper_id").agg(F.countDistinct("names").alias("n")) if "artifacts" in deck else None
+
     def found(slides: DataFrame) -> DataFrame:
-        parts = [qa.factual(slides, deck["citations"], deck["visuals"], deck["nodes"], deck["known"]), qa.storyline(slides, deck["units"], deck["plans"]), qa.presentation(slides, deck["units"], deck["plans"])]
+        parts = [qa.factual(slides, deck["citations"], deck["visuals"], deck["nodes"], deck["known"], agreeing), qa.storyline(slides, deck["units"], deck["plans"]), qa.presentation(slides, deck["units"], deck["plans"])]
         if "evaluations" in deck:
             parts.append(qa.semantic(slides, deck["evaluations"], deck["dependencies"]))
         if "boxes" in deck:
@@ -119,7 +129,7 @@ def run_qa(deck: dict[str, DataFrame], max_iterations: int = 1) -> dict[str, Dat
                 parts.append(qa.missing_tables(deck["boxes"], deck["visuals"]))
         if "packages" in deck:
             parts.append(qa.package_findings(deck["packages"]))
-        return qa.union(*parts)
+        return qa.union(*[p.withColumn("pos", F.lit(k)) for k, p in enumerate(parts)])
 
     slides, actions = deck["slides"], None
     issues = found(slides)
@@ -128,7 +138,7 @@ def run_qa(deck: dict[str, DataFrame], max_iterations: int = 1) -> dict[str, Dat
         if did.isEmpty():
             break
         slides, actions, issues = repaired, did if actions is None else actions.unionByName(did), found(repaired)
-    issues = issues.dropDuplicates(["paper_id", "issue_id"])
+    issues = qa.deduplicated(issues, "pos").drop("pos")
     categories = deck["slides"].sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("factual", "storyline", "visual", "presentation")))).alias("category"))
     every = slides.select("paper_id").distinct().join(F.broadcast(categories), F.lit(True))
     status = every.join(issues, ["paper_id", "category"], "left").groupBy("paper_id", "category").agg(reports.status_of().alias("status"), F.count("severity").alias("n_issues"))

@@ -112,9 +112,21 @@ def voice_gate(spark, d):
     return x.where(T.own_voice(F.col("claim"))).select("p_partkey", "claim")
 
 
+_TEX_PARTS = (r"\section{", "p_name", r"} self-\textbf{\emph{", "p_brand", r"}}s hold 5\% ", "#", r"of \emph{", "p_type", "}~\\citep[see][p.~3]{a,b} % note\nEnd{.}")
+_TEX_MIDDLE = (r"\textit{a{b}c}", r"\ref{x}\label{y}", r"{\bf deep {\it deeper}}", r"100\% sure\\ ")
+
+
+def _tex():
+    middle = F.element_at(F.array(*map(F.lit, _TEX_MIDDLE)), F.col("p_size") % len(_TEX_MIDDLE) + 1)
+    return F.concat(*[middle if x == "#" else F.col(x) if x.startswith("p_") else F.lit(x) for x in _TEX_PARTS])
+
+
+_TEX_SQL = " || ".join(f"CASE p_size % {len(_TEX_MIDDLE)} " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(_TEX_MIDDLE)) + " END" if x == "#" else x if x.startswith("p_") else "'" + x.replace("\n", "' || chr(10) || '") + "'" for x in _TEX_PARTS)
+
+
 def latex_text(spark, d):
-    """Paragraphs and cells made of part rows, cleaned."""
-    x = _t(spark, d, "part").withColumn("tex", F.concat(F.lit("\\section{"), "p_name", F.lit("} \\textbf{"), "p_brand", F.lit("} holds 5\\% of \\emph{"), "p_type", F.lit("}~\\cite{a,b} % note\nEnd."))).withColumn("cell", F.concat(F.lit("\\textbf{\\emph{"), "p_name", F.lit("}} \\hline $"), "p_size", F.lit("$ \\& 7\\%")))
+    """Paragraphs and cells made of part rows, cleaned; paragraphs differ by size in nesting, commands within words, escaped signs, comments and citations."""
+    x = _t(spark, d, "part").withColumn("tex", _tex()).withColumn("cell", F.concat(F.lit("\\textbf{\\emph{"), "p_name", F.lit("}} \\hline $"), "p_size", F.lit("$ \\& 7\\%")))
     return x.select("p_partkey", T.clean_latex(F.col("tex")).alias("paragraph"), T.clean_cell(F.col("cell")).alias("cell"))
 
 
@@ -143,7 +155,7 @@ SELECT conv_id, turn, list_has_any(regexp_extract_all({sql_fold('before')}, '[a-
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, regexp_replace(regexp_replace(regexp_replace(line, '\s+$', ''), '[。！？!?；;：:]+$', ''), '\s+$', '') AS repaired FROM l WHERE regexp_matches(regexp_replace(line, '\s+$', ''), '[。！？!?；;：:]$')""",
     "title_repair": rf"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS before FROM pages),
 a AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(before, '\s+$', ''), '[。！？!?；;：:]+$', ''), '\s+$', '') AS after FROM p)
-SELECT page_id, before, after, array_to_string(list_filter([CASE WHEN regexp_replace({sql_fold('trim(before)')}, '\.+$', '') IN {T.GENERIC_TITLES} THEN 'generic' END, CASE WHEN trim(before) LIKE '%.' AND length(trim(before)) < 90 THEN 'trailing_period' END,
+SELECT page_id, before, after, array_to_string(list_filter([CASE WHEN regexp_replace({sql_fold('trim(before)')}, '\.+$', '') IN {T.GENERIC_TITLES} THEN 'generic' END, CASE WHEN before LIKE '%.' AND length(before) < 90 THEN 'trailing_period' END,
   CASE WHEN regexp_matches(before, '[—;|→]') THEN 'punctuation' END, CASE WHEN length(before) > 110 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS problems, after <> before AND after <> '' AS repaired FROM a""",
     "html_structure": "SELECT page_id, regexp_extract(html, '(?s)<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '(?s)<h1>([^<]*)</h1>', 1) AS h1, " + ", ".join(f"CAST(len(regexp_extract_all(html, '<{t}[ >]')) AS INTEGER) AS n_{t}" for t in ("p", "li", "nav", "article")) + " FROM pages",
     "line_paragraphs": rf"""WITH l AS (SELECT doc_id, {sql_collapse('unnest(string_split(text, chr(10)))')} AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
@@ -151,7 +163,10 @@ k AS (SELECT * FROM l WHERE line <> '' AND NOT (regexp_matches(line, '^(?:\d+(?:
 SELECT doc_id, 'para_pdf_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS VARCHAR), 5, '0') AS paragraph_id, CAST(length(line) AS INTEGER) AS n_chars FROM k""",
     "heading_carry": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM conversations",
     "voice_gate": "SELECT * FROM (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'Here We Propose ' WHEN p_size % 7 = 0 THEN 'OUR METHOD ' ELSE 'They show ' END || p_name AS claim FROM part) WHERE regexp_matches(lower(claim), 'we propose|our method')",
-    "latex_text": "SELECT p_partkey, trim(regexp_replace(p_name || ' ' || p_brand || ' holds 5% of ' || p_type || ' End.', ' +', ' ', 'g')) AS paragraph, trim(p_name || ' ' || p_size || ' & 7%') AS cell FROM part",
+    "latex_text": rf"""WITH t AS (SELECT *, {_TEX_SQL} AS tex FROM part),
+c AS (SELECT *, replace(regexp_replace(replace(tex, '\%', chr(1)), '%[^\n]*', '', 'g'), chr(1), '%') AS bare FROM t),
+k AS (SELECT *, regexp_replace(regexp_replace(bare, '\\(?:cite\w*|ref|label|eqref)\*?(?:\[[^\]]*\])*\{{[^{{}}]*\}}', '', 'g'), '\\[A-Za-z@]+\*?(?:\[[^\]]*\])?|[{{}}]', '', 'g') AS plain FROM c)
+SELECT p_partkey, trim(regexp_replace(replace(plain, '~', ' '), '\s+', ' ', 'g')) AS paragraph, trim(p_name || ' ' || p_size || ' & 7%') AS cell FROM k""",
     "overfull_lines": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(length(line) AS INTEGER) AS n_chars FROM l WHERE ceil(length(line) * 0.55 / greatest(1.0, CAST(4.2 AS DOUBLE) * 72 / 14)) * 14 * 1.28 / 72 > 0.9 * 1.15",
     "json_fields": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, array_to_string(json_keys(props), ',') AS keys FROM events",
 }

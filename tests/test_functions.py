@@ -37,6 +37,7 @@ def test_text(spark):
     assert value(spark, text.keyword_overlap, "The Model wins", "a model") and not value(spark, text.keyword_overlap, "ab", "cd")
     assert value(spark, text.keyword_overlap, "提出注意力", "关于注意的") and not value(spark, text.keyword_overlap, "提出", "关于")
     assert value(spark, text.strip_comments, "5\\% kept % gone\nnext \\\\% gone") == "5% kept \nnext \\\\"
+    assert value(spark, text.clean_latex, "self-\\textbf{attention}s") == "self-attentions"
     assert value(spark, text.clean_latex, "A \\textbf{bold}~claim \\cite{x,y} % c\nend") == "A bold claim end"
     assert value(spark, text.clean_cell, "\\textbf{\\emph{x}} \\& 5\\%") == "x & 5%"
     assert value(spark, text.is_heading, "2.1 Model Architecture") and not value(spark, text.is_heading, "this is a sentence.")

@@ -206,3 +206,34 @@ def test_relations(spark):
     assert {tuple(r) for r in relations.contained(e, t).collect()} == {(1, 1), (2, 2), (3, 2)}
     d = spark.createDataFrame([("k", 1, "old"), ("j", 2, "x"), ("k", 3, "new")], "key string, n int, v string")
     assert {(r["key"], r["v"], r["position"]) for r in relations.choose_latest(d, "key", "n").collect()} == {("k", "new", 1), ("j", "x", 2)}
+
+
+def test_short_excerpts_are_found(spark):
+    """Excerpts of one to many words, and of under three characters, against a plain search."""
+    excerpts = ["a", "of", "cat", "e ca", "the cat", "the cat sat", "cat sat on the mat", "the cat sat on the mat and slept well", "nowhere", "", "THE  Cat"]
+    texts = ["The cat sat on the mat and slept well.", "Concatenate the  CAT, sat", "x", "", None, "ab cd ef", "a"]
+    e = spark.createDataFrame(list(enumerate(excerpts)), "excerpt_id long, excerpt string")
+    t = spark.createDataFrame(list(enumerate(texts)), "source_id long, text string")
+    norm = lambda x: " ".join(x.split()).lower()
+    want = {(i, j) for i, x in enumerate(excerpts) for j, y in enumerate(texts) if y is not None and norm(x) in norm(y)}
+    got = [(r["excerpt_id"], r["source_id"]) for r in relations.contained(e, t).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert relations.contained(e.where("excerpt_id = 6"), t).collect() and relations.contained(e.limit(0), t).count() == 0
+
+
+def test_limitations_survive_a_budget(spark):
+    """A limitations unit of low importance is required, and counts in the narrative minimum."""
+    rows = [("p", f"u{k}", k, r, i, 60) for k, (r, i) in enumerate([("problem", 5), ("core_insight", 5), ("method_overview", 5), ("experiments", 5), ("analysis", 4), ("limitations", 1), ("conclusion", 3)], 1)]
+    u = spark.createDataFrame(rows, "paper_id string, unit_id string, `order` int, role string, importance int, seconds int")
+    g = F.coalesce(*[F.when(F.col("role").isin(*roles), F.lit(k)) for k, roles in enumerate(planning.ROLE_GROUPS)])
+    r = planning.required_units(u.withColumn("g", g), "paper_id", "g", "importance", "order")
+    assert {x["unit_id"] for x in planning.select_within_budget(r, "paper_id", "unit_id", "importance", "order", "seconds", F.lit(360)).collect()} == {"u1", "u2", "u3", "u4", "u6", "u7"}
+    assert [x["minimum"] for x in planning.narrative_minimum(r, "paper_id", "seconds", F.lit(350)).collect()] == [360]
+
+
+def test_last_citation_wins_and_actions(deck):
+    cited = deck["citations"].withColumn("pos", F.lit(0))
+    both = cited.unionByName(cited.where("slide_id = 's2'").withColumn("source_ids", F.array(F.lit("other"))).withColumn("pos", F.lit(1)))
+    found = qa.factual(deck["slides"], both, deck["visuals"], deck["nodes"], deck["known"]).collect()
+    assert [(r["code"], r["slide_ids"], r["repairability"]) for r in found] == [("CITATION_SOURCE_MISMATCH", ["s2"], "none")] and found[0]["suggested_action"] == qa.ACTIONS["CITATION_SOURCE_MISMATCH"][1]
+    assert not qa.factual(deck["slides"], both.withColumn("pos", -F.col("pos")), deck["visuals"], deck["nodes"], deck["known"]).collect()
