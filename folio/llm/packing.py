@@ -83,7 +83,9 @@ class _Vocabulary(dict):
         made = json.loads(self.tokenizer.to_str())
         steps, splits = (made.get("normalizer") or {}).get("normalizers", []), (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.like = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0].get("pattern") == {"Regex": PIECES} and made["model"]["type"] == "BPE"
-        self.forget()
+        self.fresh: list = []
+        self.flat, self.used = np.zeros(1 << 18, self.kind), 0
+        self.start, self.size, self.hits, self.signs = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int64), np.zeros((1 << 14, DIMS), np.float32)
 
     def __missing__(self, piece) -> int:
         n = self[piece] = len(self)
@@ -91,10 +93,17 @@ class _Vocabulary(dict):
         return n
 
     def forget(self) -> None:
+        """All pieces but those seen more than once, at most half of CACHE_WORDS of them, the most seen ones."""
+        known = list(self)
+        kept = np.flatnonzero(self.hits[: len(known)] > 1)
+        if len(kept) > CACHE_WORDS // 2:
+            kept = np.sort(kept[np.argsort(-self.hits[kept], kind="stable")[: CACHE_WORDS // 2]])
+        size = self.size[kept].astype(np.int64)
+        upto = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.start[kept] - upto + size, size) + np.arange(int(size.sum()))]
+        self.start, self.size, self.signs, self.hits, self.used = upto - size, self.size[kept], self.signs[kept], self.hits[kept] // 2, len(self.flat)
         self.clear()
-        self.fresh: list = []
-        self.flat, self.used = np.zeros(1 << 18, self.kind), 0
-        self.start, self.size, self.signs = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros((1 << 14, DIMS), np.float32)
+        self.update(zip([known[i] for i in kept.tolist()], range(len(kept)), strict=True))
 
     def cut(self, text: str | None) -> list:
         if text and self.like and "<|" not in text and PLAIN.fullmatch(text):
@@ -118,10 +127,10 @@ class _Vocabulary(dict):
         n, m = len(self) - len(new), len(new)
         size = np.fromiter(map(len, ids), np.int32, m)
         total = int(size.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + m > len(self.start):
-            self.start, self.size, self.signs = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.signs))
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(self.used + total, self.kind)])
+        if n + m > len(self.start):
+            self.start, self.size, self.hits, self.signs = (np.concatenate([x, np.zeros((n + m, *x.shape[1:]), x.dtype)]) for x in (self.start, self.size, self.hits, self.signs))
         self.start[n : n + m] = self.used + np.cumsum(size, dtype=np.int64) - size
         self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), self.kind, total)
         self.used += total
@@ -136,6 +145,7 @@ class _Vocabulary(dict):
         n = np.array([len(t) for t in texts])
         at = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(texts)), np.int64, int(n.sum()))
         self.learn()
+        self.hits[: len(self)] += np.bincount(at, minlength=len(self))
         ends = np.cumsum(n)
         size = self.size[at].astype(np.int64)
         cuts = np.concatenate([[0], np.cumsum(size)])[ends]
