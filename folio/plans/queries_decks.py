@@ -119,7 +119,7 @@ UNION ALL SELECT l_orderkey, 'column_labels', 's' || o, s % 4 + 1 || '/' || cols
     "deck_presentation": f"""WITH {_Y}, g AS (SELECT l_orderkey, sum(secs) AS spec, sum(q) AS plan, max(o) AS last FROM y GROUP BY l_orderkey), z AS (SELECT y.*, o = last AS is_last FROM y JOIN g USING (l_orderkey))
 SELECT l_orderkey, 'presentation' AS category, 'TIMING_DRIFT' AS code, 'error' AS severity, '' AS slides, 'none' AS repairability, NULL AS field_path FROM g WHERE spec <> plan UNION ALL SELECT l_orderkey, 'presentation', 'TIME_BUDGET_EXCEEDED', 'error', '', 'manual', NULL FROM g WHERE spec > 100
 UNION ALL SELECT l_orderkey, 'presentation', 'NOTES_MAIN_MESSAGE_DRIFT', 'error', slide_id, 'manual', NULL FROM z WHERE p % 19 = 0 UNION ALL SELECT l_orderkey, 'presentation', 'NOTES_PURPOSE_DRIFT', 'warning', slide_id, 'manual', NULL FROM z WHERE s % 7 = 0
-UNION ALL SELECT l_orderkey, 'presentation', 'SCRIPT_CONTENT_DRIFT', 'warning', slide_id, 'manual', NULL FROM z WHERE p % 23 = 0 OR (s % 13 = 0 AND q % 10 < 2)
+UNION ALL SELECT l_orderkey, 'presentation', 'SCRIPT_CONTENT_DRIFT', 'warning', slide_id, 'manual', NULL FROM z WHERE p % 23 = 0 OR (s % 13 = 0 AND q % 10 < 2 AND p <> s)
 UNION ALL SELECT l_orderkey, 'presentation', 'TITLE_TRAILING_PUNCTUATION', 'warning', slide_id, 'automatic', 'slides[' || (o - 1) || '].title' FROM z WHERE q % 10 = 2
 UNION ALL SELECT l_orderkey, 'presentation', 'EARLY_CLOSING_TRANSITION', 'warning', slide_id, 'manual', NULL FROM z WHERE q % 8 = 0 AND NOT is_last UNION ALL SELECT l_orderkey, 'presentation', 'MISSING_CLOSING_TRANSITION', 'info', slide_id, 'manual', NULL FROM z WHERE q % 8 <> 0 AND is_last""",
     "deck_storyline": f"""WITH {_Y}, r AS (SELECT *, q % 7 AS role FROM y), g AS (SELECT l_orderkey, count(*) AS n, coalesce(min(o) FILTER (role = 1), 1000000) AS a, coalesce(min(o) FILTER (role IN (2, 3)), 1000000) AS b, coalesce(min(o) FILTER (role = 4), 1000000) AS c, coalesce(min(o) FILTER (role = 6), 1000000) AS e,
