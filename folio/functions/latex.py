@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 
 from pyspark.sql import Column
@@ -104,20 +105,34 @@ def to_text(latex: str | None, passes: int = 5) -> str:
     return re.sub(r"\s+", " ", x).strip()
 
 
+def _within(path: str) -> str:
+    """A path without `.` and `..`; one that leaves the source tree is an error."""
+    flat = posixpath.normpath(path.replace("\\", "/"))
+    if flat.startswith(("/", "../")) or flat == "..":
+        raise ValueError(f"include leaves the source tree: {path}")
+    return flat
+
+
 def expand_includes(files: dict[str, str], main: str) -> str:
-    """Text of main with \\input and \\include replaced, depth first, each file once; a missing file's command stays."""
+    """Text of main with \\input and \\include replaced, depth first, each file once; a missing file's command stays.
+
+    A name without a suffix means .tex. Files beside the one that includes come before those of the root.
+    """
     seen: set[str] = set()
 
     def read(name: str) -> str:
         seen.add(name)
-        base = name.rsplit("/", 1)[0] + "/" if "/" in name else ""
+        base = posixpath.dirname(name)
 
         def put(m: re.Match) -> str:
             want = m[1].strip()
-            want = want if want.endswith(".tex") else want + ".tex"
-            if want.startswith("/") or ".." in want.split("/"):
+            want = want if posixpath.splitext(want)[1] else want + ".tex"
+            if want.startswith("/"):
                 raise ValueError(f"include leaves the source tree: {want}")
-            for x in (base + want, want):
+            places = [_within(posixpath.join(base, want))]
+            if ".." not in want.split("/"):
+                places.append(_within(want))
+            for x in places:
                 if x in files:
                     return "" if x in seen else read(x)
             return m[0]

@@ -80,3 +80,42 @@ def page_lines(pages: DataFrame) -> DataFrame:
     n = F.sum(F.col("heading").cast("int")).over(Window.partitionBy("paper_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     p = p.withColumn("own", F.when(F.col("heading"), F.format_string("sec_pdf_%03d", n)))
     return carry_forward(p, "paper_id", "at", F.col("own"), "section_id").select("paper_id", "page", "pos", "text", "heading", "section_id")
+
+
+# Fixed values that results depend on: how macros, titles and authors are found.
+_MACRO = r"\\newcommand\*?\s*(?:\{\\([A-Za-z@]+)\}|\\([A-Za-z@]+))\s*\{([^{}]*)\}"
+_VALUE = r"(?s)\\%s\s*\{((?:[^{}]|\{[^{}]*\})*)\}"
+_AUTHOR_CUT = r"\\and|;"
+
+
+def _value(text: Column, name: str) -> Column:
+    """What stands in the first \\name{...}, white space as one blank; null if there is none."""
+    found = F.regexp_extract_all(text, F.lit(_VALUE % name), F.lit(1))
+    return F.trim(F.regexp_replace(F.get(found, 0), r"\s+", " "))
+
+
+def expanded_macros(text: Column, source: Column) -> Column:
+    """text with the macros without arguments that source defines put in, the longest name first; of definitions of one name the last one counts."""
+    braced, bare, values = (F.regexp_extract_all(source, F.lit(_MACRO), F.lit(k)) for k in (1, 2, 3))
+    names = F.zip_with(braced, bare, lambda a, b: F.concat(a, b))  # one of the two is empty
+    found = F.zip_with(names, values, lambda n, v: F.struct((-F.length(n)).alias("size"), n.alias("name"), v.alias("value")))
+    macros = F.array_sort(F.transform(found, lambda m, i: F.struct(m["size"].alias("size"), (-i).alias("at"), m["name"].alias("name"), m["value"].alias("value"))))
+    literal = lambda v: F.regexp_replace(v, r"([\\$])", r"\\$1")
+    return F.aggregate(macros, text, lambda have, m: F.regexp_replace(have, F.concat(F.lit(r"\\"), m["name"], F.lit(r"(?![A-Za-z@])(?:\{\})?")), literal(m["value"])))
+
+
+def metadata(tex: DataFrame) -> DataFrame:
+    """tex(paper_id, text) -> (paper_id, title, authors, abstract): title with its macros put in and cleaned, null if there is none or nothing is left of it; authors cut
+    at \\and and semicolons; the first abstract. A paper without text has null, no authors and null."""
+    raw = F.regexp_replace(expanded_macros(_value(F.col("text"), "title"), F.col("text")), r"\\(?:vspace|hspace)\*?\s*\{[^{}]*\}", " ")
+    authors = F.filter(F.transform(F.split(F.coalesce(_value(F.col("text"), "author"), F.lit("")), _AUTHOR_CUT), lambda a: F.trim(a)), lambda a: a != "")
+    abstract = F.get(F.regexp_extract_all("text", F.lit(r"(?s)\\begin\{abstract\*?\}(.*?)\\end\{abstract\*?\}"), F.lit(1)), 0)
+    return tex.select("paper_id", F.nullif(T.clean_latex(raw), F.lit("")).alias("title"), authors.alias("authors"), T.clean_latex(abstract).alias("abstract"))
+
+
+def merged_metadata(tex: DataFrame, pdf: DataFrame) -> DataFrame:
+    """metadata() rows of both sources -> one for each paper: LaTeX's title, authors and abstract where it has any, else those of the PDF."""
+    t, p = (x.select("paper_id", *[F.col(c).alias(f"{s}_{c}") for c in ("title", "authors", "abstract")]) for x, s in ((tex, "tex"), (pdf, "pdf")))
+    either = lambda c: F.coalesce(F.when(F.length(f"tex_{c}") > 0, F.col(f"tex_{c}")), F.col(f"pdf_{c}")).alias(c)
+    authors = F.coalesce(F.when(F.size("tex_authors") > 0, F.col("tex_authors")), "pdf_authors", F.array().cast("array<string>")).alias("authors")
+    return t.join(p, "paper_id", "full").select("paper_id", either("title"), authors, either("abstract"))

@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 from ..functions import latex
 
 ARCHIVE = r"(?i)\.(zip|tar|tar\.gz|tgz)$"
+#: Members that \\input may name.
+INCLUDABLE = r"\.(tex|tikz|pgf|txt|bbl|sty|cls|def|ltx|inc)$"
 GRAPHICS = (".pdf", ".png", ".jpg", ".jpeg", ".svg", ".eps")
 
 
@@ -96,7 +98,8 @@ def main_tex(members: DataFrame, by: str = "path") -> DataFrame:
 def expanded(members: DataFrame, by: str = "path") -> DataFrame:
     """(path, main, text): the main file of each archive with its includes in place. An archive is one group: a paper's sources."""
     main = main_tex(members, by).select(by, F.col("member").alias("main"))
-    tex = members.where(F.lower("member").endswith(".tex")).select(by, "member", F.col("content").cast("string").alias("text")).join(main, by)
+    named = F.lower("member").rlike(INCLUDABLE)
+    tex = members.where(named).select(by, "member", F.col("content").cast("string").alias("text")).join(main, by)
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         m = p["main"].iloc[0]
@@ -105,16 +108,46 @@ def expanded(members: DataFrame, by: str = "path") -> DataFrame:
     return tex.groupBy(by).applyInPandas(one, f"{by} string, main string, text string")
 
 
+def _flat(path):
+    """A path without empty parts, `.` and `..`; null if it leaves the root."""
+    parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda x: (x != "") & (x != "."))
+    out = F.array(F.lit("")).cast("array<string>")
+    kept = F.aggregate(parts, out, lambda have, x: F.when(x != "..", F.concat(have, F.array(x))).when(F.size(have) > 1, F.slice(have, 1, F.size(have) - 1)))
+    return F.when(~path.startswith("/"), F.array_join(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), "/"))
+
+
 def resolve_graphics(refs: DataFrame, members: DataFrame, by: str = "path") -> DataFrame:
-    """refs(path, main, ref) -> with `member`, the file a graphic is: beside the main file before the root, extensions in fixed order; null if there is none."""
+    """refs(path, main, ref) -> with `member`, the file a graphic is: beside the main file before the root, extensions in fixed order; null if there is none,
+    or if the name leads out of the archive."""
     base = F.regexp_extract("main", r"^(.*/)?[^/]*$", 1)
     names = F.when(F.col("ref").rlike(r"\.[A-Za-z]{2,4}$"), F.array("ref")).otherwise(F.array(*[F.concat("ref", F.lit(x)) for x in GRAPHICS]))
-    tried = F.concat(F.transform(names, lambda n: F.concat(base, n)), names)
-    e = refs.withColumn("tried", tried).select(*refs.columns, F.posexplode("tried").alias("rank", "member"))
-    hit = e.join(members.select(by, "member"), [by, "member"]).groupBy(*refs.columns).agg(F.min_by("member", "rank").alias("member"))
+    tried = F.concat(F.transform(names, lambda n: _flat(F.concat(base, n))), F.transform(names, _flat))
+    e = refs.withColumn("tried", F.when(~F.col("ref").startswith("/"), tried)).select(*refs.columns, F.posexplode("tried").alias("rank", "member"))
+    hit = e.where("member IS NOT NULL").join(members.select(by, "member"), [by, "member"]).groupBy(*refs.columns).agg(F.min_by("member", "rank").alias("member"))
     return refs.join(hit, refs.columns, "left")
 
 
+def graphic_warnings(resolved: DataFrame, by: str = "path") -> DataFrame:
+    """(path, ref, warning): references of resolve_graphics that no file answers."""
+    return resolved.where("member IS NULL").select(by, "ref", F.concat(F.lit("graphic not found: "), "ref").alias("warning"))
+
+
+# Fixed values that results depend on: endings of vector graphics, classes in the order of their use, and media types by ending.
+VECTOR = (".pdf", ".svg", ".eps")
+ORIGINS = {"latex_vector": 1, "latex_raster": 2, "pdf_embedded": 3}
+MEDIA = {".pdf": "application/pdf", ".svg": "image/svg+xml", ".eps": "application/postscript", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".bmp": "image/bmp", ".tif": "image/tiff", ".tiff": "image/tiff", ".webp": "image/webp"}
+
+
+def classified_assets(assets: DataFrame, name: str = "file", embedded: str = "embedded", by: str = "paper_id") -> DataFrame:
+    """assets(paper_id, asset_id, file, embedded) with origin, priority (vector graphics first, then raster, then pictures embedded in a PDF), media_type (null if
+    the ending is unknown) and rank, the place from 1 by priority and then id. A null name is a raster graphic."""
+    ending = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"(\.[^./]*)$", 1))
+    origin = F.when(F.col(embedded), "pdf_embedded").when(ending.isin(*VECTOR), "latex_vector").otherwise("latex_raster")
+    lookup = lambda d, key: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), key)
+    out = assets.withColumn("origin", origin).withColumn("priority", lookup(ORIGINS, F.col("origin"))).withColumn("media_type", F.try_element_at(F.create_map(*[F.lit(x) for kv in MEDIA.items() for x in kv]), ending))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("priority", "asset_id")))
+
+
 _NS = {"a": "http://schemas.openxmlformats.org/drawingml/2006/main", "p": "http://schemas.openxmlformats.org/presentationml/2006/main"}
 
 
