@@ -43,6 +43,16 @@ def to_do(steps: DataFrame, missing: DataFrame, wanted: DataFrame) -> DataFrame:
     return s.select("run_id", "step", "pos", F.when(so_far == 1, "skip").otherwise("run").alias("action"))
 
 
+def resumed(steps: DataFrame, missing: DataFrame, resume_from: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(steps, problems) of builds that resume_from(run_id, resume_from) lets start anew at a step: the ones before count as completed, that step and those
+    behind it as pending. A step before that lacks files, as missing_artifacts finds them, is a problem (run_id, step, artifact) and the build must not start."""
+    place = F.array_position(F.array(*map(F.lit, STEPS)), F.col("step"))
+    start = resume_from.select("run_id", F.array_position(F.array(*map(F.lit, STEPS)), F.col("resume_from")).alias("start")).where("start > 0")
+    lost = missing.join(start, "run_id").where(place < F.col("start")).select("run_id", "step", "artifact")
+    status = F.when(F.col("start").isNull(), F.col("status")).when(place < F.col("start"), "completed").otherwise("pending")
+    return steps.join(start, "run_id", "left").withColumn("status", status).select(*steps.columns), lost
+
+
 def directory_fingerprint(files: DataFrame, by: str = "run_id") -> DataFrame:
     """files(run_id, path, content) -> one digest of names and contents, independent of the order in which files are listed."""
     f = files.select(by, F.concat("path", F.lit("\0"), F.sha2("content", 256), F.lit("\0")).alias("x"), "path")

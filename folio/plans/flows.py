@@ -12,7 +12,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import authoring, evidence, parse, planning, qa, relations, reports
+from ..operators import authoring, elements, evidence, guards, incremental, parse, planning, qa, relations, reports
 from ..operators.layout import render_elements
 from ..sources.files import read_artifacts
 
@@ -57,7 +57,7 @@ def parse_papers(tex: DataFrame, pages: DataFrame | None = None) -> dict[str, Da
         known = sections.select("paper_id", F.col("section_id"), F.lit(True).alias("known"))
         p = p.join(known, ["paper_id", "section_id"], "left").select("paper_id", "paragraph_id", "text", F.when(F.col("known"), F.col("section_id")).alias("section_id"), F.lit("pdf").alias("source"))
         paragraphs = paragraphs.unionByName(p)
-    return {"sections": sections, "paragraphs": paragraphs, "figures": parse.figures(tex), "tables": parse.tables(tex), "equations": parse.equations(tex)}
+    return {"metadata": parse.metadata(tex), "sections": sections, "paragraphs": paragraphs, "figures": parse.figures(tex), "tables": parse.tables(tex), "equations": parse.equations(tex)}
 
 
 def source_catalog(paper: dict[str, DataFrame]) -> DataFrame:
@@ -138,6 +138,9 @@ def run_qa(deck: dict[str, DataFrame], max_iterations: int = 1) -> dict[str, Dat
         if did.isEmpty():
             break
         slides, actions, issues = repaired, did if actions is None else actions.unionByName(did), found(repaired)
+    if actions is not None and {"pos"} <= set(deck["citations"].columns) & set(deck["visuals"].columns):
+        before, after = (guards.evidence_signatures(x, deck["visuals"], deck["citations"]) for x in (deck["slides"], slides))
+        gate(guards.changed_evidence(before, after), True, "a repair changed evidence")
     issues = qa.deduplicated(issues, "pos").drop("pos")
     categories = deck["slides"].sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("factual", "storyline", "visual", "presentation")))).alias("category"))
     every = slides.select("paper_id").distinct().join(F.broadcast(categories), F.lit(True))
@@ -153,3 +156,42 @@ def render_plan(slides: DataFrame, visuals: DataFrame, numbers: list[int] | None
             raise GateError(f"unknown slides: {missing}")
         slides = slides.where(F.col("order").isin(*numbers))
     return render_elements(slides, visuals.join(slides.select("slide_id"), "slide_id", "left_semi"))
+
+
+def render_deck(slides: DataFrame, visuals: DataFrame, tables: DataFrame, equations: DataFrame, numbers: list[int] | None = None) -> dict[str, DataFrame]:
+    """Everything a writer needs: elements (see `elements`) and the notes of each slide. visuals without cells and formulas get them from
+    tables(paper_id, table_id, latex) and equations(paper_id, equation_id, latex); numbers as in render_plan."""
+    from ..functions import formulas, latex
+
+    if numbers is not None:
+        known = {r["number"] for r in slides.select("number").where(F.col("number").isin(*numbers)).distinct().collect()}
+        if missing := sorted(set(numbers) - known):
+            raise GateError(f"unknown slides: {missing}")
+        slides = slides.where(F.col("number").isin(*numbers))
+    used = visuals.join(slides.select("paper_id", "slide_id"), ["paper_id", "slide_id"], "left_semi")
+    refs = used.select("paper_id", "source_ref", "kind").distinct()
+    ref = lambda df, i, kind: df.withColumnRenamed(i, "source_ref").join(refs.where(F.col("kind") == kind).drop("kind"), ["paper_id", "source_ref"], "left_semi")
+    cells = ref(tables, "table_id", "source_table").select("paper_id", "source_ref", F.lit("source_table").alias("kind"), latex.tabular_rows(F.col("latex")).alias("cells"))
+    written = ref(equations, "equation_id", "source_equation").select("paper_id", "source_ref", F.lit("source_equation").alias("kind"), formulas.readable(F.col("latex")).alias("formula"))
+    own = [c for c in used.columns if c not in ("cells", "formula")]
+    used = used.select(*own).join(cells, ["paper_id", "source_ref", "kind"], "left").join(written, ["paper_id", "source_ref", "kind"], "left")
+    return {"elements": elements.slide_elements(slides, used), "notes": elements.note_texts(slides)}
+
+
+def run_build(steps: DataFrame, files: DataFrame, wanted: DataFrame, handlers: dict, resume_from: str | None = None) -> list[tuple[str, str]]:
+    """Runs what a build of any number of papers still has to do, step by step, and returns (step, "skip" or "run").
+
+    handlers: for each step a function of the DataFrame of run ids that need it; it writes its step's artifacts. steps, files and wanted as in `incremental`.
+    A step is called once for all papers that need it. With resume_from, files that steps before it should have left must be there."""
+    lost = incremental.missing_artifacts(wanted, files)
+    if resume_from is not None:
+        steps, problems = incremental.resumed(steps, lost, wanted.select("run_id", F.lit(resume_from).alias("resume_from")))
+        gate(problems, True, f"cannot resume from {resume_from}")
+    plan = incremental.to_do(steps, lost, wanted)
+    need = {r["step"] for r in plan.where("action = 'run'").select("step").distinct().collect()}  # at most one row a step
+    done = []
+    for step in incremental.STEPS:
+        if step in need:
+            handlers[step](plan.where((F.col("step") == step) & (F.col("action") == "run")).select("run_id"))
+        done.append((step, "run" if step in need else "skip"))
+    return done

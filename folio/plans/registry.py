@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_decks, queries_relations, queries_text
+from . import queries_build, queries_decks, queries_relations, queries_text
 
-QUERIES = {**queries_text.QUERIES, **queries_relations.QUERIES, **queries_decks.QUERIES}
-ORACLES = {**queries_text.ORACLES, **queries_relations.ORACLES, **queries_decks.ORACLES}
+QUERIES = {**queries_text.QUERIES, **queries_relations.QUERIES, **queries_decks.QUERIES, **queries_build.QUERIES}
+ORACLES = {**queries_text.ORACLES, **queries_relations.ORACLES, **queries_decks.ORACLES, **queries_build.ORACLES}
