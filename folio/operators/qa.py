@@ -62,6 +62,13 @@ ACTIONS = {
     "TEXT_BOX_OVERLAP": ("manual", "调整 Renderer 几何参数并仅重渲染该页进行复检。"),
     "NATIVE_TABLE_MISSING": ("manual", "修复表格 renderer，不能用截图替代要求的可编辑表格。"),
     "INVALID_PPTX_PACKAGE": ("none", "重新渲染 PPTX 并检查 OOXML package。"),
+    "SLIDE_COUNT_MISMATCH": ("none", "重新渲染完整 deck，不能用 partial review deck 作为最终输出。"),
+    "MISSING_NOTES_PART": ("manual", "重新渲染并确认每页调用了 addNotes。"),
+    "PREVIEW_NOT_RENDERED": ("manual", "在可用的 Office/PDF 环境中重新运行 qa，生成 PDF 和逐页预览。"),
+    "PREVIEW_COUNT_MISMATCH": ("manual", "重新从最终 PDF 生成全部页面预览。"),
+    "INVALID_PREVIEW_IMAGE": ("manual", "重新渲染该页预览。"),
+    "LOW_QUALITY_PREVIEW": ("manual", "以至少 960x540 的 16:9 分辨率重新渲染。"),
+    "RENDER_INSPECT_UNAVAILABLE": ("none", "安装可用的 PowerPoint/LibreOffice 与 PyMuPDF 后重新运行 qa。"),
     "CLAIM_EVIDENCE_UNSUPPORTED": ("none", "回到 Evidence Graph 或 Slide Spec 人工修正 claim/证据映射，禁止 QA 自动改写。"),
     "CLAIM_EVIDENCE_PARTIAL": ("none", "人工缩窄 claim 或补充已有证据；不要让 evaluator 自行生成新事实。"),
     "CLAIM_EVIDENCE_INSUFFICIENT": ("none", "人工复核原文定位并决定补充证据、缩窄 claim 或保留显式不确定性。"),
@@ -272,3 +279,40 @@ def missing_tables(boxes: DataFrame, visuals: DataFrame) -> DataFrame:
     bare = boxes.groupBy("paper_id", "slide_id").agg(F.max("has_table").alias("has")).where("NOT has")
     wanted = bare.join(visuals.where("kind = 'source_table'").select("paper_id", "slide_id"), ["paper_id", "slide_id"], "left_semi")
     return issues(wanted, "visual", "NATIVE_TABLE_MISSING", "error", _text(F.col("slide_id"), " 应包含可编辑 native table，但 PPTX 中未找到。"), _slide())
+
+
+# Fixed values that results depend on: the least size of a preview, and how far its sides may be off 16:9.
+PREVIEW_WIDTH, PREVIEW_HEIGHT, PREVIEW_ASPECT = 960, 540, 0.03
+
+
+def part_findings(parts: DataFrame, slides: DataFrame) -> DataFrame:
+    """parts(paper_id, n_slides, n_notes) of packages that can be read, against slides(paper_id, slide_id): wrong numbers of slides and of notes."""
+    n = parts.join(slides.groupBy("paper_id").agg(F.count("*").alias("n")), "paper_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    number = lambda c: F.col(c).cast("string")
+    return union(
+        issues(n.where("n_slides <> n"), "visual", "SLIDE_COUNT_MISMATCH", "error", _text("PPTX 含 ", number("n_slides"), " 页，但 Slide Spec 定义 ", number("n"), " 页。")),
+        issues(n.where("n_notes <> n"), "visual", "MISSING_NOTES_PART", "error", _text("PPTX 只有 ", number("n_notes"), " 个 notes part，预期 ", number("n"), " 个。")),
+    )
+
+
+def preview_findings(previews: DataFrame, slides: DataFrame) -> DataFrame:
+    """previews(paper_id, name, w, h), w and h null where the file is no PNG, against slides(paper_id, slide_id, order): decks without any preview, wrong
+    numbers of them, unreadable ones, and small or badly shaped ones. The k-th name of a deck belongs to its k-th slide; names beyond the slides are only counted."""
+    k = lambda by: F.row_number().over(Window.partitionBy("paper_id").orderBy(by))
+    s = slides.select("paper_id", "slide_id", k("order").alias("k"))
+    counts = s.groupBy("paper_id").agg(F.count("*").alias("n")).join(previews.groupBy("paper_id").agg(F.count("*").alias("have")), "paper_id", "left")
+    each = previews.select("paper_id", "name", "w", "h", k("name").alias("k")).join(s, ["paper_id", "k"])
+    unreadable = F.col("w").isNull() | F.col("h").isNull()
+    poor = (F.col("w") < PREVIEW_WIDTH) | (F.col("h") < PREVIEW_HEIGHT) | (F.abs(F.try_divide("w", "h") - F.lit(16 / 9)) > PREVIEW_ASPECT)
+    number = lambda c: F.col(c).cast("string")
+    return union(
+        issues(counts.where("have IS NULL"), "visual", "PREVIEW_NOT_RENDERED", "warning", F.lit("未生成逐页 PNG，因此视觉 QA 只完成了结构检查。")),
+        issues(counts.where("have <> n"), "visual", "PREVIEW_COUNT_MISMATCH", "error", _text("预览目录含 ", number("have"), " 张 PNG，预期 ", number("n"), " 张。")),
+        issues(each.where(unreadable), "visual", "INVALID_PREVIEW_IMAGE", "error", _text(F.col("name"), " 不是可读取的 PNG。"), _slide()),
+        issues(each.where(~unreadable & poor), "visual", "LOW_QUALITY_PREVIEW", "warning", _text(F.col("name"), " 的分辨率或宽高比不足：", number("w"), "x", number("h"), "。"), _slide()),
+    )
+
+
+def render_failures(failures: DataFrame) -> DataFrame:
+    """failures(paper_id, reason): decks of which no pictures could be made."""
+    return issues(failures, "visual", "RENDER_INSPECT_UNAVAILABLE", "error", _text("无法完成 PPTX → PDF → PNG：", F.col("reason")))

@@ -110,7 +110,7 @@ def build_spec(units: DataFrame, slides: DataFrame, visuals: DataFrame, known: D
 
 def run_qa(deck: dict[str, DataFrame], max_iterations: int = 1) -> dict[str, DataFrame]:
     """deck: slides, units, plans, citations, visuals, nodes, known, and optionally evaluations and dependencies, boxes, packages (whose sizes hold for the boxes),
-    or artifacts(paper_id, artifact, names), the paper that each artifact of a deck names.
+    artifacts(paper_id, artifact, names), the paper that each artifact of a deck names, or parts, previews and failures as in `qa`.
 
     Findings of all rules; titles are repaired and checked again, at most max_iterations times, until nothing is left to repair.
     """
@@ -129,6 +129,12 @@ def run_qa(deck: dict[str, DataFrame], max_iterations: int = 1) -> dict[str, Dat
                 parts.append(qa.missing_tables(deck["boxes"], deck["visuals"]))
         if "packages" in deck:
             parts.append(qa.package_findings(deck["packages"]))
+        if "parts" in deck:
+            parts.append(qa.part_findings(deck["parts"], slides))
+        if "previews" in deck:
+            parts.append(qa.preview_findings(deck["previews"], slides))
+        if "failures" in deck:
+            parts.append(qa.render_failures(deck["failures"]))
         return qa.union(*[p.withColumn("pos", F.lit(k)) for k, p in enumerate(parts)])
 
     slides, actions = deck["slides"], None

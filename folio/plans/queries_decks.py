@@ -74,6 +74,19 @@ def package_rules(spark, d):
     return Q.package_findings(p).select(F.col("paper_id").alias("p_partkey"), "code", "severity", "repairability", "message")
 
 
+def preview_rules(spark, d):
+    """Orders as decks, their lines as slides: packages and previews of each have some too many or too few, unreadable, small or badly shaped."""
+    x, k = _lines(spark, d), F.col("paper_id")
+    slides = x.select("paper_id", "slide_id", "order")
+    n = slides.groupBy("paper_id").agg(F.count("*").alias("n"))
+    parts = n.select("paper_id", (F.col("n") + F.when(k % 11 == 0, 1).otherwise(0)).alias("n_slides"), (F.col("n") - F.when(k % 13 == 0, 1).otherwise(0)).alias("n_notes"))
+    some = x.where((k % 6 != 0) & ~((k % 7 == 0) & (F.col("order") == 1)))
+    width = F.when(F.col("q") % 10 == 0, F.lit(None)).when(F.col("q") % 10 == 1, 800).otherwise(1600)
+    previews = some.select("paper_id", F.format_string("slide_%04d.png", F.col("order")).alias("name"), width.cast("int").alias("w"), F.when(F.col("q") % 10 == 2, 1600).otherwise(F.when(F.col("q") % 10 == 1, 450).otherwise(900)).alias("h"))
+    found = Q.part_findings(parts, slides).unionByName(Q.preview_findings(previews, slides))
+    return found.select(F.col("paper_id").alias("l_orderkey"), "code", "severity", "message", F.array_join("slide_ids", ",").alias("slides"))
+
+
 def _talks(spark, d):
     c = _t(spark, d, "conversations")
     chars = F.length("text")
@@ -106,7 +119,7 @@ _X = """x AS (SELECT l_orderkey, l_partkey AS p, l_suppkey AS s, l_linenumber AS
 _Y = _X + """, y AS (SELECT *, 's' || o AS slide_id, CASE WHEN p % 29 = 0 THEN 'x' || n ELSE 'u' || o END AS unit_id, CASE q % 10 WHEN 0 THEN '结果' WHEN 1 THEN 'Results' WHEN 2 THEN '标题' || p || '。' ELSE '标题 ' || p END AS title,
   CASE WHEN s % 13 = 0 THEN '改动' || s ELSE '主张' || s END AS claim, q + CASE WHEN q % 9 = 0 THEN 1 ELSE 0 END AS secs FROM x)"""
 _CJK = r"regexp_matches({}, '[\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}]')"
-QUERIES = {f.__name__: f for f in (spec_gates, visual_gates, deck_presentation, deck_storyline, package_rules, speaker_notes, talk_outline, quality_reports)}
+QUERIES = {f.__name__: f for f in (spec_gates, visual_gates, deck_presentation, deck_storyline, package_rules, preview_rules, speaker_notes, talk_outline, quality_reports)}
 ORACLES = {
     "spec_gates": f"""WITH {_Y}, same AS (SELECT * FROM y WHERE p % 29 <> 0)
 SELECT l_orderkey, 'unit_order' AS rule, slide_id, 'u' || o AS detail FROM y WHERE p % 29 = 0 UNION ALL SELECT l_orderkey, 'question', slide_id, unit_id FROM same WHERE p % 11 = 0 UNION ALL SELECT l_orderkey, 'main_claim', slide_id, unit_id FROM same WHERE s % 13 = 0
@@ -131,6 +144,14 @@ f AS (SELECT l_orderkey, 'PLAN_SPEC_ORDER_MISMATCH' AS code, 'error' AS severity
 SELECT l_orderkey, code, severity, repairability, count(*) AS n FROM f GROUP BY ALL""",
     "package_rules": """SELECT p_partkey, 'INVALID_PPTX_PACKAGE' AS code, 'error' AS severity, 'none' AS repairability, '无法检查 PPTX 包：bad zip' AS message FROM part WHERE p_size < 5
 UNION ALL SELECT p_partkey, 'INVALID_SLIDE_ASPECT', 'error', 'none', 'PPTX 画布不是有效的 16:9 尺寸。' FROM part WHERE p_size >= 5 AND NOT coalesce(p_retailprice > 0 AND abs(CAST(p_retailprice AS DOUBLE) / CASE WHEN CAST(right(p_brand, 1) AS INTEGER) % 2 = 1 THEN 1.0 ELSE CAST(p_retailprice AS DOUBLE) * 9 / 16 END - 16.0 / 9) <= 0.01, false)""",
+    "preview_rules": f"""WITH {_X}, n AS (SELECT l_orderkey AS k, count(*) AS n FROM x GROUP BY 1), c AS (SELECT k, n, CASE WHEN k % 7 = 0 THEN n - 1 ELSE n END AS have FROM n WHERE k % 6 <> 0),
+e AS (SELECT l_orderkey AS k, q % 10 AS f, 'slide_' || lpad(CAST(o AS VARCHAR), 4, '0') || '.png' AS name, 's' || CASE WHEN l_orderkey % 7 = 0 THEN o - 1 ELSE o END AS slide FROM x WHERE l_orderkey % 6 <> 0 AND NOT (l_orderkey % 7 = 0 AND o = 1))
+SELECT k AS l_orderkey, 'SLIDE_COUNT_MISMATCH' AS code, 'error' AS severity, 'PPTX 含 ' || (n + 1) || ' 页，但 Slide Spec 定义 ' || n || ' 页。' AS message, '' AS slides FROM n WHERE k % 11 = 0
+UNION ALL SELECT k, 'MISSING_NOTES_PART', 'error', 'PPTX 只有 ' || (n - 1) || ' 个 notes part，预期 ' || n || ' 个。', '' FROM n WHERE k % 13 = 0
+UNION ALL SELECT k, 'PREVIEW_NOT_RENDERED', 'warning', '未生成逐页 PNG，因此视觉 QA 只完成了结构检查。', '' FROM n WHERE k % 6 = 0 OR (k % 7 = 0 AND n = 1)
+UNION ALL SELECT k, 'PREVIEW_COUNT_MISMATCH', 'error', '预览目录含 ' || have || ' 张 PNG，预期 ' || n || ' 张。', '' FROM c WHERE have <> n AND have > 0
+UNION ALL SELECT k, 'INVALID_PREVIEW_IMAGE', 'error', name || ' 不是可读取的 PNG。', slide FROM e WHERE f = 0
+UNION ALL SELECT k, 'LOW_QUALITY_PREVIEW', 'warning', name || ' 的分辨率或宽高比不足：' || CASE WHEN f = 1 THEN '800x450' ELSE '1600x1600' END || '。', slide FROM e WHERE f IN (1, 2)""",
     "speaker_notes": """WITH t AS (SELECT conv_id, sum(length(text)) AS total, string_agg('## Slide ' || (turn + 1) || ': ' || role || chr(10) || chr(10) || '### Purpose' || chr(10) || chr(10) || 'why' || chr(10) || chr(10) || '### Main Message' || chr(10) || chr(10) || role || chr(10) || chr(10) || '### Speaking Script' || chr(10) || chr(10) || text || chr(10) || chr(10)
  || '### Visual Guidance' || chr(10) || chr(10) || 'look' || chr(10) || chr(10) || '### Transition' || chr(10) || chr(10) || 'next' || chr(10) || chr(10) || '### Estimated Time' || chr(10) || chr(10) || length(text) || ' seconds' || chr(10), chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id),
 x AS (SELECT conv_id, '# Speaker Notes: talk ' || conv_id || chr(10) || chr(10) || body || chr(10) || '## Estimated Total Presentation Time' || chr(10) || chr(10) || total || ' seconds (' || CAST(floor(round_even(total / 6, 0) / 10) AS BIGINT) || '.' || CAST(round_even(total / 6, 0) AS BIGINT) % 10 || ' minutes)' || chr(10) AS text FROM t)

@@ -214,3 +214,74 @@ def slide_boxes(packages: DataFrame) -> DataFrame:
             yield out.astype({c: "Int64" for c in ("slide", "i", "x", "y", "cx", "cy")})
 
     return packages.select("path", "content").mapInPandas(read, "path string, slide long, i long, text string, x long, y long, cx long, cy long, font double, auto_fit boolean, has_table boolean")
+
+
+# Fixed values that results depend on: what notes must hold, and how a formula looks as text.
+NOTE_MARKERS = ("Purpose:", "Main Message:", "Speaking Script:", "Sources:")
+EQUATION = re.compile(r"(?:=.+(?:√|\^|/)|(?:softmax|max|sum)\s*\()", re.IGNORECASE)
+
+
+def _numbered(names: list[str], pattern: str) -> list[str]:
+    """Names that match, in the order of the number in them."""
+    found = [(re.fullmatch(pattern, n), n) for n in names]
+    return [n for _, n in sorted((int(m[1]), n) for m, n in found if m)]
+
+
+def package_parts(packages: DataFrame) -> DataFrame:
+    """(path, n_slides, n_notes, lacking, n_tables, n_equations, has_svg, problem): what a slide package holds. lacking: "part marker" for each note without one of the
+    markers; n_equations: slides with text that looks like a formula. A package that cannot be read has a problem and nulls."""
+
+    def texts(root):
+        return " ".join(t.text or "" for t in root.iterfind(".//a:t", _NS))
+
+    def one(data: bytes):
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                names = z.namelist()
+                slides, notes = _numbered(names, r"ppt/slides/slide(\d+)\.xml"), _numbered(names, r"ppt/notesSlides/notesSlide(\d+)\.xml")
+                lacking = [f"{n} {m}" for n in notes for text in [texts(ElementTree.fromstring(z.read(n)))] for m in NOTE_MARKERS if m not in text]
+                tables = equations = 0
+                for n in slides:
+                    root = ElementTree.fromstring(z.read(n))
+                    tables += len(root.findall(".//a:tbl", _NS))
+                    equations += EQUATION.search(texts(root)) is not None
+                return len(slides), len(notes), lacking, tables, equations, any(n.startswith("ppt/media/") and n.endswith(".svg") for n in names), None
+        except UNREADABLE as e:
+            return None, None, None, None, None, None, f"{type(e).__name__}: {e}"
+
+    def read(frames):
+        cols = ["path", "n_slides", "n_notes", "lacking", "n_tables", "n_equations", "has_svg", "problem"]
+        for f in frames:
+            out = pd.DataFrame([(p, *one(d)) for p, d in zip(f["path"], f["content"], strict=True)], columns=cols)
+            yield out.astype({c: "Int64" for c in ("n_slides", "n_notes", "n_tables", "n_equations")} | {"has_svg": "boolean"})
+
+    return packages.select("path", "content").mapInPandas(read, "path string, n_slides long, n_notes long, lacking array<string>, n_tables long, n_equations long, has_svg boolean, problem string")
+
+
+def structure_errors(parts: DataFrame, slides: int | None = None, notes: bool = False, table: bool = False, equation: bool = False, svg: bool = False) -> DataFrame:
+    """(path, error) of packages: unreadable, another number of slides than expected, notes missing or incomplete, and no native table, formula or SVG where one is required."""
+    number = lambda c: F.col(c).cast("string")
+    rules = [F.when(F.col("problem").isNotNull(), F.concat(F.lit("invalid package: "), "problem"))]
+    if slides is not None:
+        rules.append(F.when(F.col("n_slides") != slides, F.concat(F.lit(f"expected {slides} slides, found "), number("n_slides"))))
+    if notes:
+        rules.append(F.when(F.col("n_notes") != F.col("n_slides"), F.concat(F.lit("expected notes for every slide, found "), number("n_notes"), F.lit(" for "), number("n_slides"), F.lit(" slides"))))
+    for wanted, found, what in ((table, F.col("n_tables") > 0, "native table"), (equation, F.col("n_equations") > 0, "equation text"), (svg, F.col("has_svg"), "source SVG")):
+        if wanted:
+            rules.append(F.when(~found, F.lit(f"no {what} was found")))
+    lacking = F.transform(F.coalesce("lacking", F.array().cast("array<string>")), lambda x: F.regexp_replace(x, " (?=[A-Z])", " is missing "))
+    return parts.select("path", F.explode(F.concat(F.array_compact(F.array(*rules)), lacking)).alias("error"))
+
+
+def safe_content_types(content_types: str, members: list[str]) -> tuple[str, int]:
+    """[Content_Types].xml without the entries of slide masters that the package does not hold, and how many went."""
+    have, gone = set(members), 0
+
+    def keep(m: re.Match) -> str:
+        nonlocal gone
+        if m[1] in have:
+            return m[0]
+        gone += 1
+        return ""
+
+    return re.sub(r'<Override\b[^>]*PartName="/(ppt/slideMasters/slideMaster\d+\.xml)"[^>]*/>', keep, content_types), gone
