@@ -9,6 +9,8 @@ from .common import table
 
 #: (host, path, verdict): a rule holds for its host and all subdomains where the path starts with the rule's.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+#: Rows of a hot top label that meet in one sorted run, and the least number of runs of a label.
+RUN_ROWS, LEAST_SALTS = 4_000_000, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -36,17 +38,18 @@ def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int = 64, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, url) -> (id, host, path, rule, verdict): the longest fitting rule of (host, path, verdict) rows decides.
 
     A host and its subdomains are the keys from "net.example." up to "net.example/", so intervals of rules nest or
     are apart. Urls and rule starts are merged into one stream, sorted by key within (last label, salt), and swept once: slot d
     of the stack holds the last rule host of nesting depth d, live while its interval's end lies ahead. Rules are copied to
-    the salts of their own last label only; a hot host is spread over all salts by a hash of the row. Urls are shuffled once,
-    and not joined.
+    the salts of their own last label only; a hot host is spread over all salts by a hash of the row. There are so many salts that
+    a run of a label that holds all urls has about RUN_ROWS of them, but no more than keep the copies of rules below the urls. Urls are
+    shuffled once, and not joined.
 
     Rules of one host are one entry of the stack, tried by their paths; among all that fit, the most code points of
-    host + path win, then block before allow, then the smaller text. Depth, a single number read from the rules, is the only thing collected.
+    host + path win, then block before allow, then the smaller text. The greatest depth and counts of urls and rule hosts are all that is collected.
     Nulls: a null url has an empty host and path; null parts of a rule are empty, and a rule with an empty host fits
     only an empty host. Repeated rows are judged each, very long urls as others. No rules: every url gets the default. An empty table gives no rows. Extra columns of pages are
     ignored, whatever their names.
@@ -58,7 +61,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", salts
     above = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, F.size(labels) - i + 1, i), "."))).alias("up"))
     depth = above.join(hosts.select(F.col("host").alias("up")), "up").groupBy("host").agg(F.count("*").cast("int").alias("depth"))
     hosts = hosts.join(depth, "host").withColumn("entry", F.struct(F.regexp_replace("key", r"\.$", "/").alias("end"), "rules"))
-    deepest = hosts.agg(F.max("depth")).first()[0] or 0
+    deepest, n_hosts = hosts.agg(F.max("depth"), F.count("*")).first()
+    deepest = deepest or 0
+    if salts is None:
+        n = pages.count()  # of a Parquet table from its footers
+        salts = max(LEAST_SALTS, min(n // RUN_ROWS, n // max(1, n_hosts)))
 
     top = F.split_part(F.col("key"), F.lit("."), F.lit(1))
     urls = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
