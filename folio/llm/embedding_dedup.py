@@ -21,30 +21,34 @@ FEW = 0.02
 
 
 def _moments(batches):
-    """Sums of the outer products of unit vectors, a row of the matrix as one row, for each length of vector."""
+    """Sums of the outer products of unit vectors with a 1 behind their components, a row of the matrix as one row, for each length of vector.
+    So the last row holds the vectors' sum and their number."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         col = b.column(0)
         sizes = pc.list_value_length(col).to_numpy(zero_copy_only=False)
         for d in np.unique(sizes):
             x = np.stack([np.asarray(v.values, np.float64) for v in col.filter(pa.array(sizes == d))])
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.ones((len(x), 1))])
             sums[int(d)] = sums.get(int(d), 0) + x.T @ x
-    rows = [(d, i, m[i].tolist()) for d, m in sums.items() for i in range(d)]
+    rows = [(d, i, m[i].tolist()) for d, m in sums.items() for i in range(d + 1)]
     if rows:
         d, i, v = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(d, pa.int32()), pa.array(i, pa.int32()), pa.array(v, pa.list_(pa.float64()))], names=["dim", "i", "v"])
 
 
-def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Orthonormal axes, the strongest first, for each length of vector, from all vectors: executors add up the matrix row by row."""
+def principal_axes(vectors: DataFrame) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """For each length of vector, from all vectors, orthonormal axes, the strongest first, and the axis along which unit vectors spread most about their mean.
+    Executors add up the matrix row by row."""
     parts = in_arrow(vectors.select("embedding"), _moments, "dim int, i int, v array<double>")
     total = parts.groupBy("dim", "i").applyInPandas(lambda p: pd.DataFrame({"dim": p["dim"][:1], "i": p["i"][:1], "v": [np.sum(np.stack(p["v"].to_list()), axis=0)]}), "dim int, i int, v array<double>")
-    axes = {}
+    axes, spread = {}, {}
     for d, g in total.toPandas().groupby("dim"):
         m = np.stack(g.sort_values("i")["v"].to_list())
-        axes[int(d)] = np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy()
-    return axes
+        m, mean = (m + m.T)[:-1, :-1] / (2 * m[-1, -1]), m[-1, :-1] / m[-1, -1]
+        axes[int(d)] = np.linalg.eigh(m)[1][:, ::-1].copy()
+        spread[int(d)] = np.linalg.eigh(m - np.outer(mean, mean))[1][:, -1].copy()
+    return axes, spread
 
 
 def linked(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float) -> np.ndarray:
@@ -113,7 +117,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     1. Equal vectors of a label form a class with a number of copies (map-side combine); its smallest id stands for it.
     2. All classes give the principal axes. Unit vectors whose cosine is at least t differ by at most sqrt(2 - 2t) along any axis, so
-       along the strongest one a class need only meet classes that near. Ranges of that coordinate, cut by hash into tiles of TILE rows
+       along the one on which they spread most about their mean a class need only meet classes that near. Ranges of that coordinate, cut by hash into tiles of TILE rows
        or so, make the tiles of a label; pairs of tiles within reach of each other are compared, each in one task of bounded size.
     3. A pair of tiles returns a row for each vector that has links: how many, and the smallest vector it is connected with there.
        Counts are summed and those edges, one a vector, are joined to components; single links are never listed.
@@ -134,9 +138,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     classes = stored(classes, "vector-classes")
     reps = keyed.where("h1 IS NOT NULL").join(classes.select("label", "h1", "h2", "rep", "copies"), ["label", "h1", "h2"]).where("vec_id = rep").dropDuplicates(["rep", "label", "h1", "h2"]).select("rep", "copies", "label", "embedding")
     reps = stored(reps, "vector-reps")
-    axes = principal_axes(reps)
+    axes, spread = principal_axes(reps)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    lead = [F.when(F.size("embedding") == d, F.aggregate(F.zip_with(F.col("embedding"), F.lit([float(t) for t in m[:, 0]]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) / norm) for d, m in axes.items()]
+    lead = [F.when(F.size("embedding") == d, F.aggregate(F.zip_with(F.col("embedding"), F.lit([float(t) for t in a]), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x) / norm) for d, a in spread.items()]
     placed = stored(reps.select("rep", "copies", "label", "embedding", F.size("embedding").alias("dim"), (F.coalesce(*lead) if lead else F.lit(0.0)).alias("c")), "vector-places")
     cuts = sorted(set(placed.approxQuantile("c", [i / RANGES for i in range(1, RANGES)], 0.005)))
     placed = placed.withColumn("range", F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda q: q <= F.col("c"))))
