@@ -73,6 +73,26 @@ def remainder(doc_id: Column, m: int) -> Column:
 MOST_GROUPS = 100_000
 
 
+#: A key that holds more than one in so many of all rows counts as hot, so there are never more hot keys than that.
+HOT_KEYS = 100_000
+#: And it holds so many rows at least.
+HOT_ROWS = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str) -> DataFrame:
+    """rows joined with groups, stored: one row a key, with the number of rows that hold it in column n, which goes.
+
+    Hot keys are joined by broadcast: a key is hot if it holds more than 1 / HOT_KEYS of the rows counted in groups, so HOT_KEYS rows are the most there can be. All other keys hold
+    so few rows that a plain join has no large task.
+    """
+    most = max(HOT_ROWS, (groups.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS)
+    hot = groups.where(F.col(n) > most).drop(n)
+    cold = groups.where(F.col(n) <= most).drop(n)
+    if hot.isEmpty():
+        return rows.join(cold, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+
+
 def sample_hash(salt: str) -> Column:
     """A hash of doc_id from 0 to 2**63 - 1."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(salt), F.col("doc_id").cast("string")), 1)
