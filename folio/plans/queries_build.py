@@ -39,10 +39,10 @@ def formula_texts(spark, d):
     return p.select("p_partkey", formulas.readable(chosen).alias("text"))
 
 
-def _summary(elements):
-    """One row a slide: how many elements, their texts and cells in order, and sums of their places in thousand-millionths."""
+def _summary(elements, place=lambda c: F.round(F.sum(c) * 1e9).cast("long")):
+    """One row a slide: how many elements, their texts and cells in order, and sums of their places: in whole thousand-millionths, or as `place` says."""
     ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z", F.col(c).alias("v")))), lambda e: e["v"]), "|")
-    sums = [F.round(F.sum(c) * 1e9).cast("long").alias(f"sum_{c}") for c in "xywh"]
+    sums = [place(c).alias(f"sum_{c}") for c in "xywh"]
     e = elements.withColumn("grid", F.array_join(F.flatten("cells"), ","))
     return e.groupBy("paper_id", "slide_id").agg(F.count("*").alias("n"), ordered("text").alias("texts"), ordered("grid").alias("grids"), F.round(F.coalesce(F.sum("font"), F.lit(0.0)) * 1000).cast("long").alias("fonts"), *sums)
 
@@ -68,7 +68,7 @@ def body_lines(spark, d):
 
 
 def visual_elements(spark, d):
-    """Orders as slides, their lines as the visuals on them, of all four kinds."""
+    """Orders as slides, their lines as the visuals on them, of all four kinds. Places are quotients of sizes: their sums stay doubles, since a rounded sum would hang on the order of adding."""
     p, s, q = (F.col(c) for c in "psq")
     x = _lines(spark, d)
     body = F.transform(F.sequence(F.lit(1), 1 + F.col("o_orderkey") % 5), lambda i: _text("l", i))
@@ -81,7 +81,7 @@ def visual_elements(spark, d):
         F.when(s % 2 == 0, "highlight").otherwise("full").alias("treatment"), F.when(s % 3 == 0, F.array(_text("n", s))).otherwise(F.array().cast("array<string>")).alias("annotations"), F.lit(None).cast("array<string>").alias("column_labels"),
         (p % 500 + 100).alias("image_w"), (s % 300 + 100).alias("image_h"), cells.alias("cells"), _text("f", p).alias("formula"), F.col("n").alias("formula_number"),
     )
-    return _named(_summary(E.pictures(slides, visuals))).drop("slide_id")
+    return _named(_summary(E.pictures(slides, visuals), F.sum)).drop("slide_id")
 
 
 def note_blocks(spark, d):
@@ -180,7 +180,7 @@ e AS (SELECT l_orderkey, o,
  y0 + note * (2 * y0 + 0.23) + CASE kind WHEN 0 THEN y0 + 0.12 + (h - CASE WHEN cap = 1 THEN 0.52 ELSE 0.24 END - ih) / 2 + cap * (y0 + h - 0.32) WHEN 1 THEN y0 + 0.3 + cap * (y0 + h - 0.28) WHEN 2 THEN 2 * y0 + h + 0.05 ELSE k * (2 * (y0 + h * 0.25) + 0.12) END AS y,
  w0 + note * (w0 - 0.47) + CASE kind WHEN 0 THEN iw + cap * (w0 - 0.36) WHEN 1 THEN (1 + cap) * (w0 - 0.5) WHEN 2 THEN 2 * (w0 - 0.7) ELSE k * (2 * wide - 0.24) END AS w,
  h + note * 0.28 + CASE kind WHEN 0 THEN ih + cap * 0.22 WHEN 1 THEN h - 1.0 + cap * 0.2 WHEN 2 THEN h - 0.52 ELSE k * (h - 0.24) END AS h FROM z)
-SELECT l_orderkey, CAST(sum(n) AS BIGINT) AS n, string_agg(nullif(texts, ''), '|' ORDER BY o) AS texts, coalesce(string_agg(grid, '|' ORDER BY o), '') AS grids, CAST(round(sum(font) * 1000) AS BIGINT) AS fonts, {', '.join(_BIG.format(f'sum({c})', c) for c in 'xywh')} FROM e GROUP BY l_orderkey""",
+SELECT l_orderkey, CAST(sum(n) AS BIGINT) AS n, string_agg(nullif(texts, ''), '|' ORDER BY o) AS texts, coalesce(string_agg(grid, '|' ORDER BY o), '') AS grids, CAST(round(sum(font) * 1000) AS BIGINT) AS fonts, {', '.join(f'CAST(sum({c}) AS DOUBLE) AS sum_{c}' for c in 'xywh')} FROM e GROUP BY l_orderkey""",
     "note_blocks": """WITH n AS (SELECT conv_id, turn, 'Purpose: why' || chr(10) || chr(10) || 'Main Message: ' || role || chr(10) || chr(10) || 'Speaking Script: ' || text || chr(10) || chr(10) || 'Visual Guidance: ' || CASE WHEN turn > 0 THEN 'look' ELSE '' END || chr(10) || chr(10) || 'Transition: next' || chr(10) || chr(10)
  || 'Estimated Time: ' || length(text) || ' seconds' || chr(10) || chr(10) || 'Sources: ' || role || '; b' AS notes FROM conversations) SELECT conv_id, turn, sha256(notes) AS digest, CAST(length(notes) AS INTEGER) AS n_chars FROM n""",
     "asset_order": """WITH a AS (SELECT source, 'asset_' || lpad(CAST(doc_id AS VARCHAR), 10, '0') AS asset_id, doc_id % 7 AS e, CASE WHEN doc_id % 11 = 0 THEN 3 WHEN doc_id % 7 IN (0, 2, 4) THEN 1 ELSE 2 END AS priority FROM documents)
