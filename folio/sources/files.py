@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import latex
+from ..operators import documents
 
 ARCHIVE = r"(?i)\.(zip|tar|tar\.gz|tgz)$"
 #: Members that \\input may name.
@@ -27,20 +28,14 @@ class ArtifactError(ValueError):
 
 
 def read_artifacts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """JSON files, one document each, read strictly: any field that the schema lacks, or text that is not JSON, is an error."""
+    """JSON files, one document each, read strictly: a field that the schema lacks, a value of another kind at any depth, or text that is not JSON, is an error."""
     raw = spark.read.text(path, wholetext=True)
-    unknown = unknown_fields(raw, schema).limit(1).collect()
-    if unknown:
-        raise ArtifactError(f"unknown fields: {unknown[0]['fields']}")
+    wrong = documents.validate(raw, documents.node_of(schema), "value").limit(5).collect()
+    if wrong:
+        raise ArtifactError("; ".join(f"{r['path']}: {r['problem']}" for r in wrong))
     return raw.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("a")).select("a.*")
 
 
-def unknown_fields(raw: DataFrame, schema: StructType, value: str = "value") -> DataFrame:
-    """(value, fields) of documents with top-level fields that the schema does not know."""
-    have = F.coalesce(F.json_object_keys(value), F.array(F.lit("not an object")))
-    return raw.select(value, F.array_except(have, F.array(*map(F.lit, schema.fieldNames()))).alias("fields")).where(F.size("fields") > 0)
-
-
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, role, sha256, size_bytes) of the files below a path, from Spark's own file source."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
