@@ -36,7 +36,7 @@ class ShapeHashes(dict):
         s = word.decode("utf-8", "replace")
         for pattern, to in _SHAPE:
             s = pattern.sub(to, s)
-        h = self[word] = xxhash.xxh64_intdigest(s[:24].encode()) ^ 0x5BD1E995
+        h = self[word] = xxhash.xxh64_intdigest(s.encode()) ^ 0x5BD1E995
         return h
 
 
