@@ -16,7 +16,7 @@ from .textbatch import chunks
 #: Elements by role (HTML standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-SKIPPED = frozenset("head script style title template noscript iframe object embed svg math canvas audio video button input select textarea option label nav footer aside menu dialog noembed noframes xmp plaintext".split())
+SKIPPED = frozenset("head script style title template noscript iframe object embed svg canvas audio video button input select textarea option label nav footer aside menu dialog noembed noframes xmp plaintext annotation annotation-xml".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset("html body td th tr thead tbody tfoot legend".split())
 #: A start tag on the left closes an open element on the right, up to the nearest of its container.
@@ -24,6 +24,10 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"d
 INLINE_SCOPE = frozenset("a b i em strong span small big u s code font abbr cite q sub sup mark tt kbd samp var time label".split())
 #: Words in class, id or role that mark what is not the article. They count as whole words of the attribute.
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar aside rail widget footer header masthead topbar toolbar comment comments commentlist disqus respond reply replies reviews notice notices cookie cookies consent gdpr banner popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager copyright legal disclaimer skip search alert toc tags contentinfo complementary".split())
+#: The same in German, French and Spanish, without accents as names have them.
+NOISE |= frozenset("kommentar kommentare leserkommentare kopfzeile fusszeile seitenleiste werbung anzeige anzeigen menue commentaire commentaires entete publicite comentario comentarios cabecera publicidad anuncio anuncios".split())
+#: Headings of readers' comments, with or without their number, in the four languages.
+_COMMENTS = re.compile(r"\W*(?:\d+\s+)?(?:(?:reader|user|your|leave a|post a|add a|all) )?(?:comments?|replies|responses|kommentare?|leserkommentare?|antworten|commentaires?|réactions|réponses|comentarios?|respuestas|reacciones)(?:\s*[(\[:]?\s*\d*\s*[)\]]?)?\W*", re.I)
 #: Those that are topics as well: as a part of a longer name they mark nothing if the element holds prose.
 TOPICS = frozenset("search legal tags alert share sharing social related reviews notice notices skip respond reply replies promotion".split())
 LEAST_PROSE = 140
@@ -32,6 +36,8 @@ FURNITURE = frozenset("form fieldset header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Links of a list within an article that is not part of it.
 LEAST_LINKS = 3
+#: Where a label is a word of the text, and no name of a control.
+PROSE = frozenset("p li dd td".split())
 KEEPS_NOISE = frozenset("html body article main".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)([^>]*)(?:>|$)", re.S)
@@ -133,7 +139,7 @@ def parse(page: str) -> Node:
                 if up.tag in closes:
                     at = up.parent
                 up = up.parent
-        node = Node(tag, at, _noisy(tag, attrs), _marked(tag, attrs))
+        node = Node(tag, at, _noisy(tag, attrs) and not (tag == "label" and at.tag in PROSE), _marked(tag, attrs))
         at.children.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS and tag not in RAW and tag not in INLINE_SCOPE:
             continue
@@ -158,7 +164,7 @@ def _walk(root: Node):
 def settle(root: Node) -> None:
     """Marked elements become noise, except those around the article or main element with the most unlinked text, or, where a page has none,
     around two thirds of its unlinked text. A name that is in part a topic's, and within an article any name of which only a part is noise, does not count on prose;
-    nor does a header with a heading count within an article. Marked articles, as of comments, do not count as such."""
+    nor does a header with a heading count within an article. Marked articles, as of comments, do not count as such, and are noise if they are smaller than the largest that does."""
     order = list(_walk(root))
     if not any(x.marked for x in order):
         return
@@ -173,7 +179,7 @@ def settle(root: Node) -> None:
             x.link_chars = x.chars
     named = [x for x in reversed(order) if x.tag in ("article", "main") and not x.marked and x.chars > x.link_chars]
     up = max(named, key=lambda x: x.chars - x.link_chars, default=None)
-    around = set()
+    around, largest = set(), up.chars - up.link_chars if up is not None else 0
     while up is not None:
         around.add(id(up))
         up = up.parent
@@ -182,14 +188,43 @@ def settle(root: Node) -> None:
     for x in reversed(order):  # parents first
         if x.parent is not None and id(x.parent) in within:
             within.add(id(x))
-        if x.marked and x.tag not in KEEPS_NOISE:
-            plain = x.chars - x.link_chars
+        plain = x.chars - x.link_chars
+        if x.marked and (x.tag not in KEEPS_NOISE or x.tag == "article" and plain < largest):
             wraps = id(x) in around if named else 0 < 2 * whole <= 3 * plain
             prose = plain >= LEAST_PROSE and 2 * x.link_chars <= x.chars and (x.marked == "topic" or x.marked == "part" and id(x) in within)
             titled = x.tag == "header" and id(x) in within and any(isinstance(c, Node) and c.tag in HEADINGS for c in _below(x))
             x.noise = not (wraps or prose or titled)
 
 
+def _text(x: Node) -> str:
+    return _SPACE.sub(" ", "".join(c for c in _flat(x))).strip()
+
+
+def _flat(x: Node):
+    stack: list = [x]
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            yield c
+        elif not c.noise:
+            stack += reversed(c.children)
+
+
+def silence_comments(root: Node) -> None:
+    """Readers' comments that no name marks: a heading that says so, and behind it blocks of one shape (an element, a class) but no paragraphs of its parent's own, are noise.
+    An article about comments goes on in paragraphs, which stay."""
+    for x in list(_walk(root)):
+        if x.tag not in HEADINGS or x.noise or x.parent is None or not _COMMENTS.fullmatch(_text(x)):
+            continue
+        row = x.parent.children
+        rest = row[next(i for i, c in enumerate(row) if c is x) + 1 :]
+        upto = next((i for i, c in enumerate(rest) if isinstance(c, Node) and c.tag in HEADINGS and c.tag <= x.tag), len(rest))
+        after = [c for c in rest[:upto] if isinstance(c, Node) and not c.noise]
+        if after and not any(c.tag == "p" for c in after) and not any(isinstance(c, str) and c.strip() for c in rest[:upto]):
+            for c in (x, *after):
+                c.noise = True
+
+
 def _below(x: Node):
     stack = [c for c in x.children if isinstance(c, Node)]
     while stack:
@@ -236,6 +271,7 @@ def main_node(root: Node) -> Node:
     before it. From the first parent where neither holds, blocks are kept by themselves, see `chosen`.
     """
     settle(root)
+    silence_comments(root)
     body = measure(root)
     top = body or root
     best = max((x for x in _walk(top) if x.chars), key=lambda x: (x.total, x.chars - x.link_chars), default=top)
@@ -260,11 +296,25 @@ def main_node(root: Node) -> Node:
     return now
 
 
+def _drop_heading(x: Node) -> None:
+    """The heading right before a list that went has nothing left to stand over."""
+    while x.parent is not None:
+        row = x.parent.children
+        before = [c for c in row[: next(i for i, c in enumerate(row) if c is x)] if not (isinstance(c, str) and not c.strip() or isinstance(c, Node) and c.noise)]
+        if before:
+            if isinstance(before[-1], Node) and before[-1].tag in HEADINGS and before[-1].tag != "h1":
+                before[-1].noise = True
+            return
+        if x.parent.tag in ("article", "main", "body"):
+            return
+        x = x.parent
+
+
 def _of_articles(path: list[Node], threshold: float) -> Node:
     """Growth where the path from the densest node to the body leads through article or main elements.
 
-    Up to the first of them, all is kept but lists of links that are less dense than the threshold. From there on, of what stands beside the path only further articles that
-    reach the threshold and a fifth of the text so far are added, and within a main element the title before its article.
+    Up to the first of them, all is kept but lists of links that are less dense than the threshold. From there on, of what stands beside the path further articles are added that
+    reach the threshold and a fifth of the text so far, and within a main element the title before its article and prose that reaches the threshold: a lead, an epilogue.
     """
     named = [x.tag in ("article", "main") for x in path]
     first, links = named.index(True), {}
@@ -275,6 +325,7 @@ def _of_articles(path: list[Node], threshold: float) -> Node:
     for x in list(_walk(path[first])):
         if id(x) not in kept and x.tag in BLOCKS and x.chars and 2 * x.link_chars > x.chars and x.density < threshold and links[id(x)] >= LEAST_LINKS:
             x.noise = True
+            _drop_heading(x)
     now = path[first]
     titled = any(c.tag == "h1" and not c.noise for c in _walk(now))
     for k, above in enumerate(path[first + 1 :], first + 1):
@@ -288,7 +339,8 @@ def _of_articles(path: list[Node], threshold: float) -> Node:
             elif not c.noise:
                 more = c.tag == "article" and c.density >= threshold and 5 * (c.chars - c.link_chars) >= plain
                 title = inside and not titled and i < here and c.tag == "h1" and not c.link_chars
-                c.noise = not (more or title)
+                prose = inside and c.tag in BLOCKS and c.tag != "article" and c.density >= threshold and c.chars - c.link_chars >= LEAST_PROSE and not c.link_chars
+                c.noise = not (more or title or prose)
                 titled = titled or title
         now = above
     return now
