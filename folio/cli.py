@@ -46,6 +46,7 @@ def _tables(spark, where: str, command: str) -> dict:
 
 def run(spark, args: argparse.Namespace) -> int:
     from .plans import flows
+    from .sinks.staged import write_tables
 
     t = _tables(spark, args.input, args.command)
     calls = {
@@ -59,8 +60,7 @@ def run(spark, args: argparse.Namespace) -> int:
     results = calls[args.command]()
     if args.command == "qa" and results["actions"].limit(1).count():
         t["slides"].write.mode("ignore").parquet(f"{args.out}/slides_before_repair")  # kept as it first was
-    for name, df in results.items():
-        df.write.mode("overwrite").parquet(f"{args.out}/{name}")
+    write_tables(results, args.out)
     if args.command == "qa":
         return int(spark.read.parquet(f"{args.out}/status").where("status = 'fail'").limit(1).count() > 0)
     return 0

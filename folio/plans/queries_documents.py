@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
+from ..operators import elements as E
 from ..operators import scope
+from ..sinks import packages, staged
+from ..sources import archives, files
+from ..sources.shared import shared_path
 from .queries_decks import _X, _lines, _t, _text
 
 _FLAGS = ("preserve_source_visual_language", "translate_generic_labels", "translate_speaker_notes")
@@ -70,12 +74,61 @@ def late_prerequisites(spark, d):
     return scope.late_prerequisites(scope.closure(scope.needs(dependencies)), slides).withColumnRenamed("paper_id", "l_orderkey")
 
 
+def _talks(spark, d):
+    """(slides, elements, notes) of the conversations: a turn a slide, with its frame and notes."""
+    c = _t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("paper_id"), F.col("turn").cast("string").alias("slide_id"), (F.col("turn") + 1).alias("number"), "role", "text")
+    slides = c.select(
+        "paper_id", "slide_id", "number", F.col("role").alias("section"), F.when(F.col("number") % 2 == 0, "<tech>").alias("technical_title"), F.substring("text", 1, 20).alias("title"), F.array(_text("cited ", F.col("number"))).alias("citations"), F.when(F.col("number") % 3 != 0, "take & away").alias("takeaway"),
+        F.lit("why").alias("notes_purpose"), F.col("role").alias("notes_message"), F.col("text").alias("notes_script"), F.lit("look").alias("notes_guidance"), F.lit("next").alias("notes_transition"), F.length("text").alias("notes_seconds"),
+    )
+    return slides, E.frame(slides), E.note_texts(slides)
+
+
+def written_packages(spark, d):
+    """Conversations written as slide packages and read back: how many slides and notes each has, which markers notes lack, and the boxes with their texts and places."""
+    slides, elements, notes = _talks(spark, d)
+    to = shared_path(spark, "packages")
+    packages.write_packages(slides, elements, notes, to)
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(to)
+    conv = F.regexp_extract("path", r"([0-9]+)\.pptx$", 1).cast("long").alias("conv_id")
+    parts = files.package_parts(back).select(conv, "n_slides", "n_notes", F.size("lacking").alias("n_lacking"), "problem")
+    place = F.concat_ws(",", *[F.col(c).cast("string") for c in ("slide", "text", "x", "y", "cx", "cy")], (F.col("font") * 10).cast("int").cast("string"))
+    boxes = files.slide_boxes(back).where("i IS NOT NULL").select(conv, F.struct("slide", "i").alias("at"), place.alias("place"))
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "place"))), lambda e: e["place"]), "|"), 256)
+    return parts.join(boxes.groupBy("conv_id").agg(F.count("*").alias("n_boxes"), digest.alias("boxes")), "conv_id")
+
+
+def _zipped(pdf):
+    """The turns of one conversation as a zip archive; what is wrong with it follows from its number."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    conv, out = int(pdf["conv_id"].iloc[0]), io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for turn, text in sorted(zip(pdf["turn"], pdf["text"], strict=True)):
+            z.writestr(f"../{turn}.txt" if conv % 10 == 3 and turn == 1 else f"turns/{turn}.txt", text)
+    data = out.getvalue()
+    return pd.DataFrame({"name": [f"c{conv}.zip"], "content": [data[:-30] if conv % 10 == 7 else data]})
+
+
+def archive_contents(spark, d):
+    """Conversations as archives, some unsafe and some torn, written and read by the archive source."""
+    turns = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    to = shared_path(spark, "archives")
+    staged.write_files(turns.groupBy("conv_id").applyInPandas(_zipped, "name string, content binary"), to)
+    read = archives.read_archives(spark, to)
+    unread = F.when(F.col("problem").startswith("unreadable"), "unreadable").otherwise(F.col("problem"))
+    return read.select(F.regexp_extract("archive", r"c([0-9]+)\.zip$", 1).cast("long").alias("conv_id"), "member", "size", "sha256", unread.alias("problem"))
+
+
 _Z = _X + """, z AS (SELECT *, o - 1 AS i, '$.slides[' || (o - 1) || ']' AS pth FROM x WHERE l_orderkey % 101 <> 0)"""
 _KIND = "CASE WHEN p % 23 = 0 THEN 'photo' WHEN p % 4 = 1 THEN 'source_table' ELSE 'other' END"
 _D = _X + """, e AS (SELECT DISTINCT l_orderkey, 's' || o AS a, 's' || (o - 1) AS b FROM x WHERE q % 3 <> 0 AND o > 1 UNION SELECT l_orderkey, 's1', 's3' FROM x WHERE l_orderkey % 5 = 0 AND o = 1 UNION SELECT l_orderkey, 's' || o, 's99' FROM x WHERE p % 37 = 0),
 c AS (SELECT l_orderkey, a, b, 1 AS depth FROM e UNION SELECT c.l_orderkey, c.a, e.b, c.depth + 1 FROM c JOIN e ON c.l_orderkey = e.l_orderkey AND c.b = e.a WHERE c.depth < 10),
 m AS (SELECT l_orderkey, a, b, min(depth) AS depth FROM c GROUP BY ALL)"""
-QUERIES = {f.__name__: f for f in (spec_documents, draft_scope, late_prerequisites)}
+QUERIES = {f.__name__: f for f in (spec_documents, draft_scope, late_prerequisites, written_packages, archive_contents)}
 ORACLES = {
     "spec_documents": f"""WITH {_Z}
 SELECT DISTINCT l_orderkey, '$' AS path, 'not JSON' AS problem FROM x WHERE l_orderkey % 101 = 0
@@ -102,4 +155,13 @@ UNION ALL SELECT x.l_orderkey, 'foreign_evidence', 's' || o, string_agg(DISTINCT
 UNION ALL SELECT l_orderkey, 'unknown_prerequisite', a, string_agg(b, ', ' ORDER BY b) FROM e ANTI JOIN (SELECT l_orderkey, 's' || o AS b FROM x) v USING (l_orderkey, b) GROUP BY l_orderkey, a
 UNION ALL SELECT m.l_orderkey, 'circle', m.a, string_agg(DISTINCT m.b, ', ' ORDER BY m.b) FROM m JOIN m r ON m.l_orderkey = r.l_orderkey AND m.a = r.b AND m.b = r.a GROUP BY m.l_orderkey, m.a""",
     "late_prerequisites": f"""WITH RECURSIVE {_D} SELECT m.l_orderkey, a AS slide_id, b AS needs, CAST(depth AS INTEGER) AS depth FROM m JOIN x u ON u.l_orderkey = m.l_orderkey AND 's' || u.o = a JOIN x v ON v.l_orderkey = m.l_orderkey AND 's' || v.o = b WHERE v.o >= u.o""",
+    "written_packages": """WITH t AS (SELECT conv_id, turn + 1 AS k, role, text FROM conversations),
+b AS (SELECT conv_id, k, unnest([struct_pack(z := 0, t := upper(role), x := 0.72, y := 0.2, w := 3.7, h := 0.25, f := 100), struct_pack(z := 1, t := CASE WHEN k % 2 = 0 THEN '<tech>' END, x := 8.6, y := 0.2, w := 3.85, h := 0.25, f := 110),
+  struct_pack(z := 2, t := text[:20], x := 0.72, y := 0.56, w := 11.9, h := 0.75, f := 290), struct_pack(z := 6, t := CASE WHEN k % 3 <> 0 THEN 'take & away' END, x := 0.92, y := 6.49, w := 11.5, h := 0.43, f := 170),
+  struct_pack(z := 7, t := 'cited ' || k, x := 0.72, y := 7.08, w := 11.9, h := 0.2, f := 100), struct_pack(z := 8, t := CASE WHEN k < 10 THEN '0' ELSE '' END || k, x := 12.35, y := 7.04, w := 0.28, h := 0.2, f := 90)]) AS e FROM t),
+p AS (SELECT conv_id, k, e.z AS z, concat_ws(',', k, trim(replace(e.t, chr(10), '')), CAST(round(e.x * 914400) AS BIGINT), CAST(round(e.y * 914400) AS BIGINT), CAST(round(e.w * 914400) AS BIGINT), CAST(round(e.h * 914400) AS BIGINT), e.f) AS place FROM b WHERE trim(e.t) <> '')
+SELECT conv_id, count(DISTINCT k) AS n_slides, count(DISTINCT k) AS n_notes, CAST(0 AS INTEGER) AS n_lacking, CAST(NULL AS VARCHAR) AS problem, count(*) AS n_boxes, sha256(string_agg(place, '|' ORDER BY k, z)) AS boxes FROM p GROUP BY conv_id""",
+    "archive_contents": """SELECT conv_id, CASE WHEN conv_id % 10 = 3 THEN '../' ELSE 'turns/' END || turn || '.txt' AS member, CASE WHEN conv_id % 10 <> 3 THEN CAST(strlen(text) AS BIGINT) END AS size,
+CASE WHEN conv_id % 10 <> 3 THEN sha256(text) END AS sha256, CASE WHEN conv_id % 10 = 3 THEN 'unsafe member' END AS problem FROM conversations WHERE conv_id % 10 <> 7 AND (conv_id % 10 <> 3 OR turn = 1 OR conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 1))
+UNION ALL SELECT DISTINCT conv_id, NULL, CAST(NULL AS BIGINT), NULL, 'unreadable' FROM conversations WHERE conv_id % 10 = 7""",
 }

@@ -49,7 +49,8 @@ def is_safe_member(name: str) -> bool:
 
 
 def archive_members(archives: DataFrame) -> DataFrame:
-    """binaryFile rows -> (path, member, content, problem); an archive with any unsafe or special member yields that problem and no content."""
+    """binaryFile rows -> (path, member, content, problem); an archive with any unsafe or special member yields that problem and no content, one that cannot be read (torn, encrypted) a problem.
+    Archives are held whole; `sources.archives` reads large ones a member at a time."""
 
     def members(name: str, data: bytes):
         if name.lower().endswith(".zip"):
@@ -74,7 +75,7 @@ def archive_members(archives: DataFrame) -> DataFrame:
                             own = [(path, name, None, "unsafe member")]
                             break
                         own.append((path, name.replace("\\", "/"), content(), None))
-                except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError) as e:
+                except (*UNREADABLE, tarfile.TarError) as e:
                     own = [(path, None, None, f"unreadable: {type(e).__name__}")]
                 rows += own
             yield pd.DataFrame(rows, columns=["path", "member", "content", "problem"])

@@ -6,12 +6,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet below spark.checkpoint.dir and read again, so lineage ends there. Only a local session may do without that setting; it gets a folder of its own."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir. Only a local session may do without that setting; it gets a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -19,6 +18,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         at = "file://" + os.path.join(tempfile.mkdtemp(prefix="folio-"), "shared")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
-    to = f"{at.rstrip('/')}/folio-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/folio-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again, so lineage ends there."""
+    to = shared_path(df.sparkSession, name)
     df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
