@@ -93,7 +93,7 @@ def strip_comments(x: Column) -> Column:
 
 def clean_latex(x: Column) -> Column:
     """Plain text of a LaTeX paragraph: no comments, citations, commands or braces, white space collapsed."""
-    y = F.regexp_replace(strip_comments(x), r"\\(?:cite\w*|ref|label|eqref)\*?(?:\[[^\]]*\])*\{[^{}]*\}", "")
+    y = F.regexp_replace(strip_comments(x), r"\\(?:cite\w*|ref|label|eqref|autoref)\*?(?:\[[^\]]*\])*\{[^{}]*\}", "")
     y = F.regexp_replace(y, r"\\[A-Za-z@]+\*?(?:\[[^\]]*\])?|[{}]", "")
     return collapse(F.replace(y, F.lit("~"), F.lit(" ")))
 

@@ -28,7 +28,8 @@ def locked_fields(units: DataFrame, slides: DataFrame) -> DataFrame:
     s = slides.join(u, ["paper_id", "order"], "full")
     same = s.where(F.col("unit_id") == F.col("u_unit_id"))
     as_set = lambda c: F.array_sort(F.array_distinct(c))
-    rules = (("question", F.col("question") != F.col("u_question")), ("main_claim", F.col("main_claim") != F.col("u_main_claim")), ("evidence_ids", as_set("evidence_ids") != as_set("u_evidence_ids")), ("notes_message", F.col("notes_message") != F.col("main_claim")), ("notes_seconds", F.col("notes_seconds") != F.col("u_seconds")))
+    differ = lambda a, b: ~a.eqNullSafe(b)  # noqa: E731  a null against a value differs too
+    rules = (("question", differ(F.col("question"), F.col("u_question"))), ("main_claim", differ(F.col("main_claim"), F.col("u_main_claim"))), ("evidence_ids", differ(as_set("evidence_ids"), as_set("u_evidence_ids"))), ("notes_message", differ(F.col("notes_message"), F.col("main_claim"))), ("notes_seconds", differ(F.col("notes_seconds"), F.col("u_seconds"))))
     broken = same.withColumn("broken", F.explode(F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]))))
     moved = s.where("NOT (unit_id <=> u_unit_id)")
     return _rows(broken, F.col("broken"), F.col("unit_id")).unionByName(_rows(moved, "unit_order", F.coalesce("u_unit_id", F.lit("none"))))

@@ -1,12 +1,10 @@
-"""Where the parts of a slide go: a plan of elements for any writer."""
+"""Where the parts of a slide go."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import contain_fit
-
 # Fixed values that results depend on: x, y, w, h in inches on a 13.333 x 7.5 canvas.
 SHARED = {"title": (0.72, 0.56, 11.9, 0.75), "content": (0.72, 1.55, 11.9, 4.55), "takeaway": (0.72, 6.43, 11.9, 0.55), "citation": (0.72, 7.08, 11.9, 0.2)}
 LAYOUTS = {
@@ -25,18 +23,3 @@ def layout_boxes(spark: SparkSession) -> DataFrame:
     """(layout, part, x, y, w, h)."""
     rows = [F.struct(F.lit(k).alias("layout"), F.lit(p).alias("part"), *[F.lit(v).alias(n) for n, v in zip("xywh", b, strict=True)]) for k, own in LAYOUTS.items() for p, b in {**SHARED, **own}.items()]
     return spark.range(1).select(F.explode(F.array(*rows)).alias("b")).select("b.*")
-
-
-def render_elements(slides: DataFrame, visuals: DataFrame) -> DataFrame:
-    """slides(slide_id, layout, title, body, takeaway, citation) and visuals(slide_id, pos, source_ref, image_w, image_h) ->
-    (slide_id, z, kind, text, x, y, w, h): text parts in their boxes, visuals stacked in theirs, each at its aspect ratio."""
-    boxes = layout_boxes(slides.sparkSession)
-    known = F.when(F.col("layout").isin(*LAYOUTS), F.col("layout")).otherwise("minimal_text")
-    s = slides.withColumn("layout", known)
-    parts = s.select("slide_id", "layout", F.explode(F.array(*[F.struct(F.lit(z).alias("z"), F.lit(k).alias("part"), t.alias("text")) for z, k, t in ((0, "title", F.col("title")), (1, "text", F.array_join("body", "\n")), (2, "takeaway", F.col("takeaway")), (3, "citation", F.col("citation")))])).alias("e")).select("slide_id", "layout", "e.*").where("text <> ''")
-    texts = parts.join(F.broadcast(boxes), ["layout", "part"]).select("slide_id", "z", F.col("part").alias("kind"), "text", "x", "y", "w", "h")
-    n = visuals.groupBy("slide_id").agg(F.count("*").alias("n"))
-    v = visuals.join(n, "slide_id").join(s.select("slide_id", "layout"), "slide_id").join(F.broadcast(boxes.where("part = 'visual'")), "layout")
-    cell = contain_fit(F.col("x"), F.col("y") + F.col("h") / F.col("n") * F.col("pos"), F.col("w"), F.col("h") / F.col("n"), F.col("image_w").cast("double"), F.col("image_h").cast("double"))
-    pics = v.select("slide_id", (F.col("pos") + 10).cast("int").alias("z"), F.lit("visual").alias("kind"), F.col("source_ref").alias("text"), cell.alias("c")).select("slide_id", "z", "kind", "text", "c.x", "c.y", "c.w", "c.h")
-    return texts.unionByName(pics)

@@ -41,6 +41,7 @@ ACTIONS = {
     "UNKNOWN_SOURCE_TABLE": ("none", "修正 Paper Structure 或表格引用。"),
     "UNKNOWN_SOURCE_EQUATION": ("none", "修正 Paper Structure 或公式引用。"),
     "GENERATED_EXPERIMENT_VISUAL": ("manual", "实验页改用论文原始 Figure/Table，或明确标注为解释性示意图。"),
+    "LOW_CONFIDENCE_EVIDENCE": ("manual", "人工核对原文并决定是否保留或降级该 claim。"),
     "PLAN_SPEC_ORDER_MISMATCH": ("none", "重新运行 Slide Authoring，不能由 QA 猜测页面顺序。"),
     "MISSING_STORYLINE_STAGE": ("none", "回到 Presentation Plan 补齐证据支持的叙事单元。"),
     "MISSING_LIMITATIONS": ("manual", "人工确认论文是否确实没有可讲的限制，或补充受证据支持的限制页面。"),
@@ -57,6 +58,7 @@ ACTIONS = {
     "EARLY_CLOSING_TRANSITION": ("manual", "改写 transition，使其自然引向下一页。"),
     "MISSING_CLOSING_TRANSITION": ("manual", "人工决定是否加入结束或 Q&A 提示。"),
     "INVALID_SLIDE_ASPECT": ("none", "检查 Renderer 的 presentation layout 设置。"),
+    "OUT_OF_BOUNDS_TEXT": ("manual", "调整对应 layout/component 的几何参数后重渲染。"),
     "UNREADABLY_SMALL_FONT": ("manual", "缩短文字或扩大文本区域，避免继续缩小字号。"),
     "LIKELY_TEXT_OVERFLOW": ("manual", "检查对应 PNG；优先改写或调整布局，而不是机械缩小字体。"),
     "TEXT_BOX_OVERLAP": ("manual", "调整 Renderer 几何参数并仅重渲染该页进行复检。"),
@@ -157,10 +159,12 @@ def storyline(slides: DataFrame, units: DataFrame, plans: DataFrame) -> DataFram
     moved = s.join(u, ["paper_id", "order"], "full").where("NOT (slide_unit <=> unit_id)").select("paper_id").distinct()
     index = lambda roles: F.coalesce(P.first_of(F.col("role"), F.col("order"), roles), F.lit(NO_INDEX))
     have = units.groupBy("paper_id").agg(*[index(roles).alias(name) for name, roles in STAGES], F.max(F.col("role") == "limitations").alias("limits"))
+    papers = slides.select("paper_id").union(plans.select("paper_id")).distinct()  # one without any unit lacks all stages
+    have = papers.join(have, "paper_id", "left").select("paper_id", *[F.coalesce(name, F.lit(NO_INDEX)).alias(name) for name, _ in STAGES], F.coalesce("limits", F.lit(False)).alias("limits"))
     absent = have.select("paper_id", F.explode(F.array_compact(F.array(*[F.when(F.col(name) == NO_INDEX, F.lit(name)) for name, _ in STAGES]))).alias("stage"))
     again = slides.withColumn("key", T.claim_key(F.col("main_claim"))).withColumn("before", F.lag("slide_id").over(Window.partitionBy("paper_id", "key").orderBy("order"))).where("before IS NOT NULL")
     pair = slides.join(units.select("paper_id", "unit_id", F.col("question").alias("q"), F.col("main_claim").alias("m"), F.col("evidence_ids").alias("e")), ["paper_id", "unit_id"])
-    drift = pair.where("question <> q OR main_claim <> m OR evidence_ids <> e")
+    drift = pair.where("NOT (question <=> q AND main_claim <=> m AND evidence_ids <=> e)")
     gaps = plans.select("paper_id", F.explode("coverage_gaps").alias("gap"))
     return union(
         issues(moved, "storyline", "PLAN_SPEC_ORDER_MISMATCH", "error", F.lit("Slide Spec 与 Presentation Plan 的 unit 顺序不一致。")),
@@ -176,7 +180,8 @@ def storyline(slides: DataFrame, units: DataFrame, plans: DataFrame) -> DataFram
 def presentation(slides: DataFrame, units: DataFrame, plans: DataFrame) -> DataFrame:
     """Timing, speaker notes, titles and transitions."""
     spoken = slides.groupBy("paper_id").agg(F.sum("notes_seconds").alias("spec"))
-    t = spoken.join(units.groupBy("paper_id").agg(F.sum("seconds").alias("plan")), "paper_id").join(plans.select("paper_id", "budget"), "paper_id", "left")
+    planned = units.groupBy("paper_id").agg(F.sum("seconds").alias("plan"))
+    t = spoken.join(planned, "paper_id", "left").withColumn("plan", F.coalesce("plan", F.lit(0))).join(plans.select("paper_id", "budget"), "paper_id", "left")
     s = slides.withColumn("last", F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc("order"))) == 1)
     closing = F.coalesce(*[F.when(F.col("notes_transition").contains(x), True) for x in CLOSING], F.lit(False))
     return union(
@@ -215,11 +220,36 @@ def semantic(slides: DataFrame, evaluations: DataFrame, dependencies: DataFrame)
 
 
 def deduplicated(found: DataFrame, order: str) -> DataFrame:
-    """One issue an id: the last one's values. order: a column that numbers the findings."""
-    w = Window.partitionBy("paper_id", "issue_id").orderBy(F.desc(order))
+    """One issue an id: the last one's values. order: a column that numbers the findings; where it does not tell two apart, their evidence and sources do."""
+    w = Window.partitionBy("paper_id", "issue_id").orderBy(F.desc(order), F.desc("evidence_ids"), F.desc("source_ids"))
     return found.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def in_order(found: DataFrame, slides: DataFrame, group: str) -> DataFrame:
+    """found with a column pos that numbers a paper's findings: by group of rules, by the place of the first slide that a finding names (those that name none come first), by rule, and by id."""
+    rule = F.element_at(F.create_map(*[F.lit(x) for k, c in enumerate(ACTIONS) for x in (c, k)]), F.col("code"))
+    at = slides.select("paper_id", F.col("slide_id").alias("__slide"), F.col("order").alias("__at"))
+    placed = found.withColumn("__slide", F.get("slide_ids", 0)).join(at, ["paper_id", "__slide"], "left").withColumn("__rule", rule)
+    w = Window.partitionBy("paper_id").orderBy(group, F.asc_nulls_first("__at"), "__rule", "issue_id")
+    return placed.withColumn("pos", F.row_number().over(w).cast("long")).drop("__slide", "__at", "__rule")
+
+
+#: Checks of each group: so many a paper, and so many for each of its slides; a semantic draft adds two factual ones for each evaluation and one on the story for each dependency.
+CHECKS = {"factual": (1, 4), "storyline": (5, 1), "visual": (6, 1), "presentation": (3, 5)}
+
+
+def checks_run(slides: DataFrame, evaluations: DataFrame | None = None, dependencies: DataFrame | None = None) -> DataFrame:
+    """(paper_id, category, checks_run): a row for each paper and each category of CHECKS."""
+    n = slides.groupBy("paper_id").agg(F.count("*").alias("n"))
+    extra = {"factual": F.lit(0), "storyline": F.lit(0)}
+    for name, df, each in (("factual", evaluations, 2), ("storyline", dependencies, 1)):
+        if df is not None:
+            n = n.join(df.groupBy("paper_id").agg((F.count("*") * each).alias(name)), "paper_id", "left")
+            extra[name] = F.coalesce(F.col(name), F.lit(0))
+    rows = [F.struct(F.lit(c).alias("category"), (F.col("n") * every + once + extra.get(c, F.lit(0))).cast("long").alias("checks_run")) for c, (once, every) in CHECKS.items()]
+    return n.select("paper_id", F.inline(F.array(*rows)))
+
+
 def safe_repairs(slides: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(slides, actions): titles without the punctuation that was found behind them. Nothing else of a slide changes."""
     hit = found.where("code = 'TITLE_TRAILING_PUNCTUATION' AND size(slide_ids) = 1").select("paper_id", F.get("slide_ids", 0).alias("slide_id"), "issue_id")
@@ -250,17 +280,19 @@ def authoring_violations(slides: DataFrame, visuals: DataFrame) -> DataFrame:
     )
 
 
-def text_box_findings(boxes: DataFrame, width: float, height: float) -> DataFrame:
+def text_box_findings(boxes: DataFrame, width: float | Column, height: float | Column) -> DataFrame:
     """First problem box and first overlapping pair of each slide. boxes(paper_id, slide_id, i, text, x, y, cx, cy, font, auto_fit) in EMU and points."""
     from ..functions.geometry import EMU_PER_INCH, intersection_ratio, looks_overfull
 
-    out = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") + F.col("cx") > width) | (F.col("y") + F.col("cy") > height)
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
+    boxes = boxes.withColumn("wide", as_col(width)).withColumn("high", as_col(height))
+    out = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") + F.col("cx") > F.col("wide")) | (F.col("y") + F.col("cy") > F.col("high"))
     full = looks_overfull(F.col("text"), F.col("cx") / EMU_PER_INCH, F.col("cy") / EMU_PER_INCH, F.col("font"), F.col("auto_fit"))
     b = boxes.withColumn("code", F.when(out, "OUT_OF_BOUNDS_TEXT").when(F.col("font") < 8, "UNREADABLY_SMALL_FONT").when(full, "LIKELY_TEXT_OVERFLOW")).where("code IS NOT NULL")
     first = b.groupBy("paper_id", "slide_id").agg(F.min_by("code", "i").alias("code"))
-    keep = ["x", "y", "cx", "cy", "text", "i"]
+    keep = ["x", "y", "cx", "cy", "text", "i", "high"]
     left, right = (boxes.select("paper_id", "slide_id", *[F.col(k).alias(f"{s}{k}") for k in keep]) for s in "ab")
-    hit = left.join(right, ["paper_id", "slide_id"]).where("ai < bi").where(~((F.col("ay") > height * 0.84) & (F.col("by") > height * 0.84)) & ~F.col("atext").rlike(r"^\d{2}$") & ~F.col("btext").rlike(r"^\d{2}$")).where(intersection_ratio("a", "b") > 0.65)
+    hit = left.join(right, ["paper_id", "slide_id"]).where("ai < bi").where(~((F.col("ay") > F.col("ahigh") * 0.84) & (F.col("by") > F.col("bhigh") * 0.84)) & ~F.col("atext").rlike(r"^\d{2}$") & ~F.col("btext").rlike(r"^\d{2}$")).where(intersection_ratio("a", "b") > 0.65)
     message = F.when(F.col("code") == "OUT_OF_BOUNDS_TEXT", " 存在超出画布的文本框。").when(F.col("code") == "UNREADABLY_SMALL_FONT", " 存在小于 8pt 的文本。").otherwise(" 的文本密度可能超过文本框容量。")
     return issues(first, "visual", F.col("code"), F.when(F.col("code") == "OUT_OF_BOUNDS_TEXT", "error").otherwise("warning"), _text(F.col("slide_id"), message), _slide()).unionByName(issues(hit.select("paper_id", "slide_id").distinct(), "visual", "TEXT_BOX_OVERLAP", "error", _text(F.col("slide_id"), " 存在大面积重叠的文本框。"), _slide()))
 

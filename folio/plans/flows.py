@@ -12,9 +12,15 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import authoring, elements, evidence, guards, incremental, parse, planning, qa, relations, reports
-from ..operators.layout import render_elements
+from ..operators import authoring, elements, evidence, guards, incremental, parse, planning, qa, relations, reports, scope
 from ..sources.files import read_artifacts
+from ..sources.shared import stored
+
+
+#: Groups of rules that read a slide's title, the one thing that is repaired.
+OF_TITLES = ("factual", "presentation")
+#: Slide size in EMU where no package says another.
+WIDTH, HEIGHT = 12192000, 6858000
 
 
 class GateError(ValueError):
@@ -112,67 +118,67 @@ def run_qa(deck: dict[str, DataFrame], max_iterations: int = 1) -> dict[str, Dat
     """deck: slides, units, plans, citations, visuals, nodes, known, and optionally evaluations and dependencies, boxes, packages (whose sizes hold for the boxes),
     artifacts(paper_id, artifact, names), the paper that each artifact of a deck names, or parts, previews and failures as in `qa`.
 
-    Findings of all rules; titles are repaired and checked again, at most max_iterations times, until nothing is left to repair.
+    Findings of all rules, numbered in the order of a report (pos); titles are repaired and checked again, at most max_iterations times, until nothing is left to repair. categories say how many checks
+    were run for each paper. Evaluations with a column pos have to be the deck's slides in their order, with their evidence and slides that exist; else nothing is judged.
     """
     if not 0 <= max_iterations <= 5:
         raise ValueError("max_iterations must lie between 0 and 5")
 
     agreeing = deck["artifacts"].groupBy("paper_id").agg(F.countDistinct("names").alias("n")) if "artifacts" in deck else None
 
-    def found(slides: DataFrame) -> DataFrame:
-        parts = [qa.factual(slides, deck["citations"], deck["visuals"], deck["nodes"], deck["known"], agreeing), qa.storyline(slides, deck["units"], deck["plans"]), qa.presentation(slides, deck["units"], deck["plans"])]
-        if "evaluations" in deck:
-            parts.append(qa.semantic(slides, deck["evaluations"], deck["dependencies"]))
-        if "boxes" in deck:
-            parts.append(qa.text_box_findings(deck["boxes"], 12192000, 6858000))
-            if "has_table" in deck["boxes"].columns:
-                parts.append(qa.missing_tables(deck["boxes"], deck["visuals"]))
+    def boxes(slides: DataFrame) -> DataFrame:
+        own, size = deck["boxes"], (F.lit(WIDTH), F.lit(HEIGHT))
         if "packages" in deck:
-            parts.append(qa.package_findings(deck["packages"]))
-        if "parts" in deck:
-            parts.append(qa.part_findings(deck["parts"], slides))
-        if "previews" in deck:
-            parts.append(qa.preview_findings(deck["previews"], slides))
-        if "failures" in deck:
-            parts.append(qa.render_failures(deck["failures"]))
-        return qa.union(*[p.withColumn("pos", F.lit(k)) for k, p in enumerate(parts)])
+            own = own.join(deck["packages"].select("paper_id", F.col("width").alias("slide_w"), F.col("height").alias("slide_h")), "paper_id", "left")
+            size = tuple(F.when(F.col(c) > 0, F.col(c)).otherwise(other) for c, other in (("slide_w", WIDTH), ("slide_h", HEIGHT)))
+        return qa.text_box_findings(own, *size)
+
+    rules = {
+        "factual": lambda s: qa.factual(s, deck["citations"], deck["visuals"], deck["nodes"], deck["known"], agreeing),
+        "storyline": lambda s: qa.storyline(s, deck["units"], deck["plans"]),
+        "presentation": lambda s: qa.presentation(s, deck["units"], deck["plans"]),
+    }
+    if "evaluations" in deck:
+        rules["semantic"] = lambda s: qa.semantic(s, deck["evaluations"], deck["dependencies"])
+    if "boxes" in deck:
+        rules["boxes"] = boxes
+        if "has_table" in deck["boxes"].columns:
+            rules["tables"] = lambda s: qa.missing_tables(deck["boxes"], deck["visuals"])
+    for name, rule in (("packages", lambda s: qa.package_findings(deck["packages"])), ("parts", lambda s: qa.part_findings(deck["parts"], s)), ("previews", lambda s: qa.preview_findings(deck["previews"], s)), ("failures", lambda s: qa.render_failures(deck["failures"]))):
+        if name in deck:
+            rules[name] = rule
 
     slides, actions = deck["slides"], None
-    issues = found(slides)
+    if "evaluations" in deck and "pos" in deck["evaluations"].columns:
+        gate(scope.scope_problems(slides, deck["evaluations"], deck["dependencies"], deck["nodes"]), True, "semantic draft")
+    held = {name: stored(rule(slides), f"qa-{name}") for name, rule in rules.items()}  # each group of rules is evaluated once
+    every_issue = lambda: qa.union(*[df.withColumn("group", F.lit(k)) for k, df in enumerate(held.values())])
     for _ in range(max_iterations):
-        repaired, did = qa.safe_repairs(slides, issues)
+        repaired, did = qa.safe_repairs(slides, held["presentation"])
+        did = stored(did, "qa-actions")
         if did.isEmpty():
             break
-        slides, actions, issues = repaired, did if actions is None else actions.unionByName(did), found(repaired)
+        slides, actions = stored(repaired, "qa-slides"), did if actions is None else actions.unionByName(did)
+        held |= {name: stored(rules[name](slides), f"qa-{name}") for name in OF_TITLES}  # what a title does not change is not looked at again
+    issues = every_issue()
     if actions is not None and {"pos"} <= set(deck["citations"].columns) & set(deck["visuals"].columns):
         before, after = (guards.evidence_signatures(x, deck["visuals"], deck["citations"]) for x in (deck["slides"], slides))
         gate(guards.changed_evidence(before, after), True, "a repair changed evidence")
-    issues = qa.deduplicated(issues, "pos").drop("pos")
-    categories = deck["slides"].sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("factual", "storyline", "visual", "presentation")))).alias("category"))
-    every = slides.select("paper_id").distinct().join(F.broadcast(categories), F.lit(True))
-    status = every.join(issues, ["paper_id", "category"], "left").groupBy("paper_id", "category").agg(reports.status_of().alias("status"), F.count("severity").alias("n_issues"))
+    issues = qa.in_order(qa.deduplicated(issues, "group"), slides, "group").drop("group")
+    every = qa.checks_run(slides, deck.get("evaluations"), deck.get("dependencies"))
+    status = every.join(issues, ["paper_id", "category"], "left").groupBy("paper_id", "category").agg(reports.status_of().alias("status"), F.count("severity").alias("n_issues"), F.first("checks_run").alias("checks_run"))
     return {"issues": issues, "categories": status, "slides": slides, "actions": actions if actions is not None else qa.safe_repairs(slides, issues)[1].limit(0), "status": status.groupBy("paper_id").agg(F.when(F.max(F.col("status") == "fail"), "fail").when(F.max(F.col("status") == "pass_with_warnings"), "pass_with_warnings").otherwise("pass").alias("status"))}
 
 
-def render_plan(slides: DataFrame, visuals: DataFrame, numbers: list[int] | None = None) -> DataFrame:
-    """Elements of the slides, or of those with these numbers; an unknown number is an error."""
-    if numbers is not None:
-        known = {r["order"] for r in slides.select("order").where(F.col("order").isin(*numbers)).distinct().collect()}
-        if missing := sorted(set(numbers) - known):
-            raise GateError(f"unknown slides: {missing}")
-        slides = slides.where(F.col("order").isin(*numbers))
-    return render_elements(slides, visuals.join(slides.select("slide_id"), "slide_id", "left_semi"))
-
-
 def render_deck(slides: DataFrame, visuals: DataFrame, tables: DataFrame, equations: DataFrame, numbers: list[int] | None = None) -> dict[str, DataFrame]:
     """Everything a writer needs: elements (see `elements`) and the notes of each slide. visuals without cells and formulas get them from
-    tables(paper_id, table_id, latex) and equations(paper_id, equation_id, latex); numbers as in render_plan."""
+    tables(paper_id, table_id, latex) and equations(paper_id, equation_id, latex). numbers: of the slides to render; a paper that lacks one of them is an error."""
     from ..functions import formulas, latex
 
     if numbers is not None:
-        known = {r["number"] for r in slides.select("number").where(F.col("number").isin(*numbers)).distinct().collect()}
-        if missing := sorted(set(numbers) - known):
-            raise GateError(f"unknown slides: {missing}")
+        have = F.collect_set(F.when(F.col("number").isin(*numbers), F.col("number").cast("long")))
+        lacking = slides.groupBy("paper_id").agg(F.array_sort(F.array_except(F.array(*[F.lit(int(n)).cast("long") for n in numbers]), have)).alias("missing"))
+        gate(lacking.where(F.size("missing") > 0), True, "unknown slides")
         slides = slides.where(F.col("number").isin(*numbers))
     used = visuals.join(slides.select("paper_id", "slide_id"), ["paper_id", "slide_id"], "left_semi")
     refs = used.select("paper_id", "source_ref", "kind").distinct()

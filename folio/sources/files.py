@@ -92,16 +92,20 @@ def main_tex(members: DataFrame, by: str = "path") -> DataFrame:
 
 
 def expanded(members: DataFrame, by: str = "path") -> DataFrame:
-    """(path, main, text): the main file of each archive with its includes in place. An archive is one group: a paper's sources."""
+    """(path, main, text, problem): the main file of each archive with its includes in place; no text and a problem where they lead out of the archive or in a circle. An archive is one group: a paper's sources."""
     main = main_tex(members, by).select(by, F.col("member").alias("main"))
     named = F.lower("member").rlike(INCLUDABLE)
     tex = members.where(named).select(by, "member", F.col("content").cast("string").alias("text")).join(main, by)
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         m = p["main"].iloc[0]
-        return pd.DataFrame({by: [p[by].iloc[0]], "main": [m], "text": [latex.expand_includes(dict(zip(p["member"], p["text"], strict=True)), m)]})
+        try:
+            text, problem = latex.expand_includes(dict(zip(p["member"], p["text"], strict=True)), m), None
+        except ValueError as e:
+            text, problem = None, str(e)
+        return pd.DataFrame({by: [p[by].iloc[0]], "main": [m], "text": [text], "problem": [problem]})
 
-    return tex.groupBy(by).applyInPandas(one, f"{by} string, main string, text string")
+    return tex.groupBy(by).applyInPandas(one, f"{by} string, main string, text string, problem string")
 
 
 def _flat(path):

@@ -42,12 +42,44 @@ def test_qa_flow(deck):  # noqa: F811
     assert got["status"].first()["status"] == "fail"
 
 
-def test_render_plan(spark):
-    s = spark.createDataFrame([("s1", 1, "full_visual", "T", ["a"], "", ""), ("s2", 2, "none", "U", ["b"], "k", "")], "slide_id string, `order` int, layout string, title string, body array<string>, takeaway string, citation string")
-    v = spark.createDataFrame([("s1", 0, "a", 10, 10)], "slide_id string, pos int, source_ref string, image_w int, image_h int")
-    assert flows.render_plan(s, v, [2]).select("kind").distinct().count() == 3
-    with pytest.raises(flows.GateError):
-        flows.render_plan(s, v, [3])
+def test_render_names_missing_slides_by_paper(spark):
+    s = spark.createDataFrame([("p", "s1", 1), ("p", "s2", 2), ("q", "s1", 1)], "paper_id string, slide_id string, number int")
+    with pytest.raises(flows.GateError, match="'q'.*2"):
+        flows.render_deck(s, None, None, None, [2])
+
+
+def test_findings_are_in_order_and_sized_by_their_package(deck, spark):  # noqa: F811
+    paper = deck["slides"].first()["paper_id"]
+    first = deck["slides"].orderBy("order").first()["slide_id"]
+    boxes = spark.createDataFrame([(paper, first, 0, "text", 0, 0, 9000, 9000, 20.0, False)], "paper_id string, slide_id string, i long, text string, x long, y long, cx long, cy long, font double, auto_fit boolean")
+    size = lambda w: spark.createDataFrame([(paper, w, w, None)], "paper_id string, width long, height long, problem string")
+    out = lambda w: flows.run_qa(deck | {"boxes": boxes, "packages": size(w)})["issues"].where("code = 'OUT_OF_BOUNDS_TEXT'")
+    assert out(8000).first()["suggested_action"] and out(9000).isEmpty()
+    issues = flows.run_qa(deck)["issues"].orderBy("pos").collect()
+    groups = [("factual", "storyline", "presentation").index(r["category"]) for r in issues]
+    assert [r["pos"] for r in issues] == list(range(1, len(issues) + 1)) and groups == sorted(groups)
+
+
+def test_every_code_has_advice():
+    import inspect
+    import re
+
+    from folio.operators import qa
+
+    codes = set(re.findall(r'"([A-Z]{3,}(?:_[A-Z]+)+)"', inspect.getsource(qa)))
+    assert codes == set(qa.ACTIONS) and all(a for _, a in qa.ACTIONS.values())
+
+
+def test_papers_without_units_lack_all_stages(spark):
+    from folio.operators import qa
+
+    slides = spark.createDataFrame([("p", "s", "u", 1, "q", "m", ["e"], None, 10)], "paper_id string, slide_id string, unit_id string, `order` int, question string, main_claim string, evidence_ids array<string>, title string, notes_seconds long")
+    units = spark.createDataFrame([("q", "u", 1, "q", None, ["e"], "problem", 5)], "paper_id string, unit_id string, `order` int, question string, main_claim string, evidence_ids array<string>, role string, seconds long")
+    plans = spark.createDataFrame([("p", 100, [])], "paper_id string, budget int, coverage_gaps array<string>")
+    got = [r["code"] for r in qa.storyline(slides, units, plans).where("paper_id = 'p'").collect()]
+    assert got.count("MISSING_STORYLINE_STAGE") == 4 and "MISSING_LIMITATIONS" in got and "STORYLINE_ORDER" not in got
+    drift = qa.storyline(slides, units.withColumn("paper_id", F.lit("p")), plans).where("code = 'UNIT_CONTENT_DRIFT'")
+    assert drift.count() == 1  # a claim against none is drift
 
 
 def test_incremental(spark):
