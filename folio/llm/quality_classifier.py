@@ -43,7 +43,7 @@ class ShapeHashes(dict):
 class Features:
     """Sparse vectors: counts of word and shape unigrams and bigrams, damped by log(1 + n) and scaled to length 1."""
 
-    def __init__(self, remember: int = 200_000):
+    def __init__(self, remember: int = 50_000):
         self.words, self.shapes = WordHashes(remember), ShapeHashes(remember)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +92,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     texts = sample_rows(docs.where("text IS NOT NULL"), sample_ids(given, "y", TRAIN_ROWS, "quality"), ["doc_id"], ["text"]).select("doc_id", "y", "text")
 
     def vectors(batches):
-        features = Features(remember=50_000)
+        features = Features()
         for b, part in chunks(batches):
             xs = [features.of(t) for t in part]
             arrays = [pa.array([i.astype(np.int32).tobytes() for i, _ in xs], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in xs], pa.binary()), pa.array([len(i) for i, _ in xs], pa.int64())]
