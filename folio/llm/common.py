@@ -139,6 +139,70 @@ def whole_examples(sample: DataFrame, by: str, size: str, most: int, salt: str)
     return list(sample.join(F.broadcast(picked), [by, "doc_id"], "left_semi").toLocalIterator())
 
 
+#: Bits for each id of a set, and of a whole set at most, 2**MOST_BITS: 32 MB.
+ID_BITS, MOST_BITS = 64, 28
+#: Levels of bits with which rows are told apart before what is left is joined.
+LEVELS = 4
+
+
+def id_bits(ids: DataFrame, n: int, salt: int) -> tuple[DataFrame, int]:
+    """A set of n ids as a table of blocks of bits, 2**MOST_BITS of them at most, and the exponent of their number. Made by Spark with map-side combining; small enough to broadcast by that bound."""
+    bits = min(MOST_BITS, max(15, (n * ID_BITS).bit_length()))
+    at = _bit(F.col("doc_id"), bits, salt)
+    blocks = ids.select(F.bitmap_bucket_number(at).alias("block"), F.bitmap_bit_position(at).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return stored(blocks, "id-bits"), bits
+
+
+def _bit(doc_id: Column, bits: int, salt: int) -> Column:
+    """The place of an id, from 1."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), doc_id), 64 - bits) + 1
+
+
+def with_hit(rows: DataFrame, blocks: DataFrame, bits: int, salt: int, name: str) -> DataFrame:
+    """rows with a column that is true where doc_id may be in the set, false where it is not. One look-up in a broadcast table of blocks; rows are not moved."""
+    at = _bit(F.col("doc_id"), bits, salt)
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(blocks.select(F.col("block").alias("__block"), F.col("bits").alias("__bits"))), F.bitmap_bucket_number(at) == F.col("__block"), "left")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(F.col("doc_id").isNotNull() & (F.getbit(byte, (place % 8).cast("int")) == 1), F.lit(False)).alias(name))
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """Rows whose doc_id is among n distinct ids, and a few others: what of them has to be looked at, found without moving any."""
+    blocks, bits = id_bits(ids, n, 0)
+    return with_hit(rows, blocks, bits, 0, "__hit").where("__hit").select(*rows.columns)
+
+
+def without(rows: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """rows whose doc_id is not among the distinct, stored ids. Rows with a null id stay.
+
+    Up to `most` ids are broadcast. Beyond, bits of them are: a row that misses stays. Of those that hit, some are there by chance; these are found among the ids alone (which are small), and are told apart by
+    bits of their own, and so on in turn; once `most` ids at most are left in doubt these decide. Other columns of rows are not shuffled while that succeeds within LEVELS, which it does up to some
+    2**MOST_BITS / 8 ids; what is still in doubt then is joined.
+    """
+    n = ids.count()
+    if n <= most:
+        return rows.join(F.broadcast(ids), "doc_id", "left_anti").select(*rows.columns)
+    everyone = stored(rows.select("doc_id").where("doc_id IS NOT NULL").distinct().join(ids.withColumn("__gone", F.lit(True)), "doc_id", "left").select("doc_id", F.col("__gone").isNotNull().alias("gone")), "ids-all")
+    doubt, marked, stays = everyone, rows, F.lit(None).cast("boolean")
+    for level in range(LEVELS):
+        inside = level % 2 == 0  # bits of ids that go, then of those that stay, in turn
+        members = stored(doubt.where(F.col("gone") == inside).select("doc_id"), "ids-in")
+        blocks, bits = id_bits(members, members.count(), level)
+        name = f"__hit{level}"
+        marked = with_hit(marked, blocks, bits, level, name)
+        stays = F.when(stays.isNull() & ~F.col(name), F.lit(inside)).otherwise(stays)
+        doubt = stored(with_hit(doubt, blocks, bits, level, "__hit").where("__hit").select("doc_id", "gone"), "ids-doubt")
+        others = stored(doubt.where(F.col("gone") != inside).select("doc_id"), "ids-chance")
+        if others.count() <= most:  # all in doubt are members, but for these
+            by_chance = F.broadcast(others.withColumn("__chance", F.lit(True)))
+            marked = marked.withColumn("__stays", stays).join(by_chance, "doc_id", "left")
+            kept = F.coalesce("__stays", F.when(F.col("__chance"), F.lit(inside)).otherwise(F.lit(not inside)))
+            return marked.where(kept).select(*rows.columns)
+    marked = marked.withColumn("__stays", stays)
+    return marked.where("__stays").select(*rows.columns).unionByName(marked.where("__stays IS NULL").join(ids, "doc_id", "left_anti").select(*rows.columns))
+
+
 def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (a, b) long pairs -> (node, component), component = smallest node.
 

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, in_arrow, stored, table
+from .common import components, in_arrow, maybe_among, stored, table
 from .textbatch import WordHashes, chunks, mix64, shingles, words
 
 #: Signature: BANDS bands of ROWS values. A pair at the threshold shares no band with a chance of (1 - 0.8**4)**32 = 5e-8.
@@ -92,9 +92,13 @@ def counted(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, els) of the documents with these ids, read again from their texts."""
-    pick = counted(ids.distinct(), "dedup-ids")
-    return stored(in_arrow(docs.join(pick, "doc_id", "left_semi"), lambda it: _sets(it, k), "doc_id long, els array<long>"), "dedup-sets")
+    """(doc_id, els) of the documents with these ids, read again from their texts. Texts are not shuffled: with many ids, bits of them tell which texts to look at, and the sets of these are joined with the ids."""
+    pick, schema = stored(ids.distinct(), "dedup-ids"), "doc_id long, els array<long>"
+    n = pick.count()
+    if n <= MOST_BROADCAST:
+        return stored(in_arrow(docs.join(F.broadcast(pick), "doc_id", "left_semi"), lambda it: _sets(it, k), schema), "dedup-sets")
+    sets = in_arrow(maybe_among(docs, pick, n), lambda it: _sets(it, k), schema)
+    return stored(sets.join(pick, "doc_id", "left_semi"), "dedup-sets")
 
 
 def _checked(p: pd.DataFrame, percent: int) -> pd.DataFrame:
