@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import remainder, stored, table
+from folio.llm.common import maybe_among, remainder, stored, table, without
 from folio.llm.language_id import identify_language, learn_languages
 from folio.llm.mixing import mix
 from folio.llm.near_dedup import MOST_BROADCAST, near_duplicates
@@ -40,23 +40,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that with the smallest id; of rows that repeat an id, one: the smallest by text, source, lang and then by a hash
     of all columns. Rows with a null id stay, as do null and empty texts, which are like nothing.
 
-    The ids that go are joined against the texts, by broadcast while they are few, so the texts of the rest need no shuffle.
+    Texts are not shuffled for the ids that go: those are broadcast while they are few, and beyond that told apart by bits of theirs (see `without`).
     """
-
-    def small(ids: DataFrame) -> DataFrame:
-        ids = stored(ids, "pipeline-ids")
-        return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-
-    gone = small(near_duplicates(docs, k=5, percent=80).where("NOT kept").select("doc_id").distinct())
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(near_duplicates(docs, k=5, percent=80).where("NOT kept").select("doc_id").distinct(), "pipeline-ids")
+    left = without(docs, gone, MOST_BROADCAST)
     repeated = stored(left.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "pipeline-repeated")
-    if repeated.isEmpty():
+    n = repeated.count()
+    if not n:
         return left
-    repeated = small(repeated)
     every = [F.to_json(F.struct(F.col(f"`{c}`"))) for c in sorted(docs.columns)]  # so that rows in whatever order give the same one
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", F.sha2(F.concat_ws("\n", *every), 256)))
-    once = left.join(repeated, "doc_id", "left_semi").withColumn("__rank", first).where("__rank = 1").select(*docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    among = left.join(F.broadcast(repeated), "doc_id", "left_semi") if n <= MOST_BROADCAST else maybe_among(left, repeated, n).join(repeated, "doc_id", "left_semi")
+    once = among.withColumn("__rank", first).where("__rank = 1").select(*docs.columns)
+    return without(left, repeated, MOST_BROADCAST).unionByName(once)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
