@@ -32,53 +32,6 @@ def group(text: str, at: int) -> tuple[str, int] | None:
     return None
 
 
-def column_count(latex: str | None) -> int | None:
-    """Columns that a tabular declares; None if it declares none or its braces do not match."""
-    m = re.search(r"\\begin\{tabular(\*?)\}", latex or "")
-    if not m:
-        return None
-    at = m.end()
-    if m[1]:
-        width = group(latex, at)
-        if not width:
-            return None
-        at = width[1]
-    optional = re.compile(r"\s*\[[^\]]*\]").match(latex, at)
-    spec = group(latex, optional.end() if optional else at)
-    if not spec:
-        return None
-    plain = re.sub(r"[@!><]\{(?:[^{}]|\{[^{}]*\})*\}", "", spec[0])
-    plain = re.sub(r"([pmb])\{(?:[^{}]|\{[^{}]*\})*\}", r"\1", plain)
-    return sum(c in COLUMN_LETTERS for c in plain) or None
-
-
-def table_rows(latex: str | None) -> list[list[str]]:
-    """Cells of a tabular, row by row, padded to the widest row."""
-    m = re.search(r"\\begin\{tabular\*?\}", latex or "")
-    if not m:
-        return []
-    body, at = latex, m.end()
-    for _ in range(4):
-        g = group(body, at)
-        if not g:
-            break
-        at = g[1]
-    body = body[at : body.find("\\end{tabular", at) if "\\end{tabular" in body[at:] else len(body)]
-    body = re.sub(r"\\(?:hline|toprule|midrule|bottomrule)|\\(?:cline|cmidrule(?:\([^)]*\))?)\{[^}]*\}", r"\\\\", body)
-    rows = []
-    for line in re.split(r"\\\\(?:\[[^\]]*\])?", body):
-        cells: list[str] = []
-        for cell in re.split(r"(?<!\\)&", line):
-            span = re.match(r"\s*\\multicolumn\{(\d+)\}", cell)
-            cells.append(to_text(cell))
-            if span:
-                cells += [""] * (int(span[1]) - 1)
-        if any(cells):
-            rows.append(cells)
-    width = max(map(len, rows), default=0)
-    return [r + [""] * (width - len(r)) for r in rows]
-
-
 def _script(text: str, table: dict[str, str], mark: str) -> str:
     return "".join(table[c] for c in text) if text and all(c in table for c in text) else f"{mark}({text})" if len(text) > 1 else mark + text
 
@@ -144,11 +97,3 @@ def expand_includes(files: dict[str, str], main: str) -> str:
 
 def latex_to_text(x: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(to_text), "string")(x)
-
-
-def tabular_columns(x: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(column_count).astype("Int32"), "int")(x)
-
-
-def tabular_rows(x: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(table_rows), "array<array<string>>")(x)

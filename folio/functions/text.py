@@ -98,14 +98,27 @@ def clean_latex(x: Column) -> Column:
     return collapse(F.replace(y, F.lit("~"), F.lit(" ")))
 
 
+# Signs that cells keep, and an overlined letter.
+CELL_SIGNS = (
+    (r"\\(?:cdot|times)(?![A-Za-z])\s?", "×"),
+    (r"\\pm(?![A-Za-z])\s?", "±"),
+    (r"\\uparrow(?![A-Za-z])", "↑"),
+    (r"\\downarrow(?![A-Za-z])", "↓"),
+    (r"\\(?:bar|overline)\s*\{([A-Za-z])\}", "$1\u0304"),
+)
+
+
 def clean_cell(x: Column, passes: int = 4) -> Column:
-    """Text of a table cell: styling commands unwrapped up to `passes` levels deep, math signs and spacing dropped."""
+    """Text of a table cell: styling commands unwrapped up to `passes` levels deep, signs written out, other commands and spacing dropped."""
+    x = F.regexp_replace(x, r"\\\$", "\u0002")  # a dollar that is none of mathematics
+    for pattern, sign in CELL_SIGNS:
+        x = F.regexp_replace(x, pattern, sign)
     y = F.regexp_replace(x, r"\\(?:hline|toprule|midrule|bottomrule|cmidrule(?:\([^)]*\))?\{[^}]*\}|cline\{[^}]*\})", " ")
     y = F.regexp_replace(y, r"\\multicolumn\{[^{}]*\}\{[^{}]*\}", "")
     for _ in range(passes):
         y = F.regexp_replace(y, r"\\[A-Za-z]+\*?\{([^{}]*)\}", "$1")
-    y = F.regexp_replace(F.regexp_replace(y, r"\\([%&_#$])", "$1"), r"\\[A-Za-z]+\s?|[${}]", "")
-    return collapse(F.regexp_replace(y, r"~|\\,|\\ ", " "))
+    y = F.regexp_replace(F.regexp_replace(y, r"\\([%&_#])", "$1"), r"\\[A-Za-z]+\s?|[${}]", "")
+    return F.translate(collapse(F.regexp_replace(y, r"~|\\,|\\ ", " ")), "\u0002", "$")
 
 
 def heading_lines(text: Column) -> Column:

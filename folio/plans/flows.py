@@ -173,7 +173,8 @@ def run_qa(deck: dict[str, DataFrame], max_iterations: int = 1) -> dict[str, Dat
 def render_deck(slides: DataFrame, visuals: DataFrame, tables: DataFrame, equations: DataFrame, numbers: list[int] | None = None) -> dict[str, DataFrame]:
     """Everything a writer needs: elements (see `elements`) and the notes of each slide. visuals without cells and formulas get them from
     tables(paper_id, table_id, latex) and equations(paper_id, equation_id, latex). numbers: of the slides to render; a paper that lacks one of them is an error."""
-    from ..functions import formulas, latex
+    from ..functions import formulas
+    from ..functions import tables as tables_of
 
     if numbers is not None:
         have = F.collect_set(F.when(F.col("number").isin(*numbers), F.col("number").cast("long")))
@@ -183,7 +184,7 @@ def render_deck(slides: DataFrame, visuals: DataFrame, tables: DataFrame, equati
     used = visuals.join(slides.select("paper_id", "slide_id"), ["paper_id", "slide_id"], "left_semi")
     refs = used.select("paper_id", "source_ref", "kind").distinct()
     ref = lambda df, i, kind: df.withColumnRenamed(i, "source_ref").join(refs.where(F.col("kind") == kind).drop("kind"), ["paper_id", "source_ref"], "left_semi")
-    cells = ref(tables, "table_id", "source_table").select("paper_id", "source_ref", F.lit("source_table").alias("kind"), latex.tabular_rows(F.col("latex")).alias("cells"))
+    cells = ref(tables, "table_id", "source_table").select("paper_id", "source_ref", F.lit("source_table").alias("kind"), tables_of.tabular_rows(F.col("latex")).alias("cells"))
     written = ref(equations, "equation_id", "source_equation").select("paper_id", "source_ref", F.lit("source_equation").alias("kind"), formulas.readable(F.col("latex")).alias("formula"))
     own = [c for c in used.columns if c not in ("cells", "formula")]
     used = used.select(*own).join(cells, ["paper_id", "source_ref", "kind"], "left").join(written, ["paper_id", "source_ref", "kind"], "left")

@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import benchmark, qa, reuse
 from ..streaming import builds
 from . import flows
@@ -95,7 +96,19 @@ def mutation_benchmark(spark, d):
     return benchmark.run(cases, slides, evaluations, dependencies)
 
 
-QUERIES = {f.__name__: f for f in (build_states, reuse_chain, deck_factual, quality_of_talks, mutation_benchmark)}
+def table_grids(spark, d):
+    """Orders as LaTeX tables, their lines as rows with a nested span; some have a width, some a declaration whose braces do not match, some no end."""
+    x, k = _lines(spark, d), F.col("paper_id")
+    row = _text(r"\multicolumn{2}{c}{\textbf{x{", F.col("p"), r"} & y}} & s\&", F.col("s"), r" & $q^{", F.col("q"), r"}$ \\[2pt] \cmidrule(lr){1-2} ")
+    rows = x.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", row.alias("row")))), lambda r: r["row"]), "\n").alias("rows"))
+    begin = F.when(k % 7 == 0, r"\begin{tabular}{l{c ").when(k % 3 == 0, r"text \begin{tabular*}{\textwidth}{@{}l|p{3cm}r@{\hskip {2pt}}}").otherwise(r"\begin{tabular}{lcrX}")
+    latex = F.concat(begin, F.lit("\n\\toprule a & b % & no\n \\\\ \\midrule "), "rows", F.when(k % 5 == 0, "").otherwise(r"\bottomrule \end{tabular} & after"))
+    t = rows.select(k.alias("l_orderkey"), latex.alias("latex"))
+    cells = F.array_join(F.transform(tables.tabular_rows(F.col("latex")), lambda r: F.array_join(r, ";")), "|")
+    return t.select("l_orderkey", tables.tabular_columns(F.col("latex")).alias("n_columns"), cells.alias("cells"))
+
+
+QUERIES = {f.__name__: f for f in (build_states, reuse_chain, deck_factual, quality_of_talks, mutation_benchmark, table_grids)}
 ORACLES = {
     "build_states": """WITH RECURSIVE e AS (SELECT user_id, ts AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE WHEN event_id % 9 = 0 THEN event_id % 8 END AS step, CASE WHEN event_id % 40 = 4 THEN 'g' ELSE 'f' END AS f,
  CASE event_type WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'started' END WHEN 'signup' THEN CASE WHEN event_id % 4 = 0 THEN 'submitted' ELSE 'completed' END WHEN 'click' THEN 'started' WHEN 'view' THEN 'completed'
@@ -129,4 +142,6 @@ UNION ALL SELECT conv_id, 'visual', 'pass', 0, 6 + n FROM g UNION ALL SELECT con
 p AS (SELECT *, CASE WHEN n = 0 THEN 'unknown paper' WHEN k % 4 = 2 AND n < 2 THEN 'unknown slide' WHEN k % 8 = 7 THEN 'unsupported operation' WHEN k % 4 = 3 THEN 'no dependency' END AS problem FROM g)
 SELECT 'case' || k AS case_id, ['CLAIM_EVIDENCE_UNSUPPORTED', 'CLAIM_STRENGTH_OVERSTATED', 'STORYLINE_DEPENDENCY_ORDER', 'STORYLINE_DEPENDENCY_ORDER'][k % 4 + 1] AS expected, CASE WHEN problem IS NULL THEN true END AS detected,
 CAST(CASE WHEN problem IS NULL THEN CASE WHEN k % 5 = 0 AND k % 4 <> 0 THEN 1 ELSE 0 END END AS INTEGER) AS unexpected, problem FROM p""",
+    "table_grids": f"""WITH {_X} SELECT l_orderkey, CAST(CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_orderkey % 3 = 0 THEN 3 ELSE 4 END AS INTEGER) AS n_columns,
+CASE WHEN l_orderkey % 7 = 0 OR l_orderkey % 5 = 0 THEN '' ELSE 'a;b;|' || string_agg('x' || p || ' & y;s&' || s || ';q^' || q, '|' ORDER BY o) END AS cells FROM x GROUP BY l_orderkey""",
 }

@@ -60,10 +60,6 @@ def test_geometry(spark):
 
 
 def test_latex():
-    assert latex.column_count(r"\begin{tabular}{l|ccc@{\hskip 1em}rrr}") == 7
-    assert latex.column_count(r"\begin{tabular*}{\textwidth}{lp{2cm}X}") == 3
-    assert latex.column_count(r"\begin{tabular}{lcc") is None and latex.column_count("none") is None
-    assert latex.table_rows(r"\begin{tabular}{lcc} \hline A & \multicolumn{2}{c}{B} \\ x & \$5 & 6\% \\ \end{tabular}") == [["A", "B", ""], ["x", "$5", "6%"]]
     assert latex.to_text(r"\frac{QK^{\top}}{\sqrt{d_k}} + x^{2} \leq 3") == "QK^⊤/√(d_k) + x² ≤ 3"
     files = {"main.tex": r"a \input{sec/one} \input{sec/one} \include{gone}", "sec/one.tex": r"one \input{two}", "sec/two.tex": "two"}
     assert latex.expand_includes(files, "main.tex") == r"a one two  \include{gone}"
