@@ -171,7 +171,12 @@ def problems(v: Column, node, path: Column) -> Column:
             out = out.when(~k.isin(*node.kinds), _found(path, F.concat(F.lit(f"must be {' or '.join(node.kinds)}, is "), k)))
         return out.otherwise(F.coalesce(below, _none()))
 
-    return let(kind_of(v), judge)
+    kind = kind_of(v)  # which for an object or an array means to look at all of it, so that is asked only of values that are not what they must be
+    if isinstance(node, Object):
+        kind = F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), "object").otherwise(kind)
+    elif isinstance(node, Items):
+        kind = F.when(items(v).isNotNull(), "array").otherwise(kind)
+    return let(kind, judge)
 
 
 def validate(documents: DataFrame, node, json: str = "json", root: str = "$") -> DataFrame:

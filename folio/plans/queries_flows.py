@@ -103,9 +103,9 @@ def table_grids(spark, d):
     rows = x.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", row.alias("row")))), lambda r: r["row"]), "\n").alias("rows"))
     begin = F.when(k % 7 == 0, r"\begin{tabular}{l{c ").when(k % 3 == 0, r"text \begin{tabular*}{\textwidth}{@{}l|p{3cm}r@{\hskip {2pt}}}").otherwise(r"\begin{tabular}{lcrX}")
     latex = F.concat(begin, F.lit("\n\\toprule a & b % & no\n \\\\ \\midrule "), "rows", F.when(k % 5 == 0, "").otherwise(r"\bottomrule \end{tabular} & after"))
-    t = rows.select(k.alias("l_orderkey"), latex.alias("latex"))
-    cells = F.array_join(F.transform(tables.tabular_rows(F.col("latex")), lambda r: F.array_join(r, ";")), "|")
-    return t.select("l_orderkey", tables.tabular_columns(F.col("latex")).alias("n_columns"), cells.alias("cells"))
+    t = rows.select(k.alias("l_orderkey"), latex.alias("latex")).withColumn("table", tables.parsed(F.col("latex")))
+    cells = F.array_join(F.transform(tables.grid(F.col("table")), lambda r: F.array_join(r, ";")), "|")
+    return t.select("l_orderkey", tables.column_count(F.col("latex"), F.col("table")).alias("n_columns"), F.coalesce(cells, F.lit("")).alias("cells"))
 
 
 QUERIES = {f.__name__: f for f in (build_states, reuse_chain, deck_factual, quality_of_talks, mutation_benchmark, table_grids)}
