@@ -114,3 +114,11 @@ def draft_contexts(papers: DataFrame, **tables: DataFrame) -> DataFrame:
     own = F.regexp_replace(F.to_json("own", {"ignoreNullFields": "false"}), r"\}$", "")
     parts = [F.concat(F.lit(f',"{n}":['), F.array_join(F.coalesce(F.col(n), F.array().cast("array<string>")), ","), F.lit("]")) for n in names]
     return out.select("paper_id", F.concat(own, *parts, F.lit("}")).alias("context"))
+
+
+def draft_problems(drafts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """drafts and wanted(paper_id, mode, language_profile) -> (paper_id, field, wanted, given): drafts that were made for another mode or language profile than was asked for, or that nobody asked for or made."""
+    fields = ("mode", "language_profile")
+    b = wanted.select("paper_id", *[F.col(c).alias(f"w_{c}") for c in fields]).join(drafts.select("paper_id", *fields), "paper_id", "full")
+    rows = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"w_{c}")), F.struct(F.lit(c).alias("field"), F.col(f"w_{c}").alias("wanted"), F.col(c).alias("given"))) for c in fields]))
+    return b.select("paper_id", F.inline(rows))

@@ -17,15 +17,22 @@ EXPECTED = {
     "package": (),
 }
 
+#: Files that a step leaves only under an option of its run: (step, file, option).
+CONDITIONAL = tuple((step, name, option) for step in ("qa", "package") for name, option in (("presentation.pdf", "render_qa"), ("semantic_qa.json", "semantic_qa")))
+
 
 def steps_frame(spark) -> DataFrame:
-    rows = [F.struct(F.lit(k).alias("pos"), F.lit(s).alias("step"), F.lit(a).alias("artifact")) for k, s in enumerate(STEPS) for a in EXPECTED[s]]
+    """(pos, step, artifact, option): what steps leave; option is null for what they always leave."""
+    every = [(s, a, None) for s in STEPS for a in EXPECTED[s]] + list(CONDITIONAL)
+    rows = [F.struct(F.lit(STEPS.index(s)).alias("pos"), F.lit(s).alias("step"), F.lit(a).alias("artifact"), F.lit(o).cast("string").alias("option")) for s, a, o in every]
     return spark.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def missing_artifacts(runs: DataFrame, files: DataFrame) -> DataFrame:
-    """runs(run_id) against files(run_id, artifact): (run_id, step, artifact) that a step should have left and did not."""
-    want = runs.select("run_id").distinct().join(F.broadcast(steps_frame(runs.sparkSession)), F.lit(True))
+    """runs(run_id) against files(run_id, artifact): (run_id, step, artifact) that a step should have left and did not. Runs may have columns render_qa and semantic_qa; where one is true, the files of that option count too."""
+    on = F.array_compact(F.array(*[F.when(F.col(o), F.lit(o)) for o in ("render_qa", "semantic_qa") if o in runs.columns])) if {"render_qa", "semantic_qa"} & set(runs.columns) else F.array().cast("array<string>")
+    asked = runs.select("run_id", on.alias("options")).groupBy("run_id").agg(F.array_distinct(F.flatten(F.collect_list("options"))).alias("options"))
+    want = asked.join(F.broadcast(steps_frame(runs.sparkSession)), F.col("option").isNull() | F.array_contains("options", F.col("option")))
     return want.join(files.select("run_id", "artifact"), ["run_id", "artifact"], "left_anti").select("run_id", "step", "artifact")
 
 

@@ -119,3 +119,10 @@ def merged_metadata(tex: DataFrame, pdf: DataFrame) -> DataFrame:
     either = lambda c: F.coalesce(F.when(F.length(f"tex_{c}") > 0, F.col(f"tex_{c}")), F.col(f"pdf_{c}")).alias(c)
     authors = F.coalesce(F.when(F.size("tex_authors") > 0, F.col("tex_authors")), "pdf_authors", F.array().cast("array<string>")).alias("authors")
     return t.join(p, "paper_id", "full").select("paper_id", either("title"), authors, either("abstract"))
+
+
+def merge_warnings(tex: DataFrame, pdf: DataFrame) -> DataFrame:
+    """(paper_id, warning) of papers whose LaTeX and PDF name titles that differ in more than case and white space."""
+    both = tex.select("paper_id", F.col("title").alias("a")).join(pdf.select("paper_id", F.col("title").alias("b")), "paper_id").where("length(a) > 0 AND length(b) > 0")
+    plain = lambda c: F.lower(T.collapse(F.col(c)))
+    return both.where(plain("a") != plain("b")).select("paper_id", F.concat(F.lit("titles differ: "), "a", F.lit(" / "), "b").alias("warning"))

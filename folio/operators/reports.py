@@ -80,3 +80,10 @@ def quality_report(papers: DataFrame, categories: DataFrame, issues: DataFrame,
     else:
         out = out.withColumn("did", F.lit(None).cast("string"))
     return out.select("paper_id", _lines(head, F.col("rows"), "", "## 问题清单", "", F.coalesce("found", F.lit(NO_ISSUES)), "## Repair History", "", F.coalesce("did", F.lit(NO_REPAIRS)), "").alias("text"))
+
+
+def category_problems(categories: DataFrame) -> DataFrame:
+    """categories(paper_id, category) -> (paper_id, lacking, strange): papers whose report does not have the four categories exactly."""
+    names = F.array(*[F.lit(k) for k, _ in CATEGORY_LABELS])
+    have = categories.groupBy("paper_id").agg(F.array_sort(F.collect_set("category")).alias("have"))
+    return have.select("paper_id", F.array_except(names, "have").alias("lacking"), F.array_except("have", names).alias("strange")).where(F.size("lacking") + F.size("strange") > 0)
