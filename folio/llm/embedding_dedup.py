@@ -126,7 +126,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     Vectors that are null, zero, or hold a null or non-finite component, and those with a null label, link with nothing and form their
     own component. Vectors of different lengths do not link. Rows that repeat an id are taken as one vector with several values, whose links
     to others are added up; a null id has no component. Ties do not matter: nothing is chosen.
-    An empty table gives no rows. Further columns are ignored.
+    An empty table gives no rows. Further columns are ignored, whatever their names. A very long vector is one row; axes of its length are a matrix of that size squared on the driver.
     """
     spark = vectors.sparkSession
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6

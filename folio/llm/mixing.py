@@ -74,7 +74,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
 
     Nulls: null text has size 0, a null source is a source of its own and sorts last, a null id has the smallest key.
     Rows that repeat an id are ordered by a hash of the text; those that repeat both are alike, and it does not matter which of them comes first.
-    An empty table gives no rows. Other columns of docs do not matter, whatever their names.
+    An empty table gives no rows. Other columns of docs do not matter, whatever their names. Of a very long text only the number of its words goes on.
     """
     sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *_rows(id_col, text_col, source_col)), "mix-sizes")
     cuts = budgets(sized, weights, max_epochs)

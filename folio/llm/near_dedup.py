@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     5e-8 by the bands and 1e-7 by the sketch.
 
     Null and wordless texts have no shingles and are linked with nothing. Rows that repeat an id count as one document with
-    several texts; rows with a null id are not linked and have no component. An empty table gives no rows.
+    several texts; rows with a null id are not linked and have no component. An empty table gives no rows. Ties do not matter: a group is named by its smallest id, and
+    of equally heavy documents of a bucket any may stand for it. A very long text is one set, held by one task at a time. Columns besides the two have no part, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     feats = stored(in_arrow(docs, lambda it: _signed(it, k), "doc_id long, n long, digest binary, bands array<long>, s1 long, s2 long"), "dedup-features")

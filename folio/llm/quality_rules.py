@@ -117,7 +117,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     them where it measures them as small.
     Nulls: a null text has no words and fails the base rule; a null stratum is one of its own; null labels count
     as not good; an id that is labelled twice counts by its lower label. Repeated rows are judged each. Without
-    labels only the base rule rejects. Extra columns are ignored.
+    labels only the base rule rejects. Extra columns are ignored, whatever their names. A measure that equals its cutoff passes. A very long text is
+    measured whole, as the row it is. An empty table gives no rows.
     """
     m = stored(text_measures(docs, id_col, text_col, stratum_col), "quality-measures")
     cuts = learn_cutoffs(m, labels).groupBy("stratum").agg(*[F.max(F.when(F.col("measure") == x, F.col("cutoff"))).alias(f"c{x}") for x in MEASURES])
