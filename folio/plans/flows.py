@@ -1,8 +1,8 @@
 """The flows a user runs: papers to structure, claims to evidence, drafts to plans, decks to quality reports, specs to elements.
 
-Each is a plan over DataFrames of any number of papers; nothing runs until a result is written. Drafts come from a provider: anything
-with a method `draft(name) -> DataFrame`; JsonDrafts reads them from files. Online providers, PDF text extraction and slide writing
-are outside: their results enter and leave as tables.
+Each is a plan over DataFrames of any number of papers; nothing runs until a result is written, but for gates and for run_qa, which stores the findings of each group of rules. Drafts come from a provider: anything
+with a method `draft(name) -> DataFrame`; JsonDrafts reads them from files. Online providers and PDF text extraction are outside: their results
+enter as tables; `sinks.packages` writes what render_deck gives.
 """
 
 from __future__ import annotations
