@@ -207,7 +207,7 @@ def near_words(words: DataFrame) -> DataFrame:
     bits = min(MOST_BITS, max(15, int(words.count() * FILTER_BITS).bit_length()))
     shared = words.sparkSession.sparkContext.broadcast(word_filter(words, bits))
     found = in_arrow(words.select("word"), _candidates(shared, bits, alphabet), "word string, near string")
-    return found.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near").select("word", "near", "near_n")
+    return found.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), "near").select("word", "near", "near_n")
 
 
 def spelling_variants(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT, ratio: int = RATIO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,26 +218,28 @@ def spelling_variants(docs: DataFrame, min_length: int = MIN_LENGTH, min_count:
 
     Nulls: a null text has no words, a null id is an empty one in the hash. Rows that repeat an id count each, and lose the same letters. An empty table gives no rows.
     A very long text is read in pieces cut between words; a very long word has its neighbours made place by place. Further columns of docs do not matter.
+
+    Tables as long as the vocabulary are joined by sorting: their files are small beside what they hold, and going by that size Spark would gather them in the driver to broadcast them.
     """
     if ratio < 2:
         raise ValueError("ratio must be 2 or more: chains of forms would not have to end")
     words = vocabulary(docs, min_length, min_count, id_col, text_col)
     near = near_words(words)
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("order"), "near")).alias("best"))
-    met = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.near").alias("best"), (-F.col("best.order")).alias("best_n"))
+    met = words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("best.near").alias("best"), (-F.col("best.order")).alias("best_n"))
     follows = F.coalesce(F.col("best_n") >= ratio * F.col("n"), F.lit(False))
     formed = stored(met.select("word", F.when(follows, F.col("best")).alias("form"), "n", "n_near", F.when(follows, F.col("best_n")).alias("form_n")), "words-forms")
-    return formed.join(_roots(formed), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(_roots(formed).hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def _roots(formed: DataFrame) -> DataFrame:
     """(word, root) of the words that have a form."""
     rest = stored(formed.where("form IS NOT NULL").select("word", "form"), "words-linked")
-    ends = rest.select("form").distinct().join(rest.select(F.col("word").alias("form")), "form", "left_anti")
+    ends = rest.select("form").distinct().join(rest.select(F.col("word").alias("form")).hint("merge"), "form", "left_anti")
     level = stored(ends.select(F.col("form").alias("at"), F.col("form").alias("root")), "words-root")
     found = None
     while not level.isEmpty():
-        small = F.broadcast(level) if level.count() <= MOST_GROUPS else level
+        small = F.broadcast(level) if level.count() <= MOST_GROUPS else level.hint("merge")
         level = stored(rest.join(small, rest["form"] == small["at"]).select(F.col("word").alias("at"), "root"), "words-root")
         found = level if found is None else found.unionByName(level)
     return found.withColumnRenamed("at", "word") if found is not None else rest.select("word", F.col("form").alias("root"))

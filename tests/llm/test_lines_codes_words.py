@@ -206,3 +206,10 @@ def test_chains_of_forms(spark):
 
 def test_digest_is_of_all_components():
     assert vector_codes.digest([np.array([[1, -2]]), np.array([[3, 4]])]) == hashlib.sha256(b"1,-2,3,4").hexdigest()
+
+
+def test_no_table_as_long_as_the_vocabulary_is_broadcast(spark):
+    docs = spark.createDataFrame([(i, "garden gardem garden garden gardens") for i in range(9)], "doc_id long, text string")
+    words = spelling_variants.vocabulary(docs)
+    for df in (spelling_variants.near_words(words), spelling_variants.spelling_variants(docs)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
