@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,8 +128,15 @@ def _scalar(v: Column, node, path: Column) -> Column:
     return _none()
 
 
-def _object(v: Column, node: Object, path: Column) -> Column:
-    parts = [problems(child(v, name), sub, F.concat(path, F.lit(f".{name}"))) for name, sub in node.fields.items()]
+def _fields(v: Column, node: Object) -> Column:
+    """The known fields of an object as a struct of VARIANTs, taken out together; SQL null if v is no object."""
+    if not node.fields:
+        return F.try_variant_get(v, "$", "map<string,variant>")
+    return F.try_variant_get(v, "$", "struct<" + ",".join(f"`{name.replace('`', '``')}`:variant" for name in node.fields) + ">")
+
+
+def _object(v: Column, fields: Column, node: Object, path: Column) -> Column:
+    parts = [problems(fields.getField(name), sub, F.concat(path, F.lit(f".{name}"))) for name, sub in node.fields.items()]
     if not node.open:
         strange = F.array_except(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), F.array(*map(F.lit, node.fields)))
         parts.append(F.transform(F.array_sort(strange), lambda k: F.struct(F.concat(path, F.lit("."), k).alias("path"), F.lit("unknown field").alias("problem"))))
@@ -142,41 +151,45 @@ def _repeats(xs: Column, name: str, at: Callable[[Column], Column]) -> Column:
     return F.transform(twice, lambda e: F.struct(F.concat(at(e["i"]), F.lit(f".{name}")).alias("path"), F.lit("repeated").alias("problem")))
 
 
-def _array(v: Column, node: Items, path: Column) -> Column:
+def _array(xs: Column, node: Items, path: Column) -> Column:
     at = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+    parts = [F.flatten(F.transform(xs, lambda x, i: problems(x, node.item, at(i))))]
+    if node.least:
+        parts.append(_when(F.size(xs) < node.least, path, f"must have {node.least} or more"))
+    parts += [_repeats(xs, name, at) for name in node.unique]
+    if node.numbered:
+        name = node.numbered
+        wrong = lambda x, i: F.when(child(x, name, "long") != i + 1, F.struct(F.concat(at(i), F.lit(f".{name}")).alias("path"), F.concat(F.lit("must be "), (i + 1).cast("string")).alias("problem")))
+        parts.append(F.array_compact(F.transform(xs, wrong)))
+    return F.concat(*parts)
 
-    def of(xs: Column) -> Column:
-        parts = [F.flatten(F.transform(xs, lambda x, i: problems(x, node.item, at(i))))]
-        if node.least:
-            parts.append(_when(F.size(xs) < node.least, path, f"must have {node.least} or more"))
-        parts += [_repeats(xs, name, at) for name in node.unique]
-        if node.numbered:
-            name = node.numbered
-            wrong = lambda x, i: F.when(child(x, name, "long") != i + 1, F.struct(F.concat(at(i), F.lit(f".{name}")).alias("path"), F.concat(F.lit("must be "), (i + 1).cast("string")).alias("problem")))
-            parts.append(F.array_compact(F.transform(xs, wrong)))
-        return F.concat(*parts)
 
-    return let(items(v), of)
+def _is(schema: Column, kinds: tuple[str, ...]) -> Column:
+    """Whether what schema_of_variant says of a scalar is one of these kinds."""
+    words = [w for w, kind in KINDS.items() if kind in kinds]
+    tests = [schema.startswith(w) if w == "DECIMAL" else schema == w for w in words]
+    return F.coalesce(reduce(or_, tests), F.lit(False))
 
 
 def problems(v: Column, node, path: Column) -> Column:
-    """The problems of a VARIANT as array<struct<path, problem>>. A value of the wrong kind has that problem alone, and nothing below it is looked at."""
+    """The problems of a VARIANT as array<struct<path, problem>>. A value of the wrong kind has that problem alone, and nothing below it is looked at.
+
+    v is used several times, so it has to be cheap: a variable of a lambda or a field of a struct. What kind a value is instead is asked only of those that are not what they must be."""
 
-    def judge(k: Column) -> Column:
-        below = _object(v, node, path) if isinstance(node, Object) else _array(v, node, path) if isinstance(node, Items) else _scalar(v, node, path)
+    def otherwise(k: Column) -> Column:
         out = F.when(k == "nothing", _none() if node.maybe else _found(path, "missing"))
         if node.maybe:
             out = out.when(k == "null", _none())
-        if node.kinds:
-            out = out.when(~k.isin(*node.kinds), _found(path, F.concat(F.lit(f"must be {' or '.join(node.kinds)}, is "), k)))
-        return out.otherwise(F.coalesce(below, _none()))
+        return out.otherwise(_found(path, F.concat(F.lit(f"must be {' or '.join(node.kinds)}, is "), k)) if node.kinds else _none())
 
-    kind = kind_of(v)  # which for an object or an array means to look at all of it, so that is asked only of values that are not what they must be
+    other = let(kind_of(v), otherwise)
     if isinstance(node, Object):
-        kind = F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), "object").otherwise(kind)
-    elif isinstance(node, Items):
-        kind = F.when(items(v).isNotNull(), "array").otherwise(kind)
-    return let(kind, judge)
+        return let(_fields(v, node), lambda o: F.when(o.isNotNull(), F.coalesce(_object(v, o, node, path), _none())).otherwise(other))
+    if isinstance(node, Items):
+        return let(items(v), lambda xs: F.when(xs.isNotNull(), F.coalesce(_array(xs, node, path), _none())).otherwise(other))
+    if not node.kinds:
+        return _none() if node.maybe else F.when(v.isNull(), _found(path, "missing")).otherwise(_none())
+    return F.when(_is(F.schema_of_variant(v), node.kinds), F.coalesce(_scalar(v, node, path), _none())).otherwise(other)
 
 
 def validate(documents: DataFrame, node, json: str = "json", root: str = "$") -> DataFrame:

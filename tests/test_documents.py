@@ -108,3 +108,14 @@ def test_strict_schema():
 def test_empty_tables(spark):
     assert D.validate(spark.createDataFrame([], "k int, json string"), D.slide_spec()).isEmpty()
     assert D.validate(spark.range(1).select(F.lit("{}").alias("json")), D.Object({})).isEmpty()
+
+
+def test_names_with_dots_and_signs(spark):
+    node = D.Object({"a.b": D.Whole(), "c`d": D.Object({"e f": D.Text()})})
+    docs = [(1, '{"a.b":1,"c`d":{"e f":"x"}}'), (2, '{"a.b":"1","c`d":{"e f":""}}')]
+    assert [tuple(r) for r in D.validate(spark.createDataFrame(docs, "k int, json string"), node).collect()] == [(2, "$.a.b", "must be whole number, is text"), (2, "$.c`d.e f", "must not be empty")]
+
+
+def test_fields_are_taken_out_together(spark):
+    of = lambda names: str(D.problems(F.col("v"), D.Object({n: D.Text(empty=True) for n in names}), F.lit("$"))).count("variant_get")
+    assert of("abcdef") == of("a")
