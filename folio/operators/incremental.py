@@ -1,4 +1,7 @@
-"""Re-use of finished work: fingerprints of inputs, build steps, and what a step must leave behind."""
+"""Re-use of finished work: fingerprints of inputs, build steps, and what a step must leave behind.
+
+Tables of runs are joined by sorting: files of ids are small beside the rows that they hold, and going by that size Spark would gather all runs in the driver to broadcast them.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +36,7 @@ def missing_artifacts(runs: DataFrame, files: DataFrame) -> DataFrame:
     on = F.array_compact(F.array(*[F.when(F.col(o), F.lit(o)) for o in ("render_qa", "semantic_qa") if o in runs.columns])) if {"render_qa", "semantic_qa"} & set(runs.columns) else F.array().cast("array<string>")
     asked = runs.select("run_id", on.alias("options")).groupBy("run_id").agg(F.array_distinct(F.flatten(F.collect_list("options"))).alias("options"))
     want = asked.join(F.broadcast(steps_frame(runs.sparkSession)), F.col("option").isNull() | F.array_contains("options", F.col("option")))
-    return want.join(files.select("run_id", "artifact"), ["run_id", "artifact"], "left_anti").select("run_id", "step", "artifact")
+    return want.join(files.select("run_id", "artifact").hint("merge"), ["run_id", "artifact"], "left_anti").select("run_id", "step", "artifact")
 
 
 def to_do(steps: DataFrame, missing: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -44,7 +47,7 @@ def to_do(steps: DataFrame, missing: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     spark = steps.sparkSession
     every = wanted.join(F.broadcast(spark.range(1).select(F.posexplode(F.array(*map(F.lit, STEPS))).alias("pos", "step"))), F.lit(True))
-    s = every.join(steps.withColumnRenamed("fingerprint", "old"), ["run_id", "step"], "left").join(missing.select("run_id", "step").distinct().withColumn("lost", F.lit(True)), ["run_id", "step"], "left")
+    s = every.join(steps.withColumnRenamed("fingerprint", "old").hint("merge"), ["run_id", "step"], "left").join(missing.select("run_id", "step").distinct().withColumn("lost", F.lit(True)).hint("merge"), ["run_id", "step"], "left")
     ok = F.coalesce((F.col("status") == "completed") & (F.col("old") == F.col("fingerprint")) & F.col("lost").isNull(), F.lit(False))
     so_far = F.min(ok.cast("int")).over(Window.partitionBy("run_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     return s.select("run_id", "step", "pos", F.when(so_far == 1, "skip").otherwise("run").alias("action"))
@@ -55,9 +58,9 @@ def resumed(steps: DataFrame, missing: DataFrame, resume_from: DataFrame) -> tup
     behind it as pending. A step before that lacks files, as missing_artifacts finds them, is a problem (run_id, step, artifact) and the build must not start."""
     place = F.array_position(F.array(*map(F.lit, STEPS)), F.col("step"))
     start = resume_from.select("run_id", F.array_position(F.array(*map(F.lit, STEPS)), F.col("resume_from")).alias("start")).where("start > 0")
-    lost = missing.join(start, "run_id").where(place < F.col("start")).select("run_id", "step", "artifact")
+    lost = missing.join(start.hint("merge"), "run_id").where(place < F.col("start")).select("run_id", "step", "artifact")
     status = F.when(F.col("start").isNull(), F.col("status")).when(place < F.col("start"), "completed").otherwise("pending")
-    return steps.join(start, "run_id", "left").withColumn("status", status).select(*steps.columns), lost
+    return steps.join(start.hint("merge"), "run_id", "left").withColumn("status", status).select(*steps.columns), lost
 
 
 def directory_fingerprint(files: DataFrame, by: str = "run_id") -> DataFrame:

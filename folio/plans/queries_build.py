@@ -110,7 +110,7 @@ def build_resumption(spark, d):
     again, problems = I.resumed(old, lost, start)
     bad = problems.groupBy("run_id").agg(F.count("*").alias("n_lost"))
     todo = I.to_do(again, lost, runs).groupBy("run_id").agg(F.count_if(F.col("action") == "run").alias("n_run"), F.min(F.when(F.col("action") == "run", F.col("pos"))).alias("first_run"))
-    return todo.join(bad, "run_id", "left").select(F.col("run_id").alias("o_orderkey"), "n_run", "first_run", F.coalesce("n_lost", F.lit(0)).cast("long").alias("n_lost"))
+    return todo.join(bad.hint("merge"), "run_id", "left").select(F.col("run_id").alias("o_orderkey"), "n_run", "first_run", F.coalesce("n_lost", F.lit(0)).cast("long").alias("n_lost"))
 
 
 def evidence_guard(spark, d):

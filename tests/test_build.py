@@ -152,3 +152,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["parse", *where], spark) == 0
     assert [r["title"] for r in spark.read.parquet(str(tmp_path / "out" / "sections")).collect()] == ["One"] and spark.read.parquet(str(tmp_path / "out" / "metadata")).first()["title"] == "T"
     assert cli.main(["qa", *where], spark) == 2
+
+
+def test_tables_of_runs_are_not_broadcast(spark):
+    from folio.plans.queries_build import build_resumption
+
+    assert "BroadcastHashJoin" not in build_resumption(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
