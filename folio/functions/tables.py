@@ -12,8 +12,16 @@ MOST_GROUPS = 4
 # Fixed values that results depend on: letters that declare a column, and commands that are rules between rows.
 COLUMN_LETTERS = "lcrpmbX"
 RULES = r"\\(?:toprule|midrule|bottomrule|hline)(?![A-Za-z])|\\specialrule\{[^{}]*\}\{[^{}]*\}\{[^{}]*\}"
-#: A row's end, a brace or an ampersand, what has none of them, or an escaped sign (or the first letter of a command).
-TOKEN = r"(?s)(\\\\(?:\[[^\]]*\])?|[{}&]|[^\\{}&]+|\\[^\\]|\\)"
+
+
+def _group(levels: int) -> str:
+    """A group in braces with its inner ones, `levels` deep, without row ends. Repetitions are bounded, since Java's recurse."""
+    text = r"[^\\{}]*+(?:\\[^\\][^\\{}]*+){0,100}+"
+    return r"\{" + text + (f"(?:{_group(levels - 1)}{text}){{0,50}}+" if levels > 1 else "") + r"\}"
+
+
+#: A row's end; text with its escaped signs, commands and closed groups; white space; a closed group; or a brace, ampersand or backslash that is left.
+TOKEN = r"(?s)(\\\\(?:\[[^\]]*\])?|(?:\s*+[^\\{}&\s]|\\[^\\])(?:[^\\{}&]++|\\[^\\]|" + _group(3) + r"){0,100}+|\s++|" + _group(3) + r"|[{}&]|\\)"
 _FIELDS = (("depth", "int"), ("leading", "boolean"), ("groups", "array<string>"), ("cell", "string"), ("row", "array<string>"), ("rows", "array<array<string>>"))
 
 
@@ -33,7 +41,7 @@ def _step(s: Column, t: Column) -> Column:
         .otherwise(_state(s, leading=F.lit(False), depth=deeper, cell=longer))
     )
     inside = F.when(closes & (s["depth"] == 1), _state(s, depth=F.lit(0), cell=empty, groups=F.concat(s["groups"], F.array(s["cell"])))).otherwise(_state(s, depth=deeper, cell=longer))
-    leading = F.when(flat & t.rlike(r"^\s+$"), s).when(flat & opens & (F.size(s["groups"]) < MOST_GROUPS), _state(s, depth=F.lit(1), cell=empty)).when(flat, body).otherwise(inside)
+    leading = F.when(flat & t.rlike(r"^\s+$"), s).when(flat & opens & (F.size(s["groups"]) < MOST_GROUPS), _state(s, depth=F.lit(1), cell=empty)).when(flat & t.startswith("{") & (F.size(s["groups"]) < MOST_GROUPS), _state(s, cell=empty, groups=F.concat(s["groups"], F.array(F.substr(t, F.lit(2), F.length(t) - 2))))).when(flat, body).otherwise(inside)
     return F.when(s["leading"], leading).otherwise(body)
 
 
@@ -53,7 +61,9 @@ def parsed(latex: Column) -> Column:
 def grid(table: Column) -> Column:
     """Cells of a parsed table as readable texts, rows without any left out, all as long as the longest."""
     rows = F.filter(F.transform(table["rows"], lambda r: F.transform(r, lambda c: T.clean_cell(c))), lambda r: F.exists(r, lambda c: c != ""))
-    return F.get(F.transform(F.array(rows), lambda all_rows: F.transform(all_rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.array_max(F.transform(all_rows, F.size)) - F.size(r))))), 0)
+    longest = lambda all_rows: F.struct(all_rows.alias("rows"), F.array_max(F.transform(all_rows, F.size)).alias("n"))
+    filled = lambda x: F.transform(x["rows"], lambda r: F.concat(r, F.array_repeat(F.lit(""), x["n"] - F.size(r))))
+    return F.get(F.transform(F.transform(F.array(rows), longest), filled), 0)
 
 
 def column_count(latex: Column, table: Column) -> Column:

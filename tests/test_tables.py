@@ -64,3 +64,9 @@ def test_cells_follow_a_plain_reader(spark):
 def test_no_python_in_the_plan(spark):
     plan = spark.createDataFrame([("x",)], "x string").select(tables.tabular_rows(F.col("x")), tables.tabular_columns(F.col("x")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_tokens_are_few(spark):
+    row = r"\multicolumn{2}{c}{\textbf{x{1} & y}} & s\& 5 & $q^{2}$ \\[2pt] "
+    n = spark.range(1).select(F.size(F.regexp_extract_all(F.lit(row * 50), F.lit(tables.TOKEN), F.lit(1)))).first()[0]
+    assert n <= 50 * 8
