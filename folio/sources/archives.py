@@ -1,4 +1,4 @@
-"""Archives (zip, tar, tgz) as a table of their members, in a batch or as a stream: a task an archive, a member at a time."""
+"""Archives (zip, tar, tgz) as a table of their members, in a batch or as a stream: a task some archives of one folder, a member at a time."""
 
 from __future__ import annotations
 
@@ -26,18 +26,42 @@ PIECE, BATCH = 1 << 20, 4 << 20
 FAILS = (*UNREADABLE, tarfile.TarError)
 
 
+#: Archives, and bytes of them, that a task reads at most, unless one alone is larger.
+MOST_ARCHIVES, MOST_BYTES = 1000, 128 << 20
+
+
 @dataclass
-class Archive(InputPartition):
-    path: str
+class SomeArchives(InputPartition):
+    """Archives of one folder."""
+
+    folder: str
+    names: tuple[str, ...]
+
+
+def dealt(found: list[tuple[int, str, int]]) -> list[SomeArchives]:
+    """(time, path, size) of archives -> partitions of some each, so that neither tasks nor what the driver holds for them grow with the number of small archives, but for their names."""
+    out, held, at, size = [], [], "", 0
+    for _, path, n in sorted(found, key=lambda f: f[1]):
+        folder, name = path[: path.rindex("/") + 1] if "/" in path else "", path.rsplit("/", 1)[-1]
+        if held and (folder != at or len(held) >= MOST_ARCHIVES or size + n > MOST_BYTES):
+            out.append(SomeArchives(at, tuple(held)))
+            held, size = [], 0
+        held.append(name)
+        at, size = folder, size + n
+    return [*out, SomeArchives(at, tuple(held))] if held else out
+
+
+def read_dealt(partition: SomeArchives, most: int) -> Iterator[pa.RecordBatch]:
+    yield from batches(row for name in partition.names for row in members(partition.folder + name, most))
 
 
-def archives_below(path: str) -> list[tuple[int, str]]:
-    """(time, path) of the archives below a folder, or of the one that path names, sorted. The driver holds their names."""
+def archives_below(path: str) -> list[tuple[int, str, int]]:
+    """(time, path, size) of the archives below a folder, or of the one that path names, sorted. The driver holds their names."""
     system, at = file_system(path)
     info = system.get_file_info(at)
     found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
     scheme = path[: path.index("://") + 3] if "://" in path else ""
-    return sorted((f.mtime_ns or 0, f"{scheme}{f.path}") for f in found if f.type == fs.FileType.File and re.search(ARCHIVE, f.path) and "/_staging-" not in f.path)
+    return sorted((f.mtime_ns or 0, f"{scheme}{f.path}", f.size or 0) for f in found if f.type == fs.FileType.File and re.search(ARCHIVE, f.path) and "/_staging-" not in f.path)
 
 
 def _zip_members(z: zipfile.ZipFile) -> Iterator[tuple[str, bool, bool, Callable]]:
@@ -125,10 +149,10 @@ class ArchiveReader(DataSourceReader):
         self.path, self.most = path, most
 
     def partitions(self):
-        return [Archive(p) for _, p in archives_below(self.path)] or [Archive("")]
+        return dealt(archives_below(self.path)) or [SomeArchives("", ())]
 
     def read(self, partition):
-        yield from batches(members(partition.path, self.most)) if partition.path else ()
+        yield from read_dealt(partition, self.most)
 
 
 class ArchiveStream(DataSourceStreamReader):
@@ -146,10 +170,10 @@ class ArchiveStream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict):
         low, high = ((int(o["time"]), o["path"]) for o in (start, end))
-        return [Archive(p) for t, p in archives_below(self.path) if low < (t, p) <= high]
+        return dealt([f for f in archives_below(self.path) if low < f[:2] <= high])
 
     def read(self, partition):
-        yield from batches(members(partition.path, self.most))
+        yield from read_dealt(partition, self.most)
 
 
 class Archives(DataSource):

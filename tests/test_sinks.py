@@ -195,3 +195,11 @@ def test_archives_as_a_stream(spark, tmp_path):
     os.utime(tmp_path / "in" / "a.zip", (1, 1))
     put_zip(tmp_path / "in" / "b.zip", ("z", "3"))
     assert run() == ["x", "y", "z"] == run()
+
+
+def test_many_small_archives_share_tasks(spark, tmp_path):
+    for k in range(2500):
+        with zipfile.ZipFile(tmp_path / f"a{k}.zip", "w") as z:
+            z.writestr("m.txt", str(k))
+    read = archives.read_archives(spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() == 3 and read.select("archive").distinct().count() == 2500
