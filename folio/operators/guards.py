@@ -46,15 +46,20 @@ def evidence_signatures(slides: DataFrame, visuals: DataFrame, citations: DataFr
     Rows are digested before they meet: what is gathered for a deck is one digest a slide."""
     keys = ["paper_id", "slide_id"]
 
-    def per_slide(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-        row = df.select(*keys, F.sha2(canonical_json(df, *columns), 256).alias("d"), "pos")
-        return row.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "d"))), lambda x: x["d"]), ""), 256).alias(name))
-
-    cited = per_slide(citations, [c for c in citations.columns if c not in (*keys, "pos")], "cited")
-    seen = per_slide(visuals, ["kind", "source_ref", "treatment"], "seen")
-    s = slides.select(*keys, "order", F.to_json(F.struct("evidence_ids")).alias("ids")).join(cited, keys, "left").join(seen, keys, "left")
-    digest = F.sha2(F.concat_ws("\0", "slide_id", "ids", F.coalesce("cited", F.lit("")), F.coalesce("seen", F.lit(""))), 256)
-    deck = s.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("order", digest.alias("d")))).alias("all"))
+    def digests(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+        return df.select(*keys, F.struct("pos", F.unhex(F.sha2(canonical_json(df, *columns), 256)).alias("d")).alias(name))
+
+    def folded(name: str) -> Column:
+        all_of = F.array_join(F.transform(F.array_sort(F.collect_list(name)), lambda x: F.lower(F.hex(x["d"]))), "")
+        return F.when(F.count(name) > 0, F.sha2(all_of, 256)).otherwise("").alias(name)
+
+    cited = digests(citations, [c for c in citations.columns if c not in (*keys, "pos")], "cited")
+    seen = digests(visuals, ["kind", "source_ref", "treatment"], "seen")
+    s = slides.select(*keys, F.struct("order", F.to_json(F.struct("evidence_ids")).alias("ids")).alias("slide"))
+    rows = s.unionByName(cited, allowMissingColumns=True).unionByName(seen, allowMissingColumns=True)  # grouped instead of joined: tables that are dealt out by paper already are not shuffled again
+    each = rows.groupBy(*keys).agg(F.collect_list("slide").alias("slides"), folded("cited"), folded("seen")).select(*keys, "cited", "seen", F.explode("slides").alias("slide"))
+    digest = F.sha2(F.concat_ws("\0", "slide_id", "slide.ids", "cited", "seen"), 256)
+    deck = each.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("slide.order", digest.alias("d")))).alias("all"))
     return deck.select("paper_id", F.sha2(F.array_join(F.transform("all", lambda x: x["d"]), ""), 256).alias("signature"))
 
 

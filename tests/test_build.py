@@ -158,3 +158,10 @@ def test_tables_of_runs_are_not_broadcast(spark):
     from folio.plans.queries_build import build_resumption
 
     assert "BroadcastHashJoin" not in build_resumption(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_signatures_shuffle_lines_alone(spark):
+    from folio.plans.queries_build import evidence_guard
+
+    plan = evidence_guard(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and plan.count("Join ") + plan.count("Join[") <= 1
