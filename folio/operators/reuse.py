@@ -24,24 +24,29 @@ def chain_digests(parts: DataFrame, depends: dict[str, tuple[str, ...]] = DEPEND
 
     parts(run_id, step, part, digest): a step's own inputs by name: files, options such as mode, budget or theme, what names a provider. A step's digest is that of its name, of its own parts in the order
     of their names, and of the digests of the steps it builds on; a step without own parts has those. A part named twice counts with the smaller digest and the larger one.
-    Null digests count as such, and differ from empty ones; parts of steps that the chain does not have are left out.
+    Null digests count as such, and differ from empty ones; parts of steps that the chain does not have are left out. Parts are grouped once, by run, so those that lie by run already are not shuffled.
     """
-    own = F.array_sort(F.collect_list(F.to_json(F.struct("part", "digest"), {"ignoreNullFields": "false"})))
     known = parts.where(F.col("step").isin(*depends) & F.col("run_id").isNotNull())
-    by_step = known.groupBy("run_id", "step").agg(F.sha2(F.array_join(own, "\n"), 256).alias("own"))
-    runs = by_step.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("step", "own"))).alias("own"))
+    part = F.struct("step", F.to_json(F.struct("part", "digest"), {"ignoreNullFields": "false"}).alias("said"))
+    runs = known.groupBy("run_id").agg(F.collect_list(part).alias("parts"))
+    of = lambda step: F.array_sort(F.transform(F.filter("parts", lambda x: x["step"] == step), lambda x: x["said"]))
+    runs = runs.select("run_id", *[of(step).alias(f"own_{step}") for step in depends])
     folded = runs
     for step, before in depends.items():  # a column a step, each from those before
-        said = F.concat_ws("\0", F.lit(step), F.coalesce(F.col("own")[step], F.lit("")), *[F.col(f"_{b}") for b in before])
+        own = F.when(F.size(f"own_{step}") > 0, F.sha2(F.array_join(f"own_{step}", "\n"), 256)).otherwise("")
+        said = F.concat_ws("\0", F.lit(step), own, *[F.col(f"_{b}") for b in before])
         folded = folded.withColumn(f"_{step}", F.sha2(said, 256))
     each = F.array(*[F.struct(F.lit(s).alias("step"), F.col(f"_{s}").alias("digest")) for s in depends])
     return folded.select("run_id", F.inline(each))
 
 
 def reuse_plan(now: DataFrame, last: DataFrame) -> DataFrame:
-    """(run_id, step, digest, action): 'reuse' where the last build has the step under the same digest, 'compute' elsewhere. Of a step that the last builds have under several digests any will do."""
-    had = last.where("digest IS NOT NULL").select("run_id", "step", "digest").distinct().withColumn("had", F.lit(True))
-    return now.join(had, ["run_id", "step", "digest"], "left").select("run_id", "step", "digest", F.when(F.col("had"), "reuse").otherwise("compute").alias("action"))
+    """(run_id, step, digest, action): 'reuse' where the last build has the step under the same digest, 'compute' elsewhere. Of a step that the last builds have under several digests any will do.
+
+    Both are met by run alone: digests as chain_digests leaves them lie by run, so they are not shuffled again."""
+    had = last.where("run_id IS NOT NULL AND step IS NOT NULL AND digest IS NOT NULL").groupBy("run_id").agg(F.collect_set(F.struct("step", "digest")).alias("had"))
+    again = F.coalesce(F.array_contains("had", F.struct("step", "digest")), F.lit(False))
+    return now.join(had, "run_id", "left").select("run_id", "step", "digest", F.when(again, "reuse").otherwise("compute").alias("action"))
 
 
 def refreshed(plan: DataFrame, step: str, last_rows: DataFrame, inputs: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -28,16 +28,16 @@ def build_states(spark, d):
 def reuse_chain(spark, d):
     """Orders as builds whose sources, budgets, themes and providers may have changed since the last one: which steps are computed again."""
     k = F.col("o_orderkey")
-    o = _t(spark, d, "orders").select(k.alias("run_id"), F.col("o_totalprice").cast("string").alias("price"))
-    x = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.lit("parse").alias("step"), _text("line", F.col("l_linenumber")).alias("part"), F.md5(_text(F.col("l_partkey"))).alias("digest"), "l_linenumber")
-    r = F.col("run_id")
+    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), "l_linenumber", "l_partkey")
+    given = _t(spark, d, "orders").select(k.alias("run_id"), F.col("o_totalprice").cast("string").alias("price"), F.lit(True).alias("options")).unionByName(lines, allowMissingColumns=True).repartition("run_id")
+    r, number = F.col("run_id"), F.col("l_linenumber")  # both builds read the rows as they lie then
 
     def own(changed: bool):
         new = lambda every: (F.when(r % every == 0, F.lit("new")) if changed else F.lit(None).cast("string"))
-        part = lambda step, name, digest: F.struct(F.lit(step).alias("step"), F.lit(name).alias("part"), digest.alias("digest"))
-        options = o.select(r, F.inline(F.array(part("understand", "provider", F.lit("p")), part("plan", "budget", F.coalesce(new(5), "price")), part("spec", "theme", F.coalesce(new(7), F.lit("plain"))), part("render", "theme", F.coalesce(new(7), F.lit("plain"))), part("semantic", "provider", new(13)), part("qa", "version", F.coalesce(new(17), F.lit("1"))))))
-        sources = x.select("run_id", "step", "part", F.coalesce(F.when(F.col("l_linenumber") == 1, new(11)), "digest").alias("digest"))
-        return reuse.chain_digests(options.unionByName(sources))
+        part = lambda step, name, digest: F.struct(F.lit(step).alias("step"), (F.lit(name) if isinstance(name, str) else name).alias("part"), digest.alias("digest"))
+        options = F.array(part("understand", "provider", F.lit("p")), part("plan", "budget", F.coalesce(new(5), "price")), part("spec", "theme", F.coalesce(new(7), F.lit("plain"))), part("render", "theme", F.coalesce(new(7), F.lit("plain"))), part("semantic", "provider", new(13)), part("qa", "version", F.coalesce(new(17), F.lit("1"))))
+        source = F.array(part("parse", _text("line", number), F.coalesce(F.when(number == 1, new(11)), F.md5(_text(F.col("l_partkey"))))))
+        return reuse.chain_digests(given.select(r, F.inline(F.when(F.col("options"), options).otherwise(source))))
 
     last = own(False).where(r % 19 != 0)  # some were never built
     return reuse.reuse_plan(own(True), last).select(r.alias("o_orderkey"), "step", "action")

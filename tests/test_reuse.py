@@ -57,3 +57,14 @@ def test_only_misses_are_computed(spark, tmp_path):
     write_files(reuse.manifests(plan.where("step = 'qa'"), "1"), str(tmp_path))
     written = spark.read.text(str(tmp_path), recursiveFileLookup=True).select(F.get_json_object("value", "$.run_id")).collect()
     assert sorted(r[0] for r in written) == ["a", "b", "c"]
+
+
+def test_parts_that_lie_by_run_are_not_shuffled_again(spark):
+    """Each build's parts are shuffled once, by run; neither steps nor the digests of the two builds are."""
+    now, last = (spark.createDataFrame([(r, *p[1:3], d) for r in ("a", "b") for p in PARTS], SCHEMA).repartition("run_id") for d in "12")
+    plan = reuse.reuse_plan(reuse.chain_digests(now), reuse.chain_digests(last))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert {tuple(r) for r in plan.groupBy("run_id", "action").count().collect()} == {("a", "compute", 7), ("b", "compute", 7)}
+    twice = spark.createDataFrame([("b", "qa", "1"), ("b", "qa", "1"), ("b", "qa", None)], "run_id string, step string, digest string")
+    had = spark.createDataFrame([("b", "qa", "0"), ("b", "qa", "1"), ("b", "qa", "1"), ("b", None, "1"), (None, "qa", "1")], twice.schema)
+    assert sorted(r["action"] for r in reuse.reuse_plan(twice, had).collect()) == ["compute", "reuse", "reuse"]
