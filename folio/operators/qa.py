@@ -115,41 +115,70 @@ def factual(slides: DataFrame, citations: DataFrame, visuals: DataFrame, nodes:
 
     known_visuals(paper_id, kind, source_ref, intact): what may be referred to; intact is false for a changed or missing file.
     agreeing(paper_id, n): papers whose artifacts name n different papers.
+    All tables are put under each other and shuffled once, by paper; what belongs together then meets in windows and groups within its paper instead of joins.
     """
-    cited = slides.select("paper_id", "slide_id", F.posexplode("evidence_ids").alias("pos", "evidence_id"))
-    node = nodes.select("paper_id", F.col("id").alias("evidence_id"), "type", "claim", "confidence", F.col("source_ids").alias("expected"), "excerpts")
-    unknown = cited.join(node.select("paper_id", "evidence_id"), ["paper_id", "evidence_id"], "left_anti")
-    gathered = lambda df: df.groupBy("paper_id", "slide_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "evidence_id"))), lambda x: x["evidence_id"]).alias("ids"))
-    bad = gathered(unknown)
-    good = slides.join(bad.select("paper_id", "slide_id"), ["paper_id", "slide_id"], "left_anti")
-    ok = cited.join(good.select("paper_id", "slide_id"), ["paper_id", "slide_id"], "left_semi")
-    missing = gathered(ok.join(citations.select("paper_id", "slide_id", "evidence_id"), ["paper_id", "slide_id", "evidence_id"], "left_anti"))
     if "pos" in citations.columns:  # of several citations of an evidence on a slide the last one counts
-        last = F.max_by(F.struct(*[x for x in citations.columns if x not in ("paper_id", "slide_id", "evidence_id")]), "pos")
-        citations = citations.groupBy("paper_id", "slide_id", "evidence_id").agg(last.alias("c")).select("paper_id", "slide_id", "evidence_id", "c.*")
-    c = citations.join(good.select("paper_id", "slide_id"), ["paper_id", "slide_id"], "left_semi").join(node.select("paper_id", "evidence_id", "expected"), ["paper_id", "evidence_id"])
-    wrong = c.where((F.size("source_ids") == 0) | (F.size(F.array_except("source_ids", "expected")) > 0))
-    support = ok.join(node, ["paper_id", "evidence_id"]).groupBy("paper_id", "slide_id").agg(F.concat_ws(" ", F.collect_list(F.concat_ws(" ", F.col("claim"), F.array_join("excerpts", " ")))).alias("support"), F.max(F.col("type").isin(*RESULT_TYPES)).alias("results"))
+        citations = citations.groupBy("paper_id", "slide_id", "evidence_id").agg(F.max_by(F.struct("source_ids"), "pos").alias("c")).select("paper_id", "slide_id", "evidence_id", "c.source_ids")
+    said = F.concat_ws(" ", F.col("claim"), F.array_join("excerpts", " "))
+    node = F.struct(F.coalesce(F.col("type").isin(*RESULT_TYPES), F.lit(False)).alias("result"), F.coalesce(F.col("confidence") == "low", F.lit(False)).alias("low"), said.alias("said"), F.col("source_ids").alias("expected"))
+    cited = slides.select("paper_id", "slide_id", F.posexplode("evidence_ids").alias("pos", "evidence_id"))
     spoken = F.concat_ws(" ", "title", "main_claim", F.array_join("body", " "), "takeaway")
-    n = good.join(support, ["paper_id", "slide_id"], "left").withColumn("extra", N.missing_numbers(spoken, F.coalesce("support", F.lit(""))))
-    low = gathered(ok.join(node.where("confidence = 'low'"), ["paper_id", "evidence_id"]))
-    v = visuals.join(good.select("paper_id", "slide_id", "evidence_ids"), ["paper_id", "slide_id"]).join(known_visuals, ["paper_id", "kind", "source_ref"], "left")
-    lost = v.where("intact IS NULL AND kind <> 'conceptual_diagram'")
-    names = F.when(F.col("kind") == "source_asset", " 引用了不存在的 source asset ").when(F.col("kind") == "source_table", " 引用了不存在的表格 ").otherwise(" 引用了不存在的公式 ")
-    made = v.where("kind = 'conceptual_diagram'").join(support.where("results").select("paper_id", "slide_id"), ["paper_id", "slide_id"], "left_semi")
-    parts = [
-        issues(bad, "factual", "UNKNOWN_EVIDENCE", "error", _text(F.col("slide_id"), " 引用了不存在的 evidence ID：", F.array_join("ids", ", "), "。"), _slide(), F.col("ids")),
-        issues(missing, "factual", "MISSING_CITATION", "error", _text(F.col("slide_id"), " 的 evidence 没有完整映射到可见 citation。"), _slide(), F.col("ids")),
-        issues(wrong, "factual", "CITATION_SOURCE_MISMATCH", "error", _text(F.col("slide_id"), " 的 citation source 与 evidence locator 不一致。"), _slide(), F.array("evidence_id"), F.array_sort(F.array_distinct("source_ids"))),
-        issues(n.where(F.size("extra") > 0), "factual", "UNSUPPORTED_NUMBER", "error", _text(F.col("slide_id"), " 中的数字 ", F.array_join("extra", ", "), " 未由本页 evidence 支持。"), _slide(), F.col("evidence_ids")),
-        issues(lost, "factual", F.when(F.col("kind") == "source_asset", "UNKNOWN_SOURCE_ASSET").when(F.col("kind") == "source_table", "UNKNOWN_SOURCE_TABLE").otherwise("UNKNOWN_SOURCE_EQUATION"), "error", _text(F.col("slide_id"), names, F.col("source_ref"), "。"), _slide(), sources=F.array("source_ref")),
-        issues(v.where("kind = 'source_asset' AND NOT intact"), "factual", "SOURCE_ASSET_HASH_MISMATCH", "error", _text(F.col("slide_id"), " 的源视觉文件缺失或哈希发生变化。"), _slide(), sources=F.array("source_ref")),
-        issues(made, "factual", "GENERATED_EXPERIMENT_VISUAL", "error", _text(F.col("slide_id"), " 使用 conceptual diagram 表达实验结果，可能被误认为原始证据。"), _slide(), F.col("evidence_ids")),
-        issues(low, "factual", "LOW_CONFIDENCE_EVIDENCE", "warning", _text(F.col("slide_id"), " 的核心信息使用了 low-confidence evidence。"), _slide(), F.col("ids")),
+    gathered = lambda when, *cols: F.collect_list(F.when(F.col("is") == when, F.struct(*cols))).alias(when)
+    every = _under(
+        slides.select("paper_id", "slide_id", F.lit("slide").alias("is"), "evidence_ids", spoken.alias("spoken")), cited.withColumn("is", F.lit("use")),
+        citations.select("paper_id", "slide_id", "evidence_id", "source_ids").withColumn("is", F.lit("citation")), nodes.select("paper_id", F.col("id").alias("evidence_id"), node.alias("node")),
+        visuals.select("paper_id", "slide_id", "kind", "source_ref").withColumn("is", F.lit("visual")), known_visuals.select("paper_id", "kind", "source_ref", F.struct("intact").alias("file")),
+    ).repartition("paper_id")
+    # nodes by evidence, files by reference, all of a slide
+    alike = every.withColumn("nodes", F.collect_list("node").over(Window.partitionBy("paper_id", "evidence_id"))).withColumn("files", F.collect_list("file").over(Window.partitionBy("paper_id", "kind", "source_ref"))).where("is IS NOT NULL")
+    nothing = lambda c: F.array().cast(alike.schema[c].dataType)
+    met = F.col("paper_id").isNotNull() & F.col("kind").isNotNull() & F.col("source_ref").isNotNull() & (F.size("files") > 0)
+    slide = alike.withColumns({"nodes": F.when(F.col("paper_id").isNotNull() & F.col("evidence_id").isNotNull(), F.col("nodes")).otherwise(nothing("nodes")), "files": F.when(met, F.col("files")).otherwise(F.array(F.lit(None).cast(alike.schema["file"].dataType)))})
+    slide = slide.groupBy("paper_id", "slide_id").agg(gathered("slide", "evidence_ids", "spoken"), gathered("use", "pos", "evidence_id", "nodes"), gathered("citation", "evidence_id", "source_ids", "nodes"), gathered("visual", "kind", "source_ref", "files"))
+    slide = slide.withColumn("use", F.array_sort(F.transform("use", lambda x: F.struct(x["pos"], x["evidence_id"], x["nodes"]))))
+    named = lambda xs: F.transform(xs, lambda x: x["evidence_id"])
+    cites = named("citation")
+    by_key = F.col("paper_id").isNotNull() & F.col("slide_id").isNotNull()
+    slide = slide.select(
+        "paper_id", "slide_id", F.posexplode("slide").alias("nth", "s"), "citation", named(F.filter("use", lambda x: F.size(x["nodes"]) == 0)).alias("bad"),
+        named(F.filter("use", lambda x: x["evidence_id"].isNull() | ~F.coalesce(F.array_contains(cites, x["evidence_id"]), F.lit(False)))).alias("missing"),
+        F.flatten(F.transform("use", lambda x: F.transform(F.filter(x["nodes"], lambda n: n["low"]), lambda n: x["evidence_id"]))).alias("low"),
+        F.flatten(F.transform("use", lambda x: x["nodes"])).alias("support"),
+        F.flatten(F.transform("visual", lambda v: F.transform(v["files"], lambda f: F.struct(v["kind"].alias("kind"), v["source_ref"].alias("source_ref"), f["intact"].alias("intact"))))).alias("visual"),
+    )
+    good, first = F.size("bad") == 0, F.col("nth") == 0  # findings on a slide's evidence as a whole come once, should rows repeat the slide's id
+    ids, name = F.col("s.evidence_ids"), F.col("slide_id")
+    found = lambda code, severity, message, evidence=None, sources=None: F.struct((code if isinstance(code, Column) else F.lit(code)).alias("code"), F.lit(severity).alias("severity"), message.alias("message"), (_none() if evidence is None else evidence).alias("evidence"), (_none() if sources is None else sources).alias("sources"))
+    some = lambda when, *xs: F.when(when, F.array(*xs))
+    extra = N.missing_numbers(F.col("s.spoken"), F.when(by_key, F.concat_ws(" ", F.transform("support", lambda n: n["said"]))).otherwise(""))
+    expected = lambda c: F.filter(c["nodes"], lambda n: (F.size(c["source_ids"]) == 0) | (F.size(F.array_except(c["source_ids"], n["expected"])) > 0))
+    wrong = F.flatten(F.transform("citation", lambda c: F.transform(expected(c), lambda n: found("CITATION_SOURCE_MISMATCH", "error", _text(name, " 的 citation source 与 evidence locator 不一致。"), F.array(c["evidence_id"]), F.array_sort(F.array_distinct(c["source_ids"]))))))
+    what = lambda v, asset, table, other: F.when(v["kind"] == "source_asset", asset).when(v["kind"] == "source_table", table).otherwise(other)
+    lost = F.transform(F.filter("visual", lambda v: v["intact"].isNull() & (v["kind"] != "conceptual_diagram")), lambda v: found(what(v, "UNKNOWN_SOURCE_ASSET", "UNKNOWN_SOURCE_TABLE", "UNKNOWN_SOURCE_EQUATION"), "error", _text(name, what(v, " 引用了不存在的 source asset ", " 引用了不存在的表格 ", " 引用了不存在的公式 "), v["source_ref"], "。"), sources=F.array(v["source_ref"])))
+    changed = F.transform(F.filter("visual", lambda v: (v["kind"] == "source_asset") & ~v["intact"]), lambda v: found("SOURCE_ASSET_HASH_MISMATCH", "error", _text(name, " 的源视觉文件缺失或哈希发生变化。"), sources=F.array(v["source_ref"])))
+    made = F.transform(F.filter("visual", lambda v: v["kind"] == "conceptual_diagram"), lambda v: found("GENERATED_EXPERIMENT_VISUAL", "error", _text(name, " 使用 conceptual diagram 表达实验结果，可能被误认为原始证据。"), ids))
+    lists = [
+        some(first & ~good, found("UNKNOWN_EVIDENCE", "error", _text(name, " 引用了不存在的 evidence ID：", F.array_join("bad", ", "), "。"), F.col("bad"))),
+        some(good & by_key & first & (F.size("missing") > 0), found("MISSING_CITATION", "error", _text(name, " 的 evidence 没有完整映射到可见 citation。"), F.col("missing"))),
+        F.when(good & by_key & first, wrong),
+        some((good | ~by_key) & (F.size("extra") > 0), found("UNSUPPORTED_NUMBER", "error", _text(name, " 中的数字 ", F.array_join("extra", ", "), " 未由本页 evidence 支持。"), ids)),
+        F.when(good & by_key, F.concat(lost, changed)),
+        F.when(good & by_key & F.exists("support", lambda n: n["result"]), made),
+        some(good & by_key & first & (F.size("low") > 0), found("LOW_CONFIDENCE_EVIDENCE", "warning", _text(name, " 的核心信息使用了 low-confidence evidence。"), F.col("low"))),
     ]
+    rows = slide.withColumn("extra", extra).select("paper_id", "slide_id", F.explode(F.flatten(F.array_compact(F.array(*lists)))).alias("f")).select("paper_id", "slide_id", "f.*")
+    out = issues(rows, "factual", F.col("code"), F.col("severity"), F.col("message"), _slide(), F.col("evidence"), F.col("sources"))
     if agreeing is not None:
-        parts.append(issues(agreeing.where("n <> 1"), "factual", "PAPER_ID_MISMATCH", "error", F.lit("Slide Spec、Evidence Graph、Paper Structure 与 Visual Manifest 的 paper_id 不一致。")))
-    return union(*parts)
+        out = out.unionByName(issues(agreeing.where("n <> 1"), "factual", "PAPER_ID_MISMATCH", "error", F.lit("Slide Spec、Evidence Graph、Paper Structure 与 Visual Manifest 的 paper_id 不一致。")))
+    return out
+
+
+def _under(*tables: DataFrame) -> DataFrame:
+    """Tables under each other; columns that one lacks are null."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
 
 
 def storyline(slides: DataFrame, units: DataFrame, plans: DataFrame) -> DataFrame:

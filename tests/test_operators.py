@@ -233,3 +233,12 @@ def test_last_citation_wins_and_actions(deck):
     found = qa.factual(deck["slides"], both, deck["visuals"], deck["nodes"], deck["known"]).collect()
     assert [(r["code"], r["slide_ids"], r["repairability"]) for r in found] == [("CITATION_SOURCE_MISMATCH", ["s2"], "none")] and found[0]["suggested_action"] == qa.ACTIONS["CITATION_SOURCE_MISMATCH"][1]
     assert not qa.factual(deck["slides"], both.withColumn("pos", -F.col("pos")), deck["visuals"], deck["nodes"], deck["known"]).collect()
+
+
+def test_factual_tables_are_shuffled_once(spark, deck):
+    """Findings on evidence, citations, numbers and visuals meet within their paper: one shuffle of all tables, by paper; rows that repeat a slide's id share findings on its evidence."""
+    found = qa.factual(deck["slides"], deck["citations"], deck["visuals"], deck["nodes"], deck["known"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    twice = deck["slides"].unionByName(deck["slides"].where("slide_id = 's1'")).withColumn("takeaway", F.lit("99"))
+    found = qa.factual(twice, deck["citations"].where("slide_id <> 's1'"), deck["visuals"], deck["nodes"], deck["known"].where("false")).groupBy("code", "slide_ids").count().collect()
+    assert sorted((r["code"], *r["slide_ids"], r["count"]) for r in found) == [("MISSING_CITATION", "s1", 1), ("UNKNOWN_SOURCE_ASSET", "s1", 2), ("UNSUPPORTED_NUMBER", "s1", 2), ("UNSUPPORTED_NUMBER", "s2", 1), ("UNSUPPORTED_NUMBER", "s3", 1)]
