@@ -14,8 +14,9 @@ def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _lines(spark, d):
+def _lines(spark, d, partitions=None):
     li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("long").alias("q"))
+    li = li.repartition(partitions, "paper_id") if partitions else li
     at = F.row_number().over(Window.partitionBy("paper_id").orderBy("n", "p", "s", "q"))
     return li.withColumn("order", at).withColumn("unit_id", F.concat(F.lit("u"), F.col("order").cast("string"))).withColumn("slide_id", F.concat(F.lit("s"), F.col("order").cast("string")))
 

@@ -14,6 +14,8 @@ from . import flows
 from .queries_decks import _X, _lines, _t, _text
 
 PATIENCE = timedelta(hours=18)
+#: Lines of a task of `deck_factual`. A line is a few bytes of a shuffle and then some eight rows of a deck, so partitions are not left to its size in bytes.
+LINES_A_TASK = 100_000
 
 
 def build_states(spark, d):
@@ -45,7 +47,8 @@ def reuse_chain(spark, d):
 
 def deck_factual(spark, d):
     """Findings on evidence, citations, numbers and visuals of the decks that orders are; each slide has its own line and the one before as evidence."""
-    x, p, s, q, n = _lines(spark, d), *(F.col(c) for c in ("p", "s", "q", "order"))
+    tasks = _t(spark, d, "lineitem").count() // LINES_A_TASK + 1
+    x, p, s, q, n = _lines(spark, d, tasks), *(F.col(c) for c in ("p", "s", "q", "order"))
     own, before = _text("e", n), F.when(n > 1, _text("e", n - 1))
     ids = F.array_compact(F.array(own, before, F.when(p % 29 == 0, _text("x", n))))
     slides = x.select("paper_id", "slide_id", n, F.lit("t").alias("title"), _text("claim ", p).alias("main_claim"), F.array(F.lit("b")).alias("body"), F.lit("k").alias("takeaway"), ids.alias("evidence_ids"))
@@ -57,7 +60,7 @@ def deck_factual(spark, d):
     visuals = x.select("paper_id", "slide_id", kind.alias("kind"), _text("r", n).alias("source_ref"))
     known = x.where("s % 3 <> 0").select("paper_id", kind.alias("kind"), _text("r", n).alias("source_ref"), (s % 5 != 0).alias("intact"))
     agreeing = x.select("paper_id").distinct().select("paper_id", F.when(F.col("paper_id") % 23 == 0, 2).otherwise(1).alias("n"))
-    found = qa.factual(slides, citations, visuals, nodes, known, agreeing)
+    found = qa.factual(slides, citations, visuals, nodes, known, agreeing, tasks)
     joined = [F.array_join(c, ",").alias(c) for c in ("slide_ids", "evidence_ids", "source_ids")]
     return found.select(F.col("paper_id").alias("l_orderkey"), "code", "severity", *joined, "repairability", (F.col("suggested_action") != "").alias("advised"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from folio.operators import evidence, layout, parse, planning, qa, relations
+from folio.plans import queries_flows
 from folio.sources import files
 
 UNITS = [("p", "u1", 1, "opening", 5, 40), ("p", "u2", 2, "problem", 5, 60), ("p", "u3", 3, "core_insight", 5, 60), ("p", "u4", 4, "method_overview", 4, 75), ("p", "u5", 5, "experiments", 5, 70), ("p", "u6", 6, "analysis", 2, 45), ("p", "u7", 7, "takeaway", 4, 40)]
@@ -242,3 +243,27 @@ def test_factual_tables_are_shuffled_once(spark, deck):
     twice = deck["slides"].unionByName(deck["slides"].where("slide_id = 's1'")).withColumn("takeaway", F.lit("99"))
     found = qa.factual(twice, deck["citations"].where("slide_id <> 's1'"), deck["visuals"], deck["nodes"], deck["known"].where("false")).groupBy("code", "slide_ids").count().collect()
     assert sorted((r["code"], *r["slide_ids"], r["count"]) for r in found) == [("MISSING_CITATION", "s1", 1), ("UNKNOWN_SOURCE_ASSET", "s1", 2), ("UNSUPPORTED_NUMBER", "s1", 2), ("UNSUPPORTED_NUMBER", "s2", 1), ("UNSUPPORTED_NUMBER", "s3", 1)]
+
+
+def test_factual_rows_are_lean(spark, deck):
+    """Evidence and files meet what names them in one window and a slide's rows in another, not in a hash table of lists that falls back to sorting, twice."""
+    plan = qa.factual(deck["slides"], deck["citations"], deck["visuals"], deck["nodes"], deck["known"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2 and "ObjectHashAggregate" not in plan
+
+
+def test_factual_by_partitions(spark, deck):
+    """Tables that lie by paper in as many partitions as asked for are not shuffled again, and findings are the same."""
+    one = {k: v.repartition(7, "paper_id") for k, v in deck.items()}
+    parts = [one[k] for k in ("slides", "citations", "visuals", "nodes")]
+    found = qa.factual(*parts, one["known"].where("false"), partitions=7)
+    assert found.rdd.getNumPartitions() == 7 and [(r["code"], r["slide_ids"], r["source_ids"]) for r in found.collect()] == [("UNKNOWN_SOURCE_ASSET", ["s1"], ["a1"])]
+
+
+def test_deck_factual_bounds_the_lines_of_a_task(spark, monkeypatch):
+    """A line is a few bytes of a shuffle and eight rows of a deck: tasks follow the number of lines, whatever the size in bytes and the setting; findings do not depend on them."""
+    of, sf = queries_flows.deck_factual, "/root/testdata/sf0.001"
+    few = of(spark, sf)
+    monkeypatch.setattr(queries_flows, "LINES_A_TASK", 500, raising=False)
+    many = of(spark, sf)
+    assert many.where("code <> 'PAPER_ID_MISMATCH'").rdd.getNumPartitions() >= spark.read.parquet(f"{sf}/lineitem.parquet").count() / 500
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
